@@ -1,8 +1,8 @@
 """Fuzzy line dedup with DataFrame functions alone.
 
-Lines (parts of a text between line feeds) are normalised: lower case, digits to 0, runs of anything but letters and
-digits to one space. Lines of at least MIN_WORDS words count. Equal normalised lines are one distinct line. Each
-distinct line has a 64-bit SimHash of its words (a bit is set if it is set in over half of the words' hashes). Two
+Lines (parts of a text between line feeds) are normalised: lower case, ASCII punctuation, control characters and
+spaces to single spaces. Lines of at least MIN_WORDS words count. Equal normalised lines are one distinct line. Each
+distinct line has a 63-bit SimHash of its words (a bit is set if it is set in over half of the words' hashes). Two
 distinct lines are linked if their SimHashes differ in at most RADIUS bits and their edit similarity
 ``1 - distance / longer length`` is at least SIMILARITY. Of every connected group the first occurrence, by
 (doc_id, text, line number), stays; all other occurrences of its lines are removed.
@@ -15,9 +15,11 @@ Crowded keys: the members of a key are compared with the key's first member alon
 this leaves in different groups are then compared with one another, so no link between groups is lost, while links
 inside a group, which change nothing, are never listed.
 
-SimHash in code generation: a word's hash is spread over 22 longs of three counters each, which sum as plain longs.
+SimHash in code generation: a word's hash is spread over 21 longs of three counters each, which sum as plain longs.
 The counters hold lines of up to MOST_WORDS words; a longer line is linked to equal ones only.
 
+Texts are fetched only for lines that a key has brought together within RADIUS bits, by their place in the corpus.
+
 Nulls: a null text has no lines and stays null; a null doc_id ranks first. Rows that agree in doc_id and text are one
 document. Texts without a line of MIN_WORDS words come back as they are. Other columns are kept by ``remove_lines``.
 An empty table gives an empty result.
@@ -37,14 +39,14 @@ from .components import connected_components
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
 MOST_WORDS = (1 << 20) - 1
 #: Rows of a key table (a few longs each) that are sent to every task; larger ones are joined by a shuffle.
-MOST_SENT = 1 << 19
-SPREAD, LANE = 22, (1 << 22) - 1
-PICK = 1 | (1 << 22) | (1 << 44)
+MOST_SENT = 1 << 21
+#: A hash has 63 bits here: counters of LANE bits for bits j, j + 21 and j + 42 make up the j-th long.
+BITS, LANE = 63, 21
+PICK = 1 | (1 << LANE) | (1 << (2 * LANE))
 
 
 def normalised(line: Column) -> Column:
-    plain = F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")
-    return F.trim(F.translate(plain, "123456789", "000000000"))
+    return F.trim(F.regexp_replace(F.lower(line), r" *[\x00-\x1f!-/:-@\[-`{-\x7f][\x00-/:-@\[-`{-\x7f]*|  +", " "))
 
 
 def _sendable(df: DataFrame) -> DataFrame:
@@ -52,45 +54,43 @@ def _sendable(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_SENT else df
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``id, key, line, norm, h1, h2, n``: the lines that count. ``h1`` and ``h2`` identify the normalised line by 128 bits."""
-    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
-    n = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
-    return norm.withColumn("n", n).where(F.col("n") >= MIN_WORDS).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
+def _key() -> Column:
+    return F.xxhash64("text")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``id, key, line, h1, h2, n, sim`` of each line."""
-    words = lines_of(docs).select("id", "key", "line", "h1", "h2", "n", F.explode(F.split("norm", " ")).alias("w"))
-    words = words.withColumn("h", F.xxhash64("w"))
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(PICK).cast("long"))).alias(f"s{j}") for j in range(SPREAD)]
-    sums = words.groupBy("id", "key", "line", "h1", "h2", "n").agg(*lanes)
-
-    def bit(b: int) -> Column:
-        count = F.shiftrightunsigned(F.col(f"s{b % SPREAD}"), SPREAD * (b // SPREAD)).bitwiseAND(F.lit(LANE).cast("long"))
-        return F.when(count * 2 > F.col("n"), F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    sim = bit(0)
-    for b in range(1, 64):
-        sim = sim.bitwiseOR(bit(b))
+    """``id, key, line, h1, h2, n, sim`` of each line that counts. ``h1`` and ``h2`` identify the normalised line by 128 bits."""
+    keyed = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
+    norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.split("norm", " ").alias("w"))
+    # Short lines explode to nothing. A filter would be pushed below and normalise every line a second time.
+    words = norm.select("id", "key", "line", "h1", "h2", F.explode(F.when(F.size("w") >= MIN_WORDS, F.col("w"))).alias("w"))
+    words = words.select("id", "key", "line", "h1", "h2", F.xxhash64("w").alias("h"))
+    lanes = [F.sum(F.shiftright("h", j).bitwiseAND(F.lit(PICK).cast("long"))).alias(f"s{j}") for j in range(LANE)]
+    sums = words.groupBy("id", "key", "line", "h1", "h2").agg(F.count("*").alias("n"), *lanes)
+    # A counter reaches 2^20 once this is added if it counts over half of the words.
+    add = (F.lit(MOST_WORDS) - F.floor(F.col("n") / 2)).cast("long") * F.lit(PICK).cast("long")
+    sums = sums.select("id", "key", "line", "h1", "h2", "n", F.when(F.col("n") <= MOST_WORDS, add).otherwise(0).alias("add"), *[f"s{j}" for j in range(LANE)])
+    sim = F.lit(0).cast("long")
+    for j in range(LANE):
+        over = F.shiftright(F.col(f"s{j}") + F.col("add"), LANE - 1).bitwiseAND(F.lit(PICK).cast("long"))
+        sim = sim.bitwiseOR(F.shiftleft(over, j))
     return sums.select("id", "key", "line", "h1", "h2", "n", sim.alias("sim"))
 
 
 def pigeonhole_keys(sim: Column, blocks: int, radius: int) -> Column:
     """An array with one key for each choice of ``blocks - radius`` blocks."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
     keys = []
     for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(F.lit(k), sim.bitwiseAND(F.lit(mask).cast("long"))))
     return F.array(*keys)
 
 
 def block_count(n: int, radius: int) -> int:
     """Blocks so that a key has at least log2(n) + 3 bits, which keeps chance partners below one for each line."""
-    return next((m for m in range(radius + 1, 13) if 64 * (m - radius) // m >= log2(max(n, 2)) + 3), 12)
+    return next((m for m in range(radius + 1, 13) if BITS * (m - radius) // m >= log2(max(n, 2)) + 3), 12)
 
 
 def _near(a: str, b: str, radius: int) -> Column:
@@ -106,33 +106,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where("levenshtein(ta, tb, most) >= 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``lid, norm`` of the lines in ``wanted`` (``lid``), read at their first places."""
+    at = _sendable(staged(wanted, "line-wanted")).join(lines.select("lid", "place"), "lid")
+    spots = at.groupBy(F.col("place.id").alias("id"), F.col("place.key").alias("key")).agg(F.collect_list(F.struct("lid", "place.line")).alias("spots"))
+    spots = _sendable(staged(spots, "line-spots"))
+    texts = docs.select("doc_id", _key().alias("text_key"), "text").join(spots, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    # The same document may stand there more than once.
+    texts = texts.select("spots", F.split("text", "\n", -1).alias("parts"))
+    found = texts.select(F.explode(F.transform("spots", lambda s: F.struct(s["lid"].alias("lid"), F.get("parts", s["line"]).alias("raw")))).alias("x"))
+    return found.select("x.lid", normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
+
+
+def _linked(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``; staged) that are similar enough, as ``u``, ``v``, staged."""
+    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    texts = staged(line_texts(lines, ids, docs), "line-texts")
+    return staged(_verified(pairs, texts, similarity), "line-links")
+
+
 def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``u``, ``v`` that connect the groups of near lines. ``lines``: ``lid, h1, h2, sim`` of the distinct lines."""
+    """Links ``u``, ``v`` that connect the groups of near lines. ``lines``: ``lid, sim, place`` of the distinct lines."""
     m = block_count(lines.count(), radius)
     keyed = lines.select("lid", "sim", F.explode(pigeonhole_keys(F.col("sim"), m, radius)).alias("k"))
-    member = F.struct("lid", "sim")
-    groups = keyed.groupBy("k").agg(F.min(member).alias("lo"), F.max(member).alias("hi"), F.count("*").alias("c")).where("c > 1")
-    groups = staged(groups, "line-keys")
-    ends = groups.select(F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("hi.lid").alias("b"), F.col("hi.sim").alias("sb"))
-    crowded = _sendable(staged(groups.where("c > 2").select("k", "lo"), "line-crowded"))
-    members = staged(keyed.join(crowded, "k").select("k", "lo", "lid", "sim"), "line-members")
-    led = members.where("lid <> lo.lid").select(F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("lid").alias("b"), F.col("sim").alias("sb"))
-    pairs = staged(ends.union(led).where(_near("sa", "sb", radius)).select("a", "b").distinct(), "line-pairs")
-    # All lines that may ever be compared: those near a first member, and the members of crowded keys.
-    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(members.select("lid")).distinct()
-    wanted = _sendable(staged(ids.join(lines.select("lid", "h1", "h2"), "lid"), "line-wanted"))
-    texts = lines_of(docs).select("h1", "h2", "norm").join(wanted, ["h1", "h2"]).groupBy("lid").agg(F.min("norm").alias("norm"))
-    texts = staged(texts, "line-texts")
-    first = staged(_verified(pairs, texts, similarity), "line-links")
+    # Most keys have one line: the keys alone are counted first.
+    shared = keyed.select("k").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", (F.col("c") > 2).alias("crowded"))
+    shared = _sendable(staged(shared, "line-keys"))
+    members = staged(keyed.join(shared, "k"), "line-members")
+    ends = members.groupBy("k", "crowded").agg(F.min(F.struct("lid", "sim")).alias("lo"), F.max(F.struct("lid", "sim")).alias("hi"))
+    pair = [F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("hi.lid").alias("b"), F.col("hi.sim").alias("sb")]
+    two = ends.where("not crowded").select(*pair)
+    crowd = members.where("crowded").select("k", "lid", "sim")
+    leader = _sendable(staged(ends.where("crowded").select("k", "lo"), "line-leaders"))
+    led = staged(crowd.join(leader, "k").where("lid <> lo.lid"), "line-led")
+    star = led.select(F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("lid").alias("b"), F.col("sim").alias("sb"))
+    pairs = staged(two.union(star).where(_near("sa", "sb", radius)).select("a", "b").distinct(), "line-pairs")
+    first = _linked(pairs, lines, docs, similarity)
     roots = connected_components(first).withColumnRenamed("node", "lid")
-    placed = members.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    placed = staged(led.select("k", "lid", "sim").join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")), "line-placed")
     split = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-    open_ = staged(placed.join(split, "k").where("lid <> lo.lid").select("k", "lid", "sim", "root"), "line-open")
+    open_ = staged(placed.join(split, "k"), "line-open")
     other = open_.select("k", F.col("lid").alias("b"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
     mine = open_.select("k", F.col("lid").alias("a"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
     rest = mine.join(other, (mine.k == other.k) & (F.col("ra") < F.col("rb")) & _near("sa", "sb", radius)).select("a", "b").distinct()
-    second = staged(_verified(staged(rest, "line-rest"), texts, similarity), "line-links")
-    return first.union(second)
+    rest = staged(rest, "line-rest")
+    return first if rest.isEmpty() else first.union(_linked(rest, lines, docs, similarity))
 
 
 def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -155,7 +173,7 @@ def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMI
     """``docs`` without the repeated lines in ``text``, and ``__gone``, the sorted numbers of those lines (or null)."""
     gone = staged(repeated_lines(clean_columns(docs, "doc_id", "text"), radius, similarity), "line-gone")
     marks = _sendable(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.array_sort("gone").alias("__gone")))
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
