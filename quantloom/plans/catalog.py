@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["q_panel", "q_factors"]
+FLAGSHIP = "ts_rank"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "join_screen_view"
+for _name in MODULES:
+    _m = import_module(f"{__package__}.{_name}")
+    if _twice := QUERIES.keys() & _m.QUERIES.keys():
+        raise ValueError(f"registered twice: {sorted(_twice)}")
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
