@@ -21,21 +21,21 @@ training text the bits have probability 1/2. An empty table gives an empty resul
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import clean_columns, small_batches, staged, table
 
 DEPTH = 5
-#: Bytes of text in a block; most distinct tokens and bytes that a counting task holds before it passes them on.
-BLOCK, HELD, GRAMS = 32 << 20, 500_000, 8 << 20
+#: Bytes of text in a block; grams that a task sorts at once; distinct grams and tokens that a counting task holds.
+BLOCK, GRAMS, HELD = 32 << 20, 4 << 20, 2_000_000
 #: The end of a text as a token; no word is empty.
-END = b""
+END = ""
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -65,52 +65,117 @@ def grams(text: bytes, depth: int = DEPTH) -> np.ndarray:
     return code
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased; nulls become empty."""
+    return pc.ascii_lower(pc.fill_null(texts, ""))
+
+
+def words_of(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, and the row of each."""
+    parts = pc.ascii_split_whitespace(low)
+    flat = parts.flatten()
+    row = np.repeat(np.arange(len(low)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    full = pc.not_equal(flat, "")
+    return flat.filter(full), row[full.to_numpy(zero_copy_only=False)]
+
+
+def tally(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    keys, at = np.unique(codes, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+class Lookup:
+    """Values by non-negative integer key, all of which it holds: tables whose losers go to the next table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.tables: list[tuple[np.ndarray, np.uint64, np.uint64]] = []
+        odd = 0x9E3779B97F4A7C15
+        while len(keys):
+            bits = max(4, int(2 * len(keys)).bit_length())
+            table = np.full((1 << bits, 2), -1, np.int64)
+            factor, shift = np.uint64(odd), np.uint64(64 - bits)
+            at = (keys.astype(np.uint64) * factor) >> shift
+            table[at] = np.column_stack([keys, values.view(np.int64)])
+            lost = table[at, 0] != keys
+            self.tables.append((table, factor, shift))
+            keys, values = keys[lost], values[lost]
+            odd = (odd * 0xD1342543DE82EF95 + 2) % (1 << 64) | 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, left = None, None
+        for table, factor, shift in self.tables:
+            got = table[(keys.astype(np.uint64) * factor) >> shift]
+            miss = np.flatnonzero(got[:, 0] != keys)
+            if out is None:
+                out, left = got[:, 1].copy(), miss
+            else:
+                out[left] = got[:, 1]
+                left = left[miss]
+            keys = keys[miss]
+            if not len(keys):
+                break
+        if out is None or len(keys):
+            raise KeyError("a key is missing")
+        return out.view(np.float64)
+
+
 class Subtree:
-    """The weighted trees of all contexts that end with the same ``top`` bytes. ``codes``: distinct grams; ``counts``: theirs."""
+    """The weighted trees of all contexts that end with the same ``top`` bytes. ``codes``: distinct grams; ``counts``: theirs.
+
+    ``levels``: for depth ``depth`` down to ``top``, the sorted (context, byte) pairs of that depth. In this order the
+    pairs of any node of a context stand together, so that nodes are runs.
+    """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> None:
-        self.top, self.depth = top, depth
-        self.byte, self.ctx = codes & 255, codes >> 8
-        self.counts = counts.astype(np.float64)
-        self.levels: list[list[tuple]] = []
+        self.byte = codes & 255
+        at = None
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        keys, n = codes, counts.astype(np.float64)
+        for d in range(depth, top - 1, -1):
+            own = (((keys >> 8) & ((1 << (8 * d)) - 1)) << 8) | (keys & 255)
+            keys_up, up = np.unique(own, return_inverse=True)
+            n = np.bincount(up, n, len(keys_up))
+            at = up if at is None else up[at]
+            self.levels.append((keys_up, n, up, at))
+            keys = keys_up
+        self.steps = []
         for bit in range(8):
-            node = (1 << bit) | (self.byte >> (8 - bit))
-            b = (self.byte >> (7 - bit)) & 1
-            levels: list[tuple] = []
-            deeper = None
-            for d in range(depth, top - 1, -1):
-                key = ((self.ctx & ((1 << (8 * d)) - 1)) << 8) | node
-                keys, at = np.unique(key, return_inverse=True)
-                n0 = np.bincount(at, self.counts * (b == 0), len(keys))
-                n1 = np.bincount(at, self.counts * (b == 1), len(keys))
+            deeper, found = None, []
+            for k, (keys, n, up, _) in enumerate(self.levels):
+                node = (keys >> 8 << 8) | (1 << bit) | ((keys & 255) >> (8 - bit))
+                run = np.concatenate([[0], np.cumsum(node[1:] != node[:-1])])
+                first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                n1 = np.add.reduceat(n * ((keys >> (7 - bit)) & 1), first)
+                n0 = np.add.reduceat(n, first) - n1
                 kt = log_kt(n0, n1)
                 if deeper is None:
-                    weighted, weight = kt, np.ones(len(keys))
+                    weighted, weight = kt, np.ones(len(kt))
                 else:
-                    k, lw = deeper
-                    up = ((k >> 8 & ((1 << (8 * d)) - 1)) << 8) | (k & 255)
-                    below = np.bincount(np.searchsorted(keys, up), lw, len(keys))
+                    # A node of the level below belongs to the run of its first pair.
+                    start, lw = deeper
+                    below = np.bincount(run[up[start]], lw, len(kt))
                     weighted = np.logaddexp(kt, below) - math.log(2)
                     weight = np.exp(kt - math.log(2) - weighted)
-                levels.append((keys, at, n0, n1, weight))
-                deeper = keys, weighted
-            self.levels.append(levels)
-            setattr(self, f"root{bit}", (deeper[0], deeper[1], levels[-1][2], levels[-1][3]))
+                found.append((run, n0, n1, weight))
+                deeper = first, weighted
+            first, weighted = deeper
+            self.steps.append((found, 1 << bit | ((self.levels[-1][0][first] & 255) >> (8 - bit)), weighted))
 
     def roots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Node, log weighted probability and counts of each node at depth ``top``."""
-        parts = [getattr(self, f"root{bit}") for bit in range(8)]
-        key, lw, n0, n1 = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        return key & 255, lw, n0, n1
+        parts = [(node, lw, found[-1][1], found[-1][2]) for found, node, lw in self.steps]
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
     def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each bit, the node, the bit and its probability under the subtree, of each gram."""
-        for bit, levels in enumerate(self.levels):
+        for bit, (found, _, _) in enumerate(self.steps):
             b = (self.byte >> (7 - bit)) & 1
             p = None
-            for _, at, n0, n1, weight in levels:
-                q = ((np.where(b == 0, n0[at], n1[at])) + 0.5) / (n0[at] + n1[at] + 1)
-                p = q if p is None else weight[at] * q + (1 - weight[at]) * p
+            for (run, n0, n1, weight), (_, _, _, at) in zip(found, self.levels):
+                own = run[at]
+                q = (np.where(b == 0, n0[own], n1[own]) + 0.5) / (n0[own] + n1[own] + 1)
+                p = q if p is None else weight[own] * q + (1 - weight[own]) * p
             yield (1 << bit) | (self.byte >> (8 - bit)), b, p
 
 
@@ -132,52 +197,68 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     A row with neither has in ``count`` the bytes of all texts that a task read.
     """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("gram", pa.int64()), ("token", pa.binary()), ("count", pa.int64())])
+    schema = pa.schema([("gram", pa.int64()), ("token", pa.string()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter[bytes] = Counter()
-        held = {True: [], False: []}
-        size = read = 0
+        loose: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        packed: list[tuple[np.ndarray, np.ndarray]] = []
+        tokens: list[pa.Table] = []
+        size = read = held = 0
+
+        def pack() -> None:
+            """Sorts the loose grams; joins packed ones."""
+            for train in (True, False):
+                if loose[train]:
+                    codes, counts = np.unique(np.concatenate(loose[train]), return_counts=True)
+                    packed.append((codes, counts if train else np.zeros(len(codes), np.int64)))
+                    loose[train] = []
+            if packed:
+                packed[:] = [tally(np.concatenate([c for c, _ in packed]), np.concatenate([n for _, n in packed]))]
+
+        def join() -> None:
+            if tokens:
+                tokens[:] = [pa.concat_tables(tokens).group_by("token").aggregate([("count", "sum")]).rename_columns(["token", "count"])]
 
-        def tokens_out() -> pa.RecordBatch:
-            n = len(tokens)
-            out = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(tokens), pa.binary()), pa.array(list(tokens.values()), pa.int64())], schema=schema)
+        def out() -> Iterator[pa.RecordBatch]:
+            for codes, counts in packed:
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.nulls(len(codes), pa.string()), pa.array(counts)], schema=schema)
+            for t in tokens:
+                for b in t.combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("token"), b.column("count")], schema=schema)
+            packed.clear()
             tokens.clear()
-            return out
-
-        def grams_out() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held[True]), return_counts=True) if held[True] else (np.empty(0, np.int64),) * 2
-            if held[False]:
-                other = np.setdiff1d(np.unique(np.concatenate(held[False])), codes, assume_unique=True)
-                codes, counts = np.concatenate([codes, other]), np.concatenate([counts, np.zeros(len(other), np.int64)])
-            held[True], held[False] = [], []
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.nulls(len(codes), pa.binary()), pa.array(counts.astype(np.int64))], schema=schema)
 
         for batch in batches:
-            for text, train in zip(batch.column("text").to_pylist(), batch.column("train").to_pylist()):
-                low = (text or "").encode().lower()
-                words = low.split()
-                words.append(END)
-                if train:
-                    tokens.update(words)
-                else:
-                    for w in words:
-                        tokens.setdefault(w, 0)
-                held[train].append(grams(low, depth))
-                size += len(low) + 1
-                read += len(low)
-                if size >= GRAMS:
-                    yield grams_out()
-                    size = 0
-            if len(tokens) >= HELD:
-                yield tokens_out()
-        if tokens:
-            yield tokens_out()
-        yield grams_out()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([read], pa.int64())], schema=schema)
+            low = lowered(batch.column("text"))
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            for t, learn in zip(low.cast(pa.binary()).to_pylist(), train.tolist()):
+                loose[learn].append(grams(t, depth))
+                size += len(t) + 1
+                read += len(t)
+            words, row = words_of(low)
+            for learn in (True, False):
+                found = pc.value_counts(words.filter(pa.array(train[row] == learn)))
+                count = found.field("counts").to_numpy()
+                texts = int((train == learn).sum())
+                names = pa.concat_arrays([found.field("values"), pa.array([END], pa.string())])
+                tokens.append(pa.table({"token": names, "count": np.append(count, texts) if learn else np.zeros(len(count) + 1, np.int64)}))
+                held += len(names)
+            if size >= GRAMS:
+                pack()
+                size = 0
+            if held >= HELD // 2:
+                join()
+                held = sum(map(len, tokens))
+                if held >= HELD // 4 or len(packed) and len(packed[0][0]) >= HELD:
+                    yield from out()
+                    held = 0
+        pack()
+        join()
+        yield from out()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([read], pa.int64())], schema=schema)
 
     rows = clean_columns(docs, "doc_id", "text").select("text", _train().alias("train"))
-    return rows.mapInArrow(run, "gram long, token binary, count long")
+    return rows.mapInArrow(run, "gram long, token string, count long")
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -231,62 +312,70 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
     rows = clean_columns(docs, "doc_id", "text").withColumn("train", _train())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = rows.repartition(blocks, "block")
-    schema = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("token", pa.binary())])
+    schema = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("token", pa.string())])
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each block in the partition asks for. A second mention of a gram after many others is harmless."""
-        words: dict[int, set[bytes]] = {}
+        """The distinct grams and tokens of each block in the partition."""
+        words: dict[int, list[pa.Array]] = {}
         held: dict[int, list[np.ndarray]] = {}
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for k in list(held):
-                codes = np.unique(np.concatenate(held.pop(k)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.nulls(len(codes), pa.binary())], schema=schema)
-                own = list(words.pop(k))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.nulls(len(own), pa.int64()), pa.array(own, pa.binary())], schema=schema)
+        def squeeze() -> None:
+            for k in held:
+                held[k] = [np.unique(np.concatenate(held[k]))]
+                words[k] = [pc.unique(pa.concat_arrays(words[k]))]
 
         for batch in batches:
-            for text, k in zip(batch.column("text").to_pylist(), batch.column("block").to_pylist()):
-                low = (text or "").encode().lower()
-                words.setdefault(k, {END}).update(low.split())
-                kept = held.setdefault(k, [])
-                kept.append(grams(low, depth))
-                size += len(low) + 1
-                if size >= GRAMS:
-                    size = 0
-                    for j in held:
-                        held[j] = [np.unique(np.concatenate(held[j]))]
-        yield from out()
-
-    needs = dealt.mapInArrow(wanted, "block int, gram long, token binary")
-    known = needs.where("gram is not null").join(logs, "gram").select("block", "gram", F.lit(None).cast("binary").alias("token"), F.col("logp").alias("x"))
+            low = lowered(batch.column("text"))
+            block = batch.column("block").to_numpy()
+            own, row = words_of(low)
+            for k in np.unique(block).tolist():
+                words.setdefault(k, [pa.array([END], pa.string())]).append(pc.unique(own.filter(pa.array(block[row] == k))))
+            for t, k in zip(low.cast(pa.binary()).to_pylist(), block.tolist()):
+                held.setdefault(k, []).append(grams(t, depth))
+                size += len(t) + 1
+            if size >= GRAMS:
+                squeeze()
+                size = 0
+        squeeze()
+        for k in held:
+            codes, own = held[k][0], words[k][0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.nulls(len(codes), pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.nulls(len(own), pa.int64()), own], schema=schema)
+
+    needs = dealt.mapInArrow(wanted, "block int, gram long, token string")
+    known = needs.where("gram is not null").join(logs, "gram").select("block", "gram", F.lit(None).cast("string").alias("token"), F.col("logp").alias("x"))
     told = needs.where("token is not null").join(token_counts, "token").select("block", F.lit(None).cast("long").alias("gram"), "token", F.col("count").cast("double").alias("x"))
     unseen = math.log10(n + v + 1)
-    out = [("doc_id", None), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
 
     def meet(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        gram = answers.column("gram").combine_chunks()
-        own = answers.filter(gram.is_valid())
-        codes, logp = own.column("gram").to_numpy(), own.column("x").to_numpy()
-        order = np.argsort(codes)
-        codes, logp = codes[order], logp[order]
-        own = answers.filter(gram.is_null())
-        count = dict(zip(own.column("token").to_pylist(), own.column("x").to_numpy().astype(np.int64).tolist()))
-        gain = {w: math.log10(c + 1) for w, c in count.items() if c}
-        cols: list[list] = [[] for _ in out]
-        for doc, text, train in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), texts.column("train").to_pylist()):
-            low = (text or "").encode().lower()
-            words = low.split()
-            words.append(END)
-            got = [gain[w] for w in words if w in gain]
-            s = float(logp[np.searchsorted(codes, grams(low, depth))].sum())
-            row = (doc, not train, len(words), len(got), n, math.fsum(got) - len(words) * unseen, s, -s * math.log2(10) / (len(low) + 1))
-            for c, x in zip(cols, row):
-                c.append(x)
-        kinds = [texts.schema.field("doc_id").type if k is None else k for _, k in out]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], [name for name, _ in out])
-
+        own = answers.filter(pc.is_valid(answers.column("gram")))
+        look = Lookup(own.column("gram").to_numpy(), own.column("x").to_numpy())
+        own = answers.filter(pc.is_valid(answers.column("token")))
+        names = own.column("token").combine_chunks()
+        count = own.column("x").to_numpy()
+        gain = np.log10(count + 1)
+        at_end = pc.index(names, END).as_py()
+        end_count, end_gain = count[at_end], gain[at_end]
+        parts = []
+        for chunk in texts.to_batches(max_chunksize=500):
+            low = lowered(chunk.column("text"))
+            words, row = words_of(low)
+            at = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)
+            rows = chunk.num_rows
+            tokens = np.bincount(row, minlength=rows) + 1
+            hits = np.bincount(row, count[at] > 0, rows).astype(np.int64) + (end_count > 0)
+            base = np.bincount(row, gain[at], rows) + end_gain - tokens * unseen
+            raw = low.cast(pa.binary()).to_pylist()
+            codes = [grams(t, depth) for t in raw]
+            size = np.array([len(c) for c in codes])
+            sums = np.add.reduceat(look(np.concatenate(codes)), np.cumsum(size) - size)
+            held_out = pc.invert(chunk.column("train"))
+            cols = [chunk.column("doc_id"), held_out, tokens, hits, np.full(rows, n, np.int64), base, sums, -sums * math.log2(10) / size]
+            parts.append(pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out))
+        return pa.concat_tables(parts)
+
+    out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return dealt.groupBy("block").cogroup(known.unionByName(told).groupBy("block")).applyInArrow(meet, kinds)
