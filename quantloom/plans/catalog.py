@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_panel", "q_factors"]
+MODULES = ["q_panel", "q_factors", "q_indicators"]
 FLAGSHIP = "ts_rank"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
