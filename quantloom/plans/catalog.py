@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_panel", "q_factors", "q_indicators"]
-FLAGSHIP = "ts_rank"
+MODULES = ["q_panel", "q_factors", "q_indicators", "q_relational"]
+FLAGSHIP = "join_screen_view"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
