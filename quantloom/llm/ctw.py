@@ -74,7 +74,7 @@ def words_of(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, and the row of each."""
     parts = pc.ascii_split_whitespace(low)
     flat = parts.flatten()
-    row = np.repeat(np.arange(len(low)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(low), dtype=np.int32), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     full = pc.not_equal(flat, "")
     return flat.filter(full), row[full.to_numpy(zero_copy_only=False)]
 
@@ -276,6 +276,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         seen = np.unique(t.column("node").to_numpy())
         return pa.table({"s1": np.full(len(seen), t.column("s1")[0].as_py(), np.int32), "node": seen.astype(np.int32), "lw": lw[seen], "n0": n0[seen], "n1": n1[seen], "weight": weight[seen]})
 
+    small_batches(spark, 20_000)
     twos = cut.groupBy("s2").applyInArrow(up, "s1 int, node int, lw double, n0 double, n1 double")
     # Contexts of one byte: at most 256 of them with 255 nodes each, whatever the corpus.
     ones = twos.groupBy("s1").applyInArrow(mid, "s1 int, node int, lw double, n0 double, n1 double, weight double").toPandas()
@@ -296,7 +297,6 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             logp += np.log10(p)
         return pa.table({"gram": code, "logp": logp})
 
-    small_batches(spark)
     return cut.groupBy("s2").applyInArrow(down, "gram long, logp double")
 
 
@@ -312,40 +312,29 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
     rows = clean_columns(docs, "doc_id", "text").withColumn("train", _train())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     dealt = rows.repartition(blocks, "block")
-    schema = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("token", pa.string())])
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct grams and tokens of each block in the partition."""
-        words: dict[int, list[pa.Array]] = {}
-        held: dict[int, list[np.ndarray]] = {}
+    def grams_wanted(t: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        loose: list[np.ndarray] = []
         size = 0
-
-        def squeeze() -> None:
-            for k in held:
-                held[k] = [np.unique(np.concatenate(held[k]))]
-                words[k] = [pc.unique(pa.concat_arrays(words[k]))]
-
-        for batch in batches:
-            low = lowered(batch.column("text"))
-            block = batch.column("block").to_numpy()
-            own, row = words_of(low)
-            for k in np.unique(block).tolist():
-                words.setdefault(k, [pa.array([END], pa.string())]).append(pc.unique(own.filter(pa.array(block[row] == k))))
-            for t, k in zip(low.cast(pa.binary()).to_pylist(), block.tolist()):
-                held.setdefault(k, []).append(grams(t, depth))
-                size += len(t) + 1
-            if size >= GRAMS:
-                squeeze()
-                size = 0
-        squeeze()
-        for k in held:
-            codes, own = held[k][0], words[k][0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.nulls(len(codes), pa.string())], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.nulls(len(own), pa.int64()), own], schema=schema)
-
-    needs = dealt.mapInArrow(wanted, "block int, gram long, token string")
-    known = needs.where("gram is not null").join(logs, "gram").select("block", "gram", F.lit(None).cast("string").alias("token"), F.col("logp").alias("x"))
-    told = needs.where("token is not null").join(token_counts, "token").select("block", F.lit(None).cast("long").alias("gram"), "token", F.col("count").cast("double").alias("x"))
+        for b in t.to_batches():
+            for text in lowered(b.column("text")).cast(pa.binary()).to_pylist():
+                loose.append(grams(text, depth))
+                size += len(text) + 1
+                if size >= GRAMS:
+                    found.append(np.unique(np.concatenate(loose)))
+                    loose, size = [], 0
+        codes = np.unique(np.concatenate(found + loose))
+        return pa.table({"block": np.full(len(codes), t.column("block")[0].as_py(), np.int32), "gram": codes})
+
+    def tokens_wanted(t: pa.Table) -> pa.Table:
+        found = [pc.unique(words_of(lowered(b.column("text")))[0]) for b in t.to_batches()]
+        own = pc.unique(pa.concat_arrays([*found, pa.array([END], pa.string())]))
+        return pa.table({"block": np.full(len(own), t.column("block")[0].as_py(), np.int32), "token": own})
+
+    blocked = dealt.groupBy("block")
+    known = blocked.applyInArrow(grams_wanted, "block int, gram long").join(logs, "gram").select("block", "gram", F.lit(None).cast("string").alias("token"), F.col("logp").alias("x"))
+    told = blocked.applyInArrow(tokens_wanted, "block int, token string").join(token_counts, "token").select("block", F.lit(None).cast("long").alias("gram"), "token", F.col("count").cast("double").alias("x"))
     unseen = math.log10(n + v + 1)
 
     def meet(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -357,28 +346,30 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
         gain = np.log10(count + 1)
         at_end = pc.index(names, END).as_py()
         end_count, end_gain = count[at_end], gain[at_end]
-        parts = []
-        for chunk in texts.to_batches(max_chunksize=500):
-            low = lowered(chunk.column("text"))
-            words, row = words_of(low)
-            at = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)
-            rows = chunk.num_rows
-            tokens = np.bincount(row, minlength=rows) + 1
-            hits = np.bincount(row, count[at] > 0, rows).astype(np.int64) + (end_count > 0)
-            base = np.bincount(row, gain[at], rows) + end_gain - tokens * unseen
-            raw = low.cast(pa.binary()).to_pylist()
-            codes = [grams(t, depth) for t in raw]
-            size = np.array([len(c) for c in codes])
-            sums = np.add.reduceat(look(np.concatenate(codes)), np.cumsum(size) - size)
-            held_out = pc.invert(chunk.column("train"))
-            cols = [chunk.column("doc_id"), held_out, tokens, hits, np.full(rows, n, np.int64), base, sums, -sums * math.log2(10) / size]
-            parts.append(pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out))
-        return pa.concat_tables(parts)
+        low = lowered(texts.column("text").combine_chunks())
+        words, row = words_of(low)
+        at = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)
+        rows = texts.num_rows
+        tokens = np.bincount(row, minlength=rows) + 1
+        hits = np.bincount(row, count[at] > 0, rows).astype(np.int64) + (end_count > 0)
+        base = np.bincount(row, gain[at], rows) + end_gain - tokens * unseen
+        del words, row, at
+        sums, size = np.zeros(rows), np.zeros(rows, np.int64)
+        for first in range(0, rows, 200):
+            codes = [grams(t, depth) for t in low.slice(first, 200).cast(pa.binary()).to_pylist()]
+            own = np.array([len(c) for c in codes])
+            size[first : first + 200] = own
+            sums[first : first + 200] = np.add.reduceat(look(np.concatenate(codes)), np.cumsum(own) - own)
+        held_out = pc.invert(texts.column("train").combine_chunks())
+        cols = [texts.column("doc_id").combine_chunks(), held_out, tokens, hits, np.full(rows, n, np.int64), base, sums, -sums * math.log2(10) / size]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out)
 
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return dealt.groupBy("block").cogroup(known.unionByName(told).groupBy("block")).applyInArrow(meet, kinds)
+    # A group is one block of texts and its answers, so its batches may be long.
+    small_batches(docs.sparkSession, 20_000)
+    return blocked.cogroup(known.unionByName(told).groupBy("block")).applyInArrow(meet, kinds)
 
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
