@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_columns, small_batches, staged, table
+from .common import clean_columns, drop_stage, small_batches, staged, table
 
 DEPTH = 5
 #: Bytes of text in a block; grams that a task sorts at once; distinct grams and tokens that a counting task holds.
-BLOCK, GRAMS, HELD = 32 << 20, 4 << 20, 2_000_000
+BLOCK, GRAMS, HELD = 20 << 20, 4 << 20, 2_000_000
 #: The end of a text as a token; no word is empty.
 END = ""
 
@@ -307,7 +307,9 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
     token_counts = staged(counts.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")), "ctw-tokens")
     size = counts.where("gram is null and token is null").agg(F.sum("count")).first()[0] or 0
     n, v = token_counts.where("count > 0").agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    drop_stage(counts)
     logs = staged(gram_scores(gram_counts, depth), "ctw-scores")
+    drop_stage(gram_counts)
     blocks = max(1, -(-size // block_bytes))
     rows = clean_columns(docs, "doc_id", "text").withColumn("train", _train())
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -343,18 +345,23 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
         own = answers.filter(pc.is_valid(answers.column("token")))
         names = own.column("token").combine_chunks()
         count = own.column("x").to_numpy()
+        del own, answers
         gain = np.log10(count + 1)
         at_end = pc.index(names, END).as_py()
         end_count, end_gain = count[at_end], gain[at_end]
         low = lowered(texts.column("text").combine_chunks())
-        words, row = words_of(low)
-        at = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)
         rows = texts.num_rows
-        tokens = np.bincount(row, minlength=rows) + 1
-        hits = np.bincount(row, count[at] > 0, rows).astype(np.int64) + (end_count > 0)
-        base = np.bincount(row, gain[at], rows) + end_gain - tokens * unseen
-        del words, row, at
-        sums, size = np.zeros(rows), np.zeros(rows, np.int64)
+        tokens, size, hits = (np.zeros(rows, np.int64) for _ in range(3))
+        base, sums = np.zeros(rows), np.zeros(rows)
+        # The token table is hashed anew for each slice of texts, the gram table only once.
+        for first in range(0, rows, 2000):
+            words, row = words_of(low.slice(first, 2000))
+            at = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False)
+            k = min(2000, rows - first)
+            tokens[first : first + k] = np.bincount(row, minlength=k) + 1
+            hits[first : first + k] = np.bincount(row, count[at] > 0, k).astype(np.int64) + (end_count > 0)
+            base[first : first + k] = np.bincount(row, gain[at], k) + end_gain
+        base -= tokens * unseen
         for first in range(0, rows, 200):
             codes = [grams(t, depth) for t in low.slice(first, 200).cast(pa.binary()).to_pylist()]
             own = np.array([len(c) for c in codes])
@@ -362,7 +369,10 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
             sums[first : first + 200] = np.add.reduceat(look(np.concatenate(codes)), np.cumsum(own) - own)
         held_out = pc.invert(texts.column("train").combine_chunks())
         cols = [texts.column("doc_id").combine_chunks(), held_out, tokens, hits, np.full(rows, n, np.int64), base, sums, -sums * math.log2(10) / size]
-        return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out)
+        done = pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out)
+        del look, names, low, texts
+        pa.default_memory_pool().release_unused()
+        return done
 
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kind = docs.schema["doc_id"].dataType.simpleString()
