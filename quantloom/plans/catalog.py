@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_panel", "q_factors", "q_indicators", "q_relational", "q_scalar", "q_models"]
+MODULES = ["q_panel", "q_factors", "q_indicators", "q_relational", "q_scalar", "q_models", "q_machines"]
 FLAGSHIP = "join_screen_view"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
