@@ -1,8 +1,9 @@
 """Toxicity by a learned lexicon, Levenshtein automata over its trie, and context windows around each hit.
 
 Lexicon. In the learning rows, each distinct text counts once for its distinct words and for their stems (prefixes of
-four to six letters). A term enters if its odds of standing in a toxic text are high beyond chance; the LEXICON best
-are kept, which bounds the model. Half of the learning rows find the terms, the other half calibrates, so a term that
+four to six letters). A term enters if its odds of standing in a toxic text are high beyond chance, at least SHARE of
+the best term's; the LEXICON best are looked at, which bounds the model, and those that a better one covers are
+dropped: words with a stem that is in, and stems most of whose texts have one word or longer stem. Half of the learning rows find the terms, the other half calibrates, so a term that
 only happens to stand in toxic texts is seen to fail.
 
 Matching. The terms form a trie. A word is looked up by walking the trie with the word's Levenshtein automaton: a set
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import clean_columns, small_batches, staged, table
 
 STEMS, HELD, CACHE = (4, 5, 6), 500_000, 400_000
-LEXICON, LEAST_TEXTS, LEAST_ODDS, FIT_ROWS, MOST_SENT = 1000, 4, 0.8, 20_000, 1 << 20
+LEXICON, LEAST_TEXTS, LEAST_ODDS, SHARE, COVERED, FIT_ROWS, MOST_SENT = 1000, 4, 0.8, 0.5, 0.8, 20_000, 1 << 20
 WINDOW = 5
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’‹›¡¿…–—"
 QUOTES = set("\"'«»„“”‘’‹›")
@@ -219,7 +220,17 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool,
     sure = odds - 1.96 * F.sqrt(1 / t + 1 / c)
     best = term_counts(rows).where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("sure", sure)
     best = best.where(F.col("sure") >= LEAST_ODDS).orderBy(F.desc("sure"), "term", "stem").limit(size).collect()
-    return [(r.term, r.stem, float(r.sure)) for r in best]
+    kept: list = []
+    # Of equals, words come before stems, and longer stems before shorter ones.
+    for r in sorted(best, key=lambda r: (-r.sure, r.stem, -len(r.term), r.term)):
+        if r.sure < SHARE * best[0].sure:
+            break
+        if any(k.stem and r.term.startswith(k.term) for k in kept):
+            continue
+        if r.stem and any(k.term.startswith(r.term) and k.toxic >= COVERED * r.toxic for k in kept):
+            continue
+        kept.append(r)
+    return [(r.term, r.stem, float(r.sure)) for r in kept]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
