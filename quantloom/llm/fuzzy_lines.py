@@ -2,8 +2,9 @@
 
 Lines (parts of a text between line feeds) are normalised: lower case, ASCII punctuation, control characters and
 spaces to single spaces. Lines of at least MIN_WORDS words count. Equal normalised lines are one distinct line. Each
-distinct line has a 63-bit SimHash of its words (a bit is set if it is set in over half of the words' hashes). Two
-distinct lines are linked if their SimHashes differ in at most RADIUS bits and their edit similarity
+distinct line has a 63-bit SimHash of its distinct words (a bit is set if it is set in over half of their hashes;
+counting words as often as they stand would let a language's function words decide for long lines). Two distinct
+lines are linked if their SimHashes differ in at most RADIUS bits and their edit similarity
 ``1 - distance / longer length`` is at least SIMILARITY. Of every connected group the first occurrence, by
 (doc_id, text, line number), stays; all other occurrences of its lines are removed.
 
@@ -16,8 +17,9 @@ this leaves in different groups are then compared with one another, so no link b
 inside a group, which change nothing, are never listed.
 
 SimHash in code generation: a word's hash is spread over 21 longs of three counters each, which sum as plain longs.
-The counters hold lines of up to MOST_WORDS words; a longer line is linked to equal ones only.
+The counters hold lines of up to MOST_WORDS distinct words; a longer line is linked to equal ones only.
 
+Edit distances are taken of what two lines leave after their common beginning and end, which are found by halving.
 Texts are fetched only for lines that a key has brought together within RADIUS bits, by their place in the corpus.
 
 Nulls: a null text has no lines and stays null; a null doc_id ranks first. Rows that agree in doc_id and text are one
@@ -64,7 +66,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
     norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.split("norm", " ").alias("w"))
     # Short lines explode to nothing. A filter would be pushed below and normalise every line a second time.
-    words = norm.select("id", "key", "line", "h1", "h2", F.explode(F.when(F.size("w") >= MIN_WORDS, F.col("w"))).alias("w"))
+    words = norm.select("id", "key", "line", "h1", "h2", F.explode(F.when(F.size("w") >= MIN_WORDS, F.array_distinct("w"))).alias("w"))
     words = words.select("id", "key", "line", "h1", "h2", F.xxhash64("w").alias("h"))
     lanes = [F.sum(F.shiftright("h", j).bitwiseAND(F.lit(PICK).cast("long"))).alias(f"s{j}") for j in range(LANE)]
     sums = words.groupBy("id", "key", "line", "h1", "h2").agg(F.count("*").alias("n"), *lanes)
@@ -97,12 +99,22 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Characters of the common beginning of two texts (of up to 2^20)."""
+    least = F.least(F.length(a), F.length(b))
+    longer = lambda p, step: F.when((p + step <= least) & (F.substring(a, F.lit(1), p + step) == F.substring(b, F.lit(1), p + step)), p + step).otherwise(p)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(19, -1, -1)]), F.lit(0), longer)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     a = texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta"))
     b = texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb"))
     both = pairs.join(a, "a").join(b, "b")
-    longer = F.greatest(F.length("ta"), F.length("tb"))
-    both = both.withColumn("most", F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
+    longer, apart = F.greatest(F.length("ta"), F.length("tb")), F.abs(F.length("ta") - F.length("tb"))
+    both = both.withColumn("most", F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")).where(apart <= F.col("most"))
+    for _ in range(2):  # the second time from the end; the distance is the same backwards
+        both = both.withColumn("p", _shared(F.col("ta"), F.col("tb")))
+        both = both.select("a", "b", "most", *[F.reverse(F.substring(t, F.col("p") + 1, F.length(t))).alias(t) for t in ("ta", "tb")])
     return both.where("levenshtein(ta, tb, most) >= 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
