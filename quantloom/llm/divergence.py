@@ -109,7 +109,8 @@ def distance(p: Column, q: Column) -> Column:
     scale = lambda x: F.transform(x, lambda v: F.try_divide(v, F.aggregate(x, F.lit(0.0), lambda a, y: a + y)))
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     terms = F.zip_with(scale(p), scale(q), lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    some = F.exists(p, lambda x: x > 0) & F.exists(q, lambda x: x > 0)
+    return F.when(some, F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
 
 
 def references(rows: DataFrame) -> DataFrame:

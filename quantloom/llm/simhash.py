@@ -200,6 +200,7 @@ def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> D
     for k in range(1, len(levels)):
         d, nodes, _ = levels[k]
         up = d - levels[k - 1][0]
+        pairs = staged(pairs, "trie-pairs")  # each level reads the one before several times
         done.append(pairs.where("not cuta and not cutb"))
         open_ = pairs.where("cuta or cutb")
         for x in "ab":
