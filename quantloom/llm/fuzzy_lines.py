@@ -19,8 +19,8 @@ inside a group, which change nothing, are never listed.
 SimHash in code generation: a word's hash is spread over 21 longs of three counters each, which sum as plain longs.
 The counters hold lines of up to MOST_WORDS distinct words; a longer line is linked to equal ones only.
 
-Edit distances are taken of what two lines leave after their common beginning and end, which are found by halving.
-Texts are fetched only for lines that a key has brought together within RADIUS bits, by their place in the corpus.
+Most near lines are settled by an upper bound of their distance, from one walk over their words; where that is over
+the limit the distance itself decides. Texts are fetched only for lines that a key has brought together within RADIUS bits, by their place in the corpus.
 
 Nulls: a null text has no lines and stays null; a null doc_id ranks first. Rows that agree in doc_id and text are one
 document. Texts without a line of MIN_WORDS words come back as they are. Other columns are kept by ``remove_lines``.
@@ -99,11 +99,25 @@ def _near(a: str, b: str, radius: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Characters of the common beginning of two texts (of up to 2^20)."""
-    least = F.least(F.length(a), F.length(b))
-    longer = lambda p, step: F.when((p + step <= least) & (F.substring(a, F.lit(1), p + step) == F.substring(b, F.lit(1), p + step)), p + step).otherwise(p)
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(19, -1, -1)]), F.lit(0), longer)
+def _alignment(a: Column, b: Column) -> Column:
+    """An upper bound of the edit distance of two texts, from their arrays of words: what one walk over ``a`` finds that
+    meets each change with the first of these that puts the words in step again: one word for another, one more, one less."""
+    size = lambda w: F.coalesce(F.length(w), F.lit(0))
+    state = lambda shift, cost: F.struct(shift.cast("int").alias("shift"), cost.cast("long").alias("cost"))
+
+    def step(s: Column, i: Column) -> Column:
+        j = i + s["shift"]
+        x, y, x1, y1 = F.get(a, i), F.get(b, j), F.get(a, i + 1), F.get(b, j + 1)
+        swap = state(s["shift"], s["cost"] + F.greatest(size(x), size(y)) + F.when(y.isNull(), 1).otherwise(0))
+        more = state(s["shift"] + 1, s["cost"] + size(y) + 1)
+        less = state(s["shift"] - 1, s["cost"] + size(x) + 1)
+        return F.when(x == y, s).when(x1 == y1, swap).when(x == y1, more).when(x1 == y, less).otherwise(swap)
+
+    def rest(s: Column) -> Column:
+        left = F.slice(b, F.size(a) + s["shift"] + 1, F.greatest(F.size(b) - F.size(a) - s["shift"], F.lit(0)))
+        return s["cost"] + F.aggregate(left, F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), state(F.lit(0), F.lit(0)), step, rest)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -112,10 +126,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     both = pairs.join(a, "a").join(b, "b")
     longer, apart = F.greatest(F.length("ta"), F.length("tb")), F.abs(F.length("ta") - F.length("tb"))
     both = both.withColumn("most", F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")).where(apart <= F.col("most"))
-    for _ in range(2):  # the second time from the end; the distance is the same backwards
-        both = both.withColumn("p", _shared(F.col("ta"), F.col("tb")))
-        both = both.select("a", "b", "most", *[F.reverse(F.substring(t, F.col("p") + 1, F.length(t))).alias(t) for t in ("ta", "tb")])
-    return both.where("levenshtein(ta, tb, most) >= 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # The counter column is a barrier: a filter pushed below it would split both texts again for every word.
+    both = both.select("a", "b", "most", "ta", "tb", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.monotonically_increasing_id().alias("barrier"))
+    near = F.when(_alignment(F.col("wa"), F.col("wb")) <= F.col("most"), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
+    return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
