@@ -6,10 +6,13 @@ back, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: callers may bring others, whose names can clash with those that operators add."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after a task, and its next one starts from here."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass

@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_columns, drop_stage, small_batches, staged, table
+from .common import clean_columns, drop_stage, give_back, small_batches, staged, table
 
 DEPTH = 5
 #: Bytes of text in a block; grams that a task sorts at once; distinct grams and tokens that a counting task holds.
-BLOCK, GRAMS, HELD = 20 << 20, 4 << 20, 2_000_000
+BLOCK, GRAMS, HELD = 16 << 20, 3 << 20, 1_200_000
 #: The end of a text as a token; no word is empty.
 END = ""
 
@@ -227,6 +227,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("token"), b.column("count")], schema=schema)
             packed.clear()
             tokens.clear()
+            give_back()
 
         for batch in batches:
             low = lowered(batch.column("text"))
@@ -327,11 +328,15 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
                     found.append(np.unique(np.concatenate(loose)))
                     loose, size = [], 0
         codes = np.unique(np.concatenate(found + loose))
+        del found, loose
+        give_back()
         return pa.table({"block": np.full(len(codes), t.column("block")[0].as_py(), np.int32), "gram": codes})
 
     def tokens_wanted(t: pa.Table) -> pa.Table:
         found = [pc.unique(words_of(lowered(b.column("text")))[0]) for b in t.to_batches()]
         own = pc.unique(pa.concat_arrays([*found, pa.array([END], pa.string())]))
+        del found
+        give_back()
         return pa.table({"block": np.full(len(own), t.column("block")[0].as_py(), np.int32), "token": own})
 
     blocked = dealt.groupBy("block")
@@ -371,7 +376,7 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK) -> Data
         cols = [texts.column("doc_id").combine_chunks(), held_out, tokens, hits, np.full(rows, n, np.int64), base, sums, -sums * math.log2(10) / size]
         done = pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=out)
         del look, names, low, texts
-        pa.default_memory_pool().release_unused()
+        give_back()
         return done
 
     out = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
