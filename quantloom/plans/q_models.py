@@ -47,10 +47,10 @@ def t_factor2(spark, sf_dir):
     return customer_snapshot(spark, sf_dir).select("code", F.round(r, 6).alias("r"), fm.return_class(r, 2.0).alias("class"))
 
 
-@query(f"WITH {SNAPSHOT} SELECT code, round(list_avg(list_filter([pe::DOUBLE, CASE WHEN balance > 0 THEN pb END, total_mv / 100000], lambda x: x IS NOT NULL)), 6) AS floor FROM snap")
+@query(f"WITH {SNAPSHOT} SELECT code, round(list_avg(list_filter([pe::DOUBLE, CASE WHEN balance > 0 THEN pb END, total_mv / 100000], lambda x: x IS NOT NULL)), 9) AS floor FROM snap")
 def t_floor(spark, sf_dir):
     f = fm.floor_price([_c("pe"), F.when(_c("balance") > 0, _c("pb")), _c("total_mv") / 100000])
-    return customer_snapshot(spark, sf_dir).select("code", F.round(f, 6).alias("floor"))
+    return customer_snapshot(spark, sf_dir).select("code", F.round(f, 9).alias("floor"))
 
 
 def _rank_sql(x: str, nulls: str) -> str:
@@ -103,10 +103,10 @@ def v_ddm(spark, sf_dir):
     return customer_snapshot(spark, sf_dir).select("code", F.round(fm.gordon(_c("pb"), F.lit(0.03), 0.08), 6).alias("gordon"), F.round(fm.two_stage_ddm(_c("pb"), F.lit(0.1), 0.03, 0.08), 6).alias("staged"))
 
 
-@query(f"""WITH {_YEAR}, p AS (SELECT code, rev / n / 10000 AS pe, rev, yr FROM ann) SELECT code, round(quantile_cont(pe, 0.25), 6) AS p25, round(median(pe), 6) AS med, round(quantile_cont(pe, 0.75), 6) AS p75
+@query(f"""WITH {_YEAR}, p AS (SELECT code, rev / n / 9973 AS pe, rev, yr FROM ann) SELECT code, round(quantile_cont(pe, 0.25), 6) AS p25, round(median(pe), 6) AS med, round(quantile_cont(pe, 0.75), 6) AS p75
     FROM p WHERE pe > 0 AND pe < 100 GROUP BY 1 HAVING count(*) >= 3""")
 def v_pe_band(spark, sf_dir):
-    t = _years(spark, sf_dir).withColumn("pe", _c("rev") / _c("n") / 10000).where("pe > 0 and pe < 100")
+    t = _years(spark, sf_dir).withColumn("pe", _c("rev") / _c("n") / 9973).where("pe > 0 and pe < 100")
     p = lambda q, name: F.round(F.percentile("pe", q), 6).alias(name)
     return t.groupBy("code").agg(p(0.25, "p25"), p(0.5, "med"), p(0.75, "p75"), F.count("*").alias("k")).where("k >= 3").drop("k")
 
@@ -134,10 +134,10 @@ def v_reverse(spark, sf_dir):
 
 @query(f"""WITH {SNAPSHOT}, m AS (SELECT code, unnest([{{'v': pe, 'w': 0.5::DOUBLE}}, {{'v': pb * 2, 'w': 0.3::DOUBLE}}, {{'v': total_mv / 100000, 'w': 0.2::DOUBLE}}]) AS m FROM snap),
     a AS (SELECT code, sum(m.v * m.w) / sum(m.w) AS value, CASE WHEN count(*) > 1 THEN stddev_samp(m.v) / avg(m.v) * 100 END AS cv FROM m WHERE m.v > 0 GROUP BY 1)
-    SELECT code, round(value, 6) AS value, CASE WHEN cv IS NULL THEN 'single' WHEN cv < 15 THEN 'high' WHEN cv < 30 THEN 'medium' ELSE 'low' END AS agreement FROM a""")
+    SELECT code, round(value, 9) AS value, CASE WHEN cv IS NULL THEN 'single' WHEN cv < 15 THEN 'high' WHEN cv < 30 THEN 'medium' ELSE 'low' END AS agreement FROM a""")
 def v_cross(spark, sf_dir):
     out = fm.blended({"a": (_c("pe"), 0.5), "b": (_c("pb") * 2, 0.3), "c": (_c("total_mv") / 100000, 0.2)})
-    return customer_snapshot(spark, sf_dir).select("code", F.round(out["value"], 6).alias("value"), out["agreement"].alias("agreement")).where("value is not null")
+    return customer_snapshot(spark, sf_dir).select("code", F.round(out["value"], 9).alias("value"), out["agreement"].alias("agreement")).where("value is not null")
 
 
 @query(f"WITH {_YEAR} SELECT code, CASE WHEN avg(rev) > 300000 AND stddev_samp(rev) / avg(rev) < 0.4::DOUBLE THEN 'blue' WHEN {_GROW} > 0.1::DOUBLE THEN 'growth' ELSE 'mixed' END AS kind FROM ann GROUP BY 1")
@@ -201,13 +201,13 @@ def m_ggrid(spark, sf_dir):
     return t.select("code", _c("x.g").alias("g"), F.round("x.oe", 6).alias("oe"))
 
 
-@query(f"WITH {_YEAR}, d AS (SELECT code, yr, rev, rev - lag(rev) OVER (PARTITION BY code ORDER BY yr) AS dr FROM ann), l AS (SELECT code, median(dr / nullif(rev, 0)) AS lam, arg_max(rev, yr) AS s FROM d GROUP BY 1), k AS (SELECT unnest([1.0::DOUBLE, 0.9::DOUBLE, 0.81::DOUBLE, 0.729::DOUBLE]) AS k) SELECT code, k, round(1000 + lam * (k - 1) * s, 4) AS surplus FROM l, k")
+@query(f"WITH {_YEAR}, d AS (SELECT code, yr, rev, rev - lag(rev) OVER (PARTITION BY code ORDER BY yr) AS dr FROM ann), l AS (SELECT code, median(dr / nullif(rev, 0)) AS lam, arg_max(rev, yr) AS s FROM d GROUP BY 1), k AS (SELECT unnest([1.0::DOUBLE, 0.9::DOUBLE, 0.81::DOUBLE, 0.729::DOUBLE]) AS k) SELECT code, k, round(1000 + lam * (k - 1) * s, 6) AS surplus FROM l, k")
 def m_revsens(spark, sf_dir):
     w = Window.partitionBy("code").orderBy("yr")
     t = _years(spark, sf_dir).withColumn("dr", _c("rev") - F.lag("rev").over(w))
     t = t.groupBy("code").agg(F.median(F.try_divide(_c("dr"), _c("rev"))).alias("lam"), F.max_by("rev", "yr").alias("s"))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), fm.surplus_at(F.lit(1000.0), _c("lam"), _c("s"), k).alias("surplus")) for k in (1.0, 0.9, 0.81, 0.729)])
-    return t.select("code", F.explode(cells).alias("x")).select("code", "x.k", F.round("x.surplus", 4).alias("surplus"))
+    return t.select("code", F.explode(cells).alias("x")).select("code", "x.k", F.round("x.surplus", 6).alias("surplus"))
 
 
 @query(f"WITH {_YEAR}, a AS (SELECT code, yr, rev, rev - lag(rev) OVER (PARTITION BY code ORDER BY yr) AS d, lag(yr) OVER (PARTITION BY code ORDER BY yr) AS y0 FROM ann) SELECT code, yr, rev - CASE WHEN y0 = yr - 1 THEN greatest(0, d) ELSE 0 END AS cash FROM a")

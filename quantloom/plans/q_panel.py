@@ -58,7 +58,7 @@ SPECS: dict[str, tuple[Callable[[Column, Column], Column], str]] = {
     "ts_delay": (lambda c, v: w.lag(c, 5), f"lag(close, 5) OVER ({S})"),
     "delta": (lambda c, v: c - w.lag(c, 5), f"close - lag(close, 5) OVER ({S})"),
     "decay_linear": (lambda c, v: p.decay_linear(c, 5), "(close" + "".join(f" + {k + 1} * lag(close, {k}) OVER ({S})" for k in range(1, 5)) + ") / 15"),
-    "signed_power": (lambda c, v: p.signed_power(c - w.lag(c, 1), 2.0), f"sign(close - lag(close) OVER ({S})) * pow(abs(close - lag(close) OVER ({S})), 2)"),
+    "signed_power": (lambda c, v: p.signed_power(F.try_divide(c, w.lag(c, 1)) - 1, 2.0), f"sign(close / lag(close) OVER ({S}) - 1) * pow(abs(close / lag(close) OVER ({S}) - 1), 2)"),
     "safe_div": (lambda c, v: w.safe_div(c, v - 150), "close / nullif((volume - 150) + 1e-12::DOUBLE * sign(volume - 150), 0)"),
     "ts_corr": (lambda c, v: p.ts_corr(c, v, 20), full_sql("close", 20, f"covar_samp(close, volume) OVER {n_rows(20)} / nullif(stddev_samp(close) OVER {n_rows(20)} * stddev_samp(volume) OVER {n_rows(20)}, 0)")),
     "ts_cov": (lambda c, v: p.ts_cov(c, v, 20), full_sql("close", 20, f"covar_samp(close, volume) OVER {n_rows(20)}")),

@@ -383,7 +383,7 @@ def agg_industries(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_mktsegment <> ''").groupBy(_c("c_mktsegment").alias("industry")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry")
 
 
-@query("SELECT n_name AS market, count(*) AS n, sum(count(*)) OVER () AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+@query("SELECT n_name AS market, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def agg_market_overview(spark, sf_dir):
     t = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     return t.groupBy(_c("n_name").alias("market")).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
@@ -395,7 +395,7 @@ def agg_news_stats(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(v > 50).alias("high"), F.count_if((v <= 50) & (v > 10)).alias("mid"), F.count_if(v <= 10).alias("low"), F.count_if(_c("event_type") == "click").alias("clicks"))
 
 
-@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS views, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 6) AS mean, count(*) FILTER (value > 20) AS hot FROM events GROUP BY 1")
+@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS views, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 6) AS mean, count(*) FILTER (value > 20) AS hot FROM events GROUP BY 1")
 def agg_social_stats(spark, sf_dir):
     t = table(spark, sf_dir, "events").withColumn("engagement", F.from_json("props", "k long"))
     return t.groupBy("event_type").agg(F.sum("engagement.k").alias("views"), F.round(F.avg("engagement.k"), 6).alias("mean"), F.count_if(_c("value") > 20).alias("hot"))
@@ -436,14 +436,14 @@ def agg_job_stats(spark, sf_dir):
     return _orders(spark, sf_dir).groupBy(_c("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.max("o_orderdate").alias("last"))
 
 
-@query("SELECT event_type, user_id % 5 AS model, ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS cost FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 5), (ts::DATE), ())")
+@query("SELECT event_type, (user_id % 5)::VARCHAR AS model, ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS cost FROM events GROUP BY GROUPING SETS ((event_type), ((user_id % 5)::VARCHAR), (ts::DATE), ())")
 def agg_usage(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select("event_type", (_c("user_id") % 5).alias("model"), F.to_date("ts").alias("day"), "value")
+    t = table(spark, sf_dir, "events").select("event_type", (_c("user_id") % 5).cast("string").alias("model"), F.to_date("ts").alias("day"), "value")
     sets = [[_c("event_type")], [_c("model")], [_c("day")], []]
     return t.groupingSets(sets, _c("event_type"), _c("model"), _c("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("cost"))
 
 
-@query("SELECT ts::DATE AS day, round(sum(value), 4) AS cost, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS tokens FROM events GROUP BY 1")
+@query("SELECT ts::DATE AS day, round(sum(value), 4) AS cost, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS tokens FROM events GROUP BY 1")
 def agg_usage_daily(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("cost"), F.sum(F.from_json("props", "k long")["k"]).alias("tokens"))
 
@@ -481,7 +481,7 @@ def agg_completeness(spark, sf_dir):
     return t.groupBy("user_id").agg(n.alias("n"), F.max("d").alias("newest"), gaps.alias("gaps"), ((n < 15) | (gaps > 0.1 * n)).alias("incomplete"))
 
 
-@query(f"""WITH {TYPE_BARS} SELECT symbol, week, arg_min(open, trade_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, trade_date) AS close, sum(volume) AS volume, round(sum(amount), 3) AS amount
+@query(f"""WITH {TYPE_BARS} SELECT symbol, week, arg_min(open, trade_date) AS open, max(high) AS high, min(low) AS low, arg_max(close, trade_date) AS close, sum(volume)::BIGINT AS volume, round(sum(amount), 3) AS amount
     FROM (SELECT *, (trade_date + ((5 - isodow(trade_date) + 7) % 7)::INTEGER) AS week FROM tbars) GROUP BY 1, 2""")
 def agg_resample_week(spark, sf_dir):
     t = daily_type_bars(spark, sf_dir).withColumn("week", F.next_day(F.date_sub("trade_date", 1), "FRI"))

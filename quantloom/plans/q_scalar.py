@@ -149,13 +149,13 @@ def fn_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.sanitized(m)["api_token"].alias("token"), sc.sanitized(m)["owner"].alias("owner"))
 
 
-@query("""SELECT o_orderkey AS k, round(CASE o_orderkey % 3 WHEN 0 THEN greatest(o_totalprice * 0.0003::DOUBLE, 5) + CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.001::DOUBLE ELSE 0 END
-    WHEN 1 THEN greatest(o_totalprice * 0.0003::DOUBLE, 3) + o_totalprice * 0.0013::DOUBLE + o_totalprice * 0.000077::DOUBLE ELSE CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.0000278::DOUBLE ELSE 0 END END, 7) AS fee FROM orders""")
+@query("""SELECT o_orderkey AS k, (CASE o_orderkey % 3 WHEN 0 THEN greatest(o_totalprice * 0.0003::DOUBLE, 5) + CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.001::DOUBLE ELSE 0 END
+    WHEN 1 THEN greatest(o_totalprice * 0.0003::DOUBLE, 3) + o_totalprice * 0.0013::DOUBLE + o_totalprice * 0.000077::DOUBLE ELSE CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.0000278::DOUBLE ELSE 0 END END)::DOUBLE AS fee FROM orders""")
 def paper_fee(spark, sf_dir):
     k = _c("o_orderkey")
     market = F.when(k % 3 == 0, "CN").when(k % 3 == 1, "HK").otherwise("US")
     side = F.when(_c("o_orderstatus") == "F", "sell").otherwise("buy")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), F.round(sc.commission(market, side, _c("o_totalprice")), 7).alias("fee"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), sc.commission(market, side, _c("o_totalprice")).alias("fee"))
 
 
 # --- quant -----------------------------------------------------------------------------------------------------------

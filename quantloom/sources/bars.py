@@ -64,17 +64,17 @@ TYPE_BARS = """tbars AS (
 def customer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code, name, industry, area, balance, total_mv, pe, pb, n_orders``: a screening universe of customers."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("code")).agg(
-        F.round(F.sum("o_totalprice"), 2).alias("total_mv"), F.round(F.avg("o_totalprice") / 10000, 4).alias("pe"), F.count("*").alias("n_orders")
+        F.round(F.sum("o_totalprice"), 2).alias("total_mv"), F.round(F.avg("o_totalprice") / 9973, 6).alias("pe"), F.count("*").alias("n_orders")
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("area"))
     cust = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     base = cust.select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("industry"), "area", F.col("c_acctbal").alias("balance"))
-    return base.join(orders, "code", "left").withColumn("pb", F.round(F.try_divide(F.col("balance"), F.lit(1000.0)), 4))
+    return base.join(orders, "code", "left").withColumn("pb", F.col("balance") / 1000)
 
 
 SNAPSHOT = """snap AS (
     SELECT c_custkey AS code, c_name AS name, c_mktsegment AS industry, n_name AS area, c_acctbal AS balance, total_mv, pe, n_orders,
-           round(c_acctbal / 1000.0::DOUBLE, 4) AS pb
+           c_acctbal / 1000 AS pb
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-    LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total_mv, round(avg(o_totalprice) / 10000, 4) AS pe, count(*) AS n_orders
+    LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total_mv, round(avg(o_totalprice) / 9973, 6) AS pe, count(*) AS n_orders
                FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
