@@ -221,6 +221,55 @@ def test_jensen_shannon_distance(spark):
     assert got[0] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2)) and got[1] is None
 
 
+def divergence_by_hand(rows):
+    """doc_id -> verdict, by plain loops."""
+    m = divergence
+    every = sorted({w for v in m.COMMON.values() for w in v})
+    lists = {**m.COMMON, m.OTHER: every}
+    data = {}
+    for i, lang, x in rows:
+        lang = lang if lang in m.COMMON else m.OTHER
+        words = re.findall(r"[^\x20\x09-\x0D]+", x)
+        n = [sum(c in m.WHITE for c in x), sum(c in m.SYMBOLS for c in x), sum(c in m.STOPS for c in x), sum(c in m.DIGITS for c in x), len(re.findall(r"[A-ZÀ-ÖØ-Þ]", x))]
+        counts = Counter(words)
+        hist = [counts[w] for w in lists[lang]]
+        data[i] = (lang, len(words), np.array([*n, len(x) - sum(n)], float), np.array([*hist, len(words) - sum(hist)], float))
+
+    def jsd(p, q):
+        if not p.sum() or not q.sum():
+            return None
+        p, q = p / p.sum(), q / q.sum()
+        h = lambda a: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, q if a is p else p) if x)
+        return math.sqrt(max(0.0, (h(p) + h(q)) / 2))
+
+    def sums(ids):
+        out = {}
+        for i in ids:
+            lang, _, c, w = data[i]
+            a = out.setdefault(lang, [np.zeros_like(c), np.zeros_like(w)])
+            a[0] += c
+            a[1] += w
+        return out
+
+    first = sums(data)
+    near = [i for i, (lang, n, c, w) in data.items() if n >= m.REFINE_WORDS and jsd(c, first[lang][0]) <= m.REFINE_CHARS and jsd(w, first[lang][1]) <= m.REFINE]
+    refs = first | sums(near)
+    out = {}
+    for (i, _, x), (lang, n, c, w) in zip(rows, data.values()):
+        failed = n < 50 or 100 * base_rules(x)[4] > 50 * n
+        odd_chars = c.sum() >= m.MIN_CHARS and jsd(c, refs[lang][0]) > m.CHAR_LIMIT + m.CHAR_NOISE / math.sqrt(c.sum())
+        odd_words = n >= m.MIN_WORDS and jsd(w, refs[lang][1]) > m.WORD_LIMIT + m.WORD_NOISE / math.sqrt(n)
+        out[i] = not (failed or odd_chars or odd_words)
+    return out
+
+
+def test_divergence_verdicts_equal_plain_loops(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = divergence_by_hand([(r.doc_id, r.lang, r.text) for r in df.collect()])
+    assert {r.doc_id: r.kept for r in divergence.judged(df).collect()} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
 def test_divergence_rejects_junk_and_keeps_prose(spark):
     j = divergence.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     n = {(r.quality, r.kept): r["count"] for r in j.groupBy("quality", "kept").count().collect()}
