@@ -91,8 +91,8 @@ def pigeonhole_keys(sim: Column, blocks: int, radius: int) -> Column:
 
 
 def block_count(n: int, radius: int) -> int:
-    """Blocks so that a key has at least log2(n) + 3 bits, which keeps chance partners below one for each line."""
-    return next((m for m in range(radius + 1, 13) if BITS * (m - radius) // m >= log2(max(n, 2)) + 3), 12)
+    """Blocks so that a key has at least log2(n) + 8 bits: then few lines share a key by chance, at any number of lines."""
+    return next((m for m in range(radius + 1, 13) if BITS * (m - radius) // m >= log2(max(n, 2)) + 8), 12)
 
 
 def _near(a: str, b: str, radius: int) -> Column:
