@@ -116,12 +116,26 @@ def trading_status(ts: Column) -> Column:
     )
 
 
-def commission(market: Column, side: Column, amount: Column) -> Column:
-    """Commission, stamp duty and levies by market: mainland 0.03 % (5 at least) and 0.1 % on sales; Hong Kong 0.03 % (3 at least), 0.13 % and 0.0077 %; United States 0.00278 % on sales."""
-    cn = F.greatest(amount * 0.0003, F.lit(5.0)) + F.when(side == "sell", amount * 0.001).otherwise(0.0)
-    hk = F.greatest(amount * 0.0003, F.lit(3.0)) + amount * 0.0013 + amount * 0.000077
-    us = F.when(side == "sell", amount * 0.0000278).otherwise(0.0)
-    return F.when(market == "CN", cn).when(market == "HK", hk).otherwise(us)
+#: Fees by market, as shares of the amount; ``min`` in currency. The second group counts on sales alone.
+FEES = {
+    "CN": {"rate": 0.0003, "min": 5.0, "stamp": 0.001},
+    "HK": {"rate": 0.0003, "min": 3.0, "stamp": 0.001, "levy": 0.000027, "trading": 0.00005, "settlement": 0.00002},
+    "US": {"rate": 0.0, "min": 0.0, "sec": 0.0000278},
+}
+
+
+def commission(market: Column, side: Column, amount: Column, rules: dict[str, dict[str, float]] | None = None) -> Column:
+    """Commission, stamp duty on sales, Hong Kong's levies and, on sales in the United States, the SEC fee; 0 without rules."""
+    out = F.lit(0.0)
+    sale = F.when(side == "sell", amount).otherwise(0.0)
+    for name, r in (FEES if rules is None else rules).items():
+        fee = F.greatest(amount * r.get("rate", 0.0), F.lit(r.get("min", 0.0))) + sale * r.get("stamp", 0.0)
+        if name == "HK":
+            fee = fee + amount * (r.get("levy", 0.0) + r.get("trading", 0.0) + r.get("settlement", 0.0))
+        if name == "US":
+            fee = fee + sale * r.get("sec", 0.0)
+        out = F.when(market == name, fee).otherwise(out)
+    return out
 
 
 SECRETS = ("password", "secret", "token", "api_key")
@@ -133,7 +147,12 @@ def sanitized(m: Column) -> Column:
     return F.transform_values(m, hide)
 
 
-ACTIONS = {"buy": "buy", "买入": "buy", "purchase": "buy", "long": "buy", "sell": "sell", "卖出": "sell", "short": "sell", "hold": "hold", "持有": "hold"}
+# The words for each action.
+ACTIONS = {
+    "buy": "buy", "买入": "buy", "购买": "buy", "purchase": "buy",
+    "hold": "hold", "持有": "hold", "保持": "hold", "keep": "hold",
+    "sell": "sell", "卖出": "sell", "出售": "sell", "dispose": "sell",
+}
 
 
 def action(x: Column) -> Column:
@@ -141,7 +160,23 @@ def action(x: Column) -> Column:
     return F.coalesce(words[F.lower(F.trim(x))], F.lit("hold"))
 
 
-PRICE_PATTERNS = [r"(?i)target price[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)", r"(?i)price target[^0-9]{0,12}([0-9]+(?:\.[0-9]+)?)", r"[$¥]\s*([0-9]+(?:\.[0-9]+)?)"]
+# Patterns of a target price, in the order in which they are tried.
+PRICE_PATTERNS = [
+    r"目标价[位格]?[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"目标[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"价格[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"价位[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"合理[价位格]?[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"估值[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"[¥\$](\d+(?:\.\d+)?)",
+    r"(\d+(?:\.\d+)?)元",
+    r"(\d+(?:\.\d+)?)美元",
+    r"建议[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"预期[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"看[到至]\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"上涨[到至]\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"(\d+(?:\.\d+)?)\s*[¥\$]",
+]
 
 
 def target_price(x: Column) -> Column:

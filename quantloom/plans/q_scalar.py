@@ -128,7 +128,7 @@ def fn_action_map(spark, sf_dir):
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 < 2 THEN floor(o_totalprice)::DOUBLE END AS price FROM orders")
 def fn_price_extract(spark, sf_dir):
     k, p = _c("o_orderkey"), F.floor("o_totalprice").cast("string")
-    text = F.when(k % 3 == 0, F.concat(F.lit("Our target price is "), p, F.lit(" for now"))).when(k % 3 == 1, F.concat(F.lit("see $ "), p)).otherwise("none")
+    text = F.when(k % 3 == 0, F.concat(F.lit("目标价位: ¥"), p, F.lit(" 元"))).when(k % 3 == 1, F.concat(F.lit("see $"), p)).otherwise("none")
     return table(spark, sf_dir, "orders").select(k.alias("k"), sc.target_price(text).alias("price"))
 
 
@@ -149,13 +149,14 @@ def fn_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.sanitized(m)["api_token"].alias("token"), sc.sanitized(m)["owner"].alias("owner"))
 
 
-@query("""SELECT o_orderkey AS k, (CASE o_orderkey % 3 WHEN 0 THEN greatest(o_totalprice * 0.0003::DOUBLE, 5) + CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.001::DOUBLE ELSE 0 END
-    WHEN 1 THEN greatest(o_totalprice * 0.0003::DOUBLE, 3) + o_totalprice * 0.0013::DOUBLE + o_totalprice * 0.000077::DOUBLE ELSE CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 0.0000278::DOUBLE ELSE 0 END END)::DOUBLE AS fee FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice AS a, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END AS sale FROM orders)
+    SELECT k, round(CASE k % 3 WHEN 0 THEN greatest(a * 0.0003::DOUBLE, 5) + sale * 0.001::DOUBLE
+    WHEN 1 THEN greatest(a * 0.0003::DOUBLE, 3) + sale * 0.001::DOUBLE + a * (0.000027::DOUBLE + 0.00005::DOUBLE + 0.00002::DOUBLE) ELSE sale * 0.0000278::DOUBLE END, 9) AS fee FROM o""")
 def paper_fee(spark, sf_dir):
     k = _c("o_orderkey")
     market = F.when(k % 3 == 0, "CN").when(k % 3 == 1, "HK").otherwise("US")
     side = F.when(_c("o_orderstatus") == "F", "sell").otherwise("buy")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), sc.commission(market, side, _c("o_totalprice")).alias("fee"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.round(sc.commission(market, side, _c("o_totalprice")), 9).alias("fee"))
 
 
 # --- quant -----------------------------------------------------------------------------------------------------------
