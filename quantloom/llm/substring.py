@@ -109,18 +109,18 @@ def corpus_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, key, starts``: where the spans start that repeat an earlier one."""
+    """``doc_id, key, starts, firsts``: where the spans start that repeat an earlier one, and the doc_ids that hold their first occurrences."""
     all_spans = staged(corpus_spans(docs, min_words), "spans")
     place = F.struct("doc_id", "key", "at")
     again = all_spans.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     hits = all_spans.join(again.select("h", "first"), "h").where(~place.eqNullSafe(F.col("first")))
     # A document has one row for each of its sentences at most.
-    return hits.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
+    return hits.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"), F.collect_set("first.doc_id").alias("firsts"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated sentences gone from ``text``, and ``__removed``: ``n_sentences`` and ``spans`` (character offsets in the old text)."""
-    marks = repeated(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
+    """``docs`` with the repeated sentences gone from ``text``; ``__removed``: ``n_sentences`` and ``spans`` (character offsets in the old text); and ``__firsts``."""
+    marks = repeated(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("starts").alias("__starts"), F.array_sort("firsts").alias("__firsts"))
     keyed = docs.withColumn("__text_key", _key(F.col("text")))
     joined = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
     joined = joined.drop("__id", "__key", "__text_key")
@@ -149,13 +149,14 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             rows = [cut(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("__starts").to_pylist())]
             text = pa.array([x for x, _ in rows], b.schema.field("text").type)
-            cols = [text if n == "text" else b.column(n) for n in names] + [pa.array([x for _, x in rows], kind)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "__removed"])
+            cols = [text if n == "text" else b.column(n) for n in names] + [pa.array([x for _, x in rows], kind), b.column("__firsts")]
+            yield pa.RecordBatch.from_arrays(cols, [*names, "__removed", "__firsts"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, {out}")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"{fields}, {out}, __firsts array<{ids}>")
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(clean_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__removed.n_sentences").alias("n_sentences"), F.col("__removed.spans").alias("removed"))
+    return out.select("doc_id", "text", F.col("__removed.n_sentences").alias("n_sentences"), F.col("__removed.spans").alias("removed"), F.coalesce("__firsts", F.array().cast("array<bigint>")).alias("repeats_of"))
