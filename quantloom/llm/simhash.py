@@ -18,6 +18,7 @@ component's ids are null. Repeated rows give repeated rows. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +38,34 @@ SMALL, FRONT = 64, 1 << 18
 MOST_SENT = 1 << 19
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of all windows of ``shingle`` words, in their order."""
+    return np.concatenate([np.empty(0, "<u8"), *_hashed(text, shingle)])
+
+
+def _hashed(text: str | None, shingle: int) -> Iterator[np.ndarray]:
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        yield np.array([digest(joined, SEED)], "<u8")
+        return
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: 1 - shingle].tolist()
     ends = ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], "<u8")
+    for at in range(0, len(starts), 1 << 16):
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in _hashed(text, shingle):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -67,10 +79,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return clean_columns(docs, "doc_id", "text").withColumn("key", _key()).mapInArrow(run, f"doc_id {kind}, key long, fp long")
+    return clean_columns(docs, "doc_id", "text").withColumn("key", text_key()).mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
-def _key() -> F.Column:
+def text_key() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
@@ -189,9 +201,7 @@ def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> D
     """Pairs of leaves ``a`` <= ``b`` (as ``depth:prefix``) whose prefixes differ in at most ``budget`` bits, and how many differ."""
     name = lambda d, p: F.concat(F.lit(f"{d:02d}:"), F.hex(p))
     d0, top, _ = levels[0]
-    masks = [0] + [1 << i for i in range(d0)] if budget else [0]
-    if budget >= 2:
-        masks += [(1 << i) | (1 << j) for i in range(d0) for j in range(i)]
+    masks = [sum(1 << i for i in bits) for k in range(min(budget, d0) + 1) for bits in combinations(range(d0), k)]
     node = lambda t, x: t.select(F.col("prefix").alias(f"p{x}"), F.col("cut").alias(f"cut{x}"))
     pairs = node(top, "a").withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
     pairs = pairs.withColumn("pb", F.col("pa").bitwiseXOR(F.col("mask"))).where("pa <= pb").join(node(top, "b"), "pb")
@@ -270,13 +280,17 @@ def keep_one(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFra
     """
     rows = staged(fingerprints(docs), "simhash")
     placed = staged(_grouped(rows, budget, leaf).select("fp", "root"), "simhash-roots")
+    return first_of_each(docs, staged(rows.join(placed, "fp").select("doc_id", "key", "root"), "simhash-rows"))
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``docs`` without those that aren't the first of their group. ``rooted`` (staged): ``doc_id, key, root`` of each row."""
     place = F.struct("doc_id", "key")
-    rooted = staged(rows.join(placed, "fp").select("doc_id", "key", "root"), "simhash-rows")
     first = rooted.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     gone = rooted.join(first, "root").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     gone = staged(gone, "simhash-gone")
     gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
 
 
 def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

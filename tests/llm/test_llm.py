@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compare import differences
-from quantloom.llm import bpe, components, ctw, divergence, epsilon_grid, fuzzy_lines, packing, queries, simhash, substring, toxicity, warc
+from quantloom.llm import bpe, components, ctw, divergence, epsilon_grid, fuzzy_lines, near_copies, packing, queries, simhash, substring, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -643,6 +643,60 @@ def test_simhash_groups_and_odd_rows(spark):
     assert simhash.near_groups(odd(spark).limit(0)).count() == simhash.keep_one(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("budget", [3, 5])
+def test_trie_join_descends_for_wider_budgets(spark, budget):
+    fps = np.unique(np.random.default_rng(budget).integers(0, 1 << 63, 120, dtype=np.int64)).view(np.uint64)
+    near = fps ^ np.uint64(sum(1 << (63 - b) for b in range(budget)))  # all of it in the leading bits
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([fps, near]).view(np.int64)], "fp long")
+    links = [(r.u, r.v) for r in simhash.trie_join(df, budget, 4).collect()]
+    root = groups(links, [r.fp for r in df.collect()])
+    assert all(root[int(a)] == root[int(b)] for a, b in zip(fps.view(np.int64), near.view(np.int64)))
+
+
+def near_by_hand(rows):
+    sets = []
+    for _, x in rows:
+        w = (x or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    root, least = groups([(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if like(sets[a], sets[b])], range(len(rows))), {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, rows[k][0]), rows[k][0])
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("common, most", [(1, 1 << 19), (1, 8), (32, 1 << 19)])
+def test_near_dedup_equals_brute_force_jaccard(spark, common, most):
+    rng, rows = random.Random(common + most), documents()
+    base = [x for _, x in rows if len(x.split()) > 100][:5]
+    for k in range(100):  # near copies on either side of the limit
+        words = base[k % 5].split()
+        for _ in range(rng.randrange(1, 2 + len(words) // 25)):
+            words[rng.randrange(len(words))] = f"zz{rng.randrange(99)}"
+        rows.append((5000 + k, " ".join(words)))
+    passage = " ".join(f"p{k}" for k in range(60))  # a common passage is no near copy
+    rows += [(6000 + k, " ".join([*(f"u{k}x{j}" for j in range(30)), passage])) for k in range(40)]
+    rows += [(7000, "a b"), (7001, "A  b"), (7002, "a c"), (7003, ""), (7004, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_hand(rows)
+    assert sorted(r.doc_id for r in near_copies.keep_one(df, common, most).collect()) == want
+    if common == 32:
+        assert sorted(r.doc_id for r in pipeline_near_dedup(spark, df)) == want
+
+
+def pipeline_near_dedup(spark, docs):
+    import corpus_pipeline
+
+    return corpus_pipeline.near_dedup(spark, docs, SF).collect()
+
+
+def test_near_dedup_odd_rows(spark):
+    kept = near_copies.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted(r.doc_id is None and -1 or r.doc_id for r in kept.collect()) == [-1, 3, 6, 7, 8]
+    assert near_copies.keep_one(odd(spark).limit(0)).count() == 0
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 
