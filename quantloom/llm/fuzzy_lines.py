@@ -1,8 +1,9 @@
 """Fuzzy line dedup with DataFrame functions alone.
 
-Lines (parts of a text between line feeds) are normalised: lower case, ASCII punctuation, control characters and
-spaces to single spaces. Lines of at least MIN_WORDS words count. Equal normalised lines are one distinct line. Each
-distinct line has a 63-bit SimHash of its distinct words (a bit is set if it is set in over half of their hashes;
+Lines (parts of a text between line feeds) are normalised: lower case, runs of anything but letters, their marks and
+digits to single spaces, digits to 0 (not where a line has no letters: rows of numbers differ in nothing else). Lines of
+at least MIN_WORDS words or MIN_CHARS characters count. Equal normalised lines are one distinct line; those under MIN_WORDS
+words are linked to no others. Each other distinct line has a 63-bit SimHash of its distinct words (a bit is set if it is set in over half of their hashes;
 counting words as often as they stand would let a language's function words decide for long lines). Two distinct
 lines are linked if their SimHashes differ in at most RADIUS bits and their edit similarity
 ``1 - distance / longer length`` is at least SIMILARITY. Of every connected group the first occurrence, by
@@ -29,8 +30,10 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import log2
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ from .common import clean_columns, staged, table
 from .components import connected_components
 
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
+#: Normalised lines of so many characters count whatever their words: scripts without spaces, and short lines of boilerplate.
+MIN_CHARS = 10
 MOST_WORDS = (1 << 20) - 1
 #: Rows of a key table (a few longs each) that are sent to every task; larger ones are joined by a shuffle.
 MOST_SENT = 1 << 21
@@ -47,10 +52,27 @@ BITS, LANE = 63, 21
 PICK = 1 | (1 << LANE) | (1 << (2 * LANE))
 
 
-def normalised(line: Column) -> Column:
+def ascii_form(line: Column) -> Column:
+    """Lower case, ASCII punctuation, control characters and spaces to single spaces."""
     return F.trim(F.regexp_replace(F.lower(line), r" *[\x00-\x1f!-/:-@\[-`{-\x7f][\x00-/:-@\[-`{-\x7f]*|  +", " "))
 
 
+def whole_form(line: Column) -> Column:
+    plain = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " ")
+    return F.trim(F.when(line.rlike(r"\p{L}"), F.regexp_replace(plain, r"\p{Nd}", "0")).otherwise(plain))
+
+
+class Form(NamedTuple):
+    """How lines are normalised, and from how many characters on they count whatever their words."""
+
+    normalised: Callable[[Column], Column]
+    chars: int
+
+
+#: The query and the pipeline take WHOLE. ASCII is the narrower form that functions take if they are given none.
+ASCII, WHOLE = Form(ascii_form, 1 << 30), Form(whole_form, MIN_CHARS)
+
+
 def _sendable(df: DataFrame) -> DataFrame:
     """``df`` (staged, small rows), marked for broadcasting if its counted rows allow it."""
     return F.broadcast(df) if df.count() <= MOST_SENT else df
@@ -60,24 +82,26 @@ def _key() -> Column:
     return F.xxhash64("text")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``id, key, line, h1, h2, n, sim`` of each line that counts. ``h1`` and ``h2`` identify the normalised line by 128 bits."""
+def occurrences(docs: DataFrame, form: Form = ASCII) -> DataFrame:
+    """``id, key, line, h1, h2, many, n, sim`` of each line that counts; ``many``: it has MIN_WORDS words. ``h1`` and ``h2`` identify the normalised line by 128 bits."""
     keyed = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
-    norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), F.split("norm", " ").alias("w"))
+    norm = keyed.select("id", "key", "line", form.normalised(F.col("raw")).alias("norm"))
+    long = (F.length("norm") >= form.chars).alias("long")
+    norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), long, F.split("norm", " ").alias("w"))
+    many = (F.size("w") >= MIN_WORDS).alias("many")
     # Short lines explode to nothing. A filter would be pushed below and normalise every line a second time.
-    words = norm.select("id", "key", "line", "h1", "h2", F.explode(F.when(F.size("w") >= MIN_WORDS, F.array_distinct("w"))).alias("w"))
-    words = words.select("id", "key", "line", "h1", "h2", F.xxhash64("w").alias("h"))
+    words = norm.select("id", "key", "line", "h1", "h2", many, F.explode(F.when(F.col("long") | (F.size("w") >= MIN_WORDS), F.array_distinct("w"))).alias("w"))
+    words = words.select("id", "key", "line", "h1", "h2", "many", F.xxhash64("w").alias("h"))
     lanes = [F.sum(F.shiftright("h", j).bitwiseAND(F.lit(PICK).cast("long"))).alias(f"s{j}") for j in range(LANE)]
-    sums = words.groupBy("id", "key", "line", "h1", "h2").agg(F.count("*").alias("n"), *lanes)
+    sums = words.groupBy("id", "key", "line", "h1", "h2", "many").agg(F.count("*").alias("n"), *lanes)
     # A counter reaches 2^20 once this is added if it counts over half of the words.
     add = (F.lit(MOST_WORDS) - F.floor(F.col("n") / 2)).cast("long") * F.lit(PICK).cast("long")
-    sums = sums.select("id", "key", "line", "h1", "h2", "n", F.when(F.col("n") <= MOST_WORDS, add).otherwise(0).alias("add"), *[f"s{j}" for j in range(LANE)])
+    sums = sums.select("id", "key", "line", "h1", "h2", "many", "n", F.when(F.col("n") <= MOST_WORDS, add).otherwise(0).alias("add"), *[f"s{j}" for j in range(LANE)])
     sim = F.lit(0).cast("long")
     for j in range(LANE):
         over = F.shiftright(F.col(f"s{j}") + F.col("add"), LANE - 1).bitwiseAND(F.lit(PICK).cast("long"))
         sim = sim.bitwiseOR(F.shiftleft(over, j))
-    return sums.select("id", "key", "line", "h1", "h2", "n", sim.alias("sim"))
+    return sums.select("id", "key", "line", "h1", "h2", "many", "n", sim.alias("sim"))
 
 
 def pigeonhole_keys(sim: Column, blocks: int, radius: int) -> Column:
@@ -132,7 +156,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame, form: Form = ASCII) -> DataFrame:
     """``lid, norm`` of the lines in ``wanted`` (``lid``), read at their first places."""
     at = _sendable(staged(wanted, "line-wanted")).join(lines.select("lid", "place"), "lid")
     spots = at.groupBy(F.col("place.id").alias("id"), F.col("place.key").alias("key")).agg(F.collect_list(F.struct("lid", "place.line")).alias("spots"))
@@ -141,17 +165,17 @@ def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFram
     # The same document may stand there more than once.
     texts = texts.select("spots", F.split("text", "\n", -1).alias("parts"))
     found = texts.select(F.explode(F.transform("spots", lambda s: F.struct(s["lid"].alias("lid"), F.get("parts", s["line"]).alias("raw")))).alias("x"))
-    return found.select("x.lid", normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
+    return found.select("x.lid", form.normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _linked(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, form: Form) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``; staged) that are similar enough, as ``u``, ``v``, staged."""
     ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    texts = staged(line_texts(lines, ids, docs), "line-texts")
+    texts = staged(line_texts(lines, ids, docs, form), "line-texts")
     return staged(_verified(pairs, texts, similarity), "line-links")
 
 
-def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
     """Links ``u``, ``v`` that connect the groups of near lines. ``lines``: ``lid, sim, place`` of the distinct lines."""
     m = block_count(lines.count(), radius)
     keyed = lines.select("lid", "sim", F.explode(pigeonhole_keys(F.col("sim"), m, radius)).alias("k"))
@@ -167,7 +191,7 @@ def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similari
     led = staged(crowd.join(leader, "k").where("lid <> lo.lid"), "line-led")
     star = led.select(F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("lid").alias("b"), F.col("sim").alias("sb"))
     pairs = staged(two.union(star).where(_near("sa", "sb", radius)).select("a", "b").distinct(), "line-pairs")
-    first = _linked(pairs, lines, docs, similarity)
+    first = _linked(pairs, lines, docs, similarity, form)
     roots = connected_components(first).withColumnRenamed("node", "lid")
     placed = staged(led.select("k", "lid", "sim").join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")), "line-placed")
     split = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
@@ -176,16 +200,16 @@ def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similari
     mine = open_.select("k", F.col("lid").alias("a"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
     rest = mine.join(other, (mine.k == other.k) & (F.col("ra") < F.col("rb")) & _near("sa", "sb", radius)).select("a", "b").distinct()
     rest = staged(rest, "line-rest")
-    return first if rest.isEmpty() else first.union(_linked(rest, lines, docs, similarity))
+    return first if rest.isEmpty() else first.union(_linked(rest, lines, docs, similarity, form))
 
 
-def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
     """``id, key, gone``: the numbers of the lines to remove from each document that has any."""
-    occ = staged(occurrences(docs), "line-occurrences")
+    occ = staged(occurrences(docs, form), "line-occurrences")
     place = F.struct("id", "key", "line")
-    lines = occ.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.min("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))
+    lines = occ.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.min("many").alias("many"), F.min("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))
     lines = staged(lines.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
-    links = line_links(lines.where(F.col("n") <= MOST_WORDS), docs, radius, similarity)
+    links = line_links(lines.where(F.col("many") & (F.col("n") <= MOST_WORDS)), docs, radius, similarity, form)
     roots = connected_components(links)
     known = lines.join(roots, F.col("lid") == F.col("node"), "left").where("root is not null or place <> last")
     known = staged(known.select("h1", "h2", "place", F.coalesce("root", "lid").alias("root")), "line-groups")
@@ -195,9 +219,9 @@ def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SI
     return gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
 
 
-def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
     """``docs`` without the repeated lines in ``text``, and ``__gone``, the sorted numbers of those lines (or null)."""
-    gone = staged(repeated_lines(clean_columns(docs, "doc_id", "text"), radius, similarity), "line-gone")
+    gone = staged(repeated_lines(clean_columns(docs, "doc_id", "text"), radius, similarity, form), "line-gone")
     marks = _sendable(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.array_sort("gone").alias("__gone")))
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left")
     parts = F.split("text", "\n", -1)
@@ -207,6 +231,6 @@ def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMI
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(clean_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    out = remove_lines(clean_columns(table(spark, sf_dir, "documents"), "doc_id", "text"), form=WHOLE)
     n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     return out.select("doc_id", "text", n.alias("n_removed"), F.col("__gone").alias("removed_lines"))

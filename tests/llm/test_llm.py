@@ -592,6 +592,20 @@ def test_fuzzy_lines_odd_rows(spark):
     assert fuzzy_lines.remove_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_lines_that_differ_in_digits_quotes_or_spaces_are_equal(spark, tmp_path):
+    import corpus_pipeline
+
+    same = ["Publié le 3 mai 2021 – page 7 d’un «bon» livre", "Publié le 9 mai 2034 — page 8 d'un \u00a0“bon” livre…"]
+    short = ["Subscribe now!", "二零二一年的第一场雪比往常来得更晚一些。"]
+    rows = [(1, same[0], 0), (2, same[1], 0), *((3 + k, x, 0) for k, x in enumerate(short * 2)), (7, "1 2 3 4 5 6", 0), (8, "2 3 4 5 6 7", 0), (9, "Yes.", 0), (10, "Yes.", 0), (11, "मैं ने कहा कि वह", 0), (12, "मैं ने कहा की वह", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    folder = f"{tmp_path}/t"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    got = queries.QUERIES["op9_fuzzy_lines"](spark, folder).collect()
+    assert sorted(r.doc_id for r in got if r.removed_lines) == [2, 5, 6]
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, SF).collect() if r.text == "") == [2, 5, 6]
+
+
 def test_pigeonhole_keys_meet_within_the_radius():
     assert fuzzy_lines.block_count(100, 3) <= fuzzy_lines.block_count(1 << 30, 3) <= 12
 
