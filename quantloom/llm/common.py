@@ -52,6 +52,34 @@ def drop_stage(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Stages:
+    """Stage tables that are deleted together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self._held: list[DataFrame] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self._held.append(staged(df, name))
+        return self._held[-1]
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df)
+        return df
+
+    def drop(self) -> None:
+        while self._held:
+            drop_stage(self._held.pop())
+
+
+#: Bytes of rows, as counted, that are sent to every task; more are joined by a shuffle.
+MOST_SENT_BYTES = 32 << 20
+
+
+def sendable(df: DataFrame, row_bytes: int, more: int = 0) -> DataFrame:
+    """``df`` (staged), marked for broadcasting if its counted rows of ``row_bytes`` and ``more`` bytes besides are few."""
+    return F.broadcast(df) if df.count() * row_bytes + more <= MOST_SENT_BYTES else df
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows, so that a run of very long texts fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

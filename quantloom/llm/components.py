@@ -53,4 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         later = out.select(F.col("node").alias("mid"), F.col("root").alias("end"))
         joined = step.join(later, F.col("root") == F.col("mid"), "left")
         out = joined.select("node", F.coalesce("end", "root").alias("root"))
-    return staged(out, "cc-roots")
+    out = staged(out, "cc-roots")
+    for step in [*maps, e]:
+        drop_stage(step)
+    return out

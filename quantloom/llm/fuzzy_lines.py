@@ -2,125 +2,130 @@
 
 Lines (parts of a text between line feeds) are normalised: lower case, runs of anything but letters, their marks and
 digits to single spaces, digits to 0 (not where a line has no letters: rows of numbers differ in nothing else). Lines of
-at least MIN_WORDS words or MIN_CHARS characters count. Equal normalised lines are one distinct line; those under MIN_WORDS
-words are linked to no others. Each other distinct line has a 63-bit SimHash of its distinct words (a bit is set if it is set in over half of their hashes;
-counting words as often as they stand would let a language's function words decide for long lines). Two distinct
-lines are linked if their SimHashes differ in at most RADIUS bits and their edit similarity
-``1 - distance / longer length`` is at least SIMILARITY. Of every connected group the first occurrence, by
-(doc_id, text, line number), stays; all other occurrences of its lines are removed.
-
-Pigeonhole: with the hash cut into m blocks, lines within RADIUS bits agree in some m - RADIUS of them, so each line
-has one key for each such choice of blocks. m grows with the logarithm of the number of lines, which keeps chance
-collisions rare at every size; the links found don't depend on it.
+at least MIN_WORDS words or MIN_CHARS characters count. Equal normalised lines are one distinct line; those under
+MIN_WORDS words are linked to no others. Two other distinct lines are linked if they share a block key, their SimHashes
+differ in at most RADIUS of 62 bits and their edit similarity ``1 - distance / longer length`` is at least SIMILARITY.
+Of every connected group the first occurrence, by (doc_id, text, line number), stays; all others are removed.
+
+Pigeonhole blocks. Blocks of a SimHash's bits can't find lines of such similarity: one changed word in twenty moves some
+seven of 64 bits, anywhere, so that keys of bits that stay are either too short to tell lines apart or too many. The
+blocks are therefore cut before the projection: a line's distinct words are dealt by hash to a ring of BLOCKS blocks, and
+each block is the sum of its words' hashes, so that a changed word spoils one block or two and leaves the others as they
+are. A key is the sum of a run of 1, 2, 4, 8 or all blocks, the shortest with LEAST words; runs start at every second
+block, in lines of under SHORT words at every one. Lines of 256 distinct words or more use the half, quarter ... of their words that a
+hash chooses, so that a block has 8 to 16 words whatever the line's length; lines near a limit of two such classes take
+part in both.
+
+SimHash. Only lines that share a key with another are hashed: a bit is set if it is set in over half of the hashes of the
+line's distinct words, counted in 31 bits, which a line can't exceed.
 
 Crowded keys: the members of a key are compared with the key's first member alone, which is linear. Members that
 this leaves in different groups are then compared with one another, so no link between groups is lost, while links
 inside a group, which change nothing, are never listed.
 
-SimHash in code generation: a word's hash is spread over 21 longs of three counters each, which sum as plain longs.
-The counters hold lines of up to MOST_WORDS distinct words; a longer line is linked to equal ones only.
-
 Most near lines are settled by an upper bound of their distance, from one walk over their words; where that is over
-the limit the distance itself decides. Texts are fetched only for lines that a key has brought together within RADIUS bits, by their place in the corpus.
+the limit the distance itself decides.
 
 Nulls: a null text has no lines and stays null; a null doc_id ranks first. Rows that agree in doc_id and text are one
-document. Texts without a line of MIN_WORDS words come back as they are. Other columns are kept by ``remove_lines``.
+document. Texts without a line that counts come back as they are. Other columns are kept by ``remove_lines``.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import combinations
-from math import log2
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clean_columns, staged, table
+from .common import Stages, clean_columns, sendable, staged, table
 from .components import connected_components
 
-MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
+MIN_WORDS, RADIUS, SIMILARITY = 5, 18, 0.8
 #: Normalised lines of so many characters count whatever their words: scripts without spaces, and short lines of boilerplate.
 MIN_CHARS = 10
-MOST_WORDS = (1 << 20) - 1
-#: Rows of a key table (a few longs each) that are sent to every task; larger ones are joined by a shuffle.
-MOST_SENT = 1 << 21
-#: A hash has 63 bits here: counters of LANE bits for bits j, j + 21 and j + 42 make up the j-th long.
-BITS, LANE = 63, 21
-PICK = 1 | (1 << LANE) | (1 << (2 * LANE))
-
+#: Blocks of the ring, words that a key has at least (in lines of so many distinct words), and lines whose runs start at every block.
+BLOCKS, LEAST, LEAST_FEW, FEW, SHORT = 16, 4, 3, 12, 24
+#: Lines of twice as many distinct words or more use a sample of their words; within OVERLAP of a limit, both classes' samples.
+SAMPLE, OVERLAP = 128, 1.2
+#: Bits of a word's hash in a block's sum, whose low bits count its words.
+VALUE, COUNT = 45, 9
 
-def ascii_form(line: Column) -> Column:
-    """Lower case, ASCII punctuation, control characters and spaces to single spaces."""
-    return F.trim(F.regexp_replace(F.lower(line), r" *[\x00-\x1f!-/:-@\[-`{-\x7f][\x00-/:-@\[-`{-\x7f]*|  +", " "))
 
-
-def whole_form(line: Column) -> Column:
+def normalised(line: Column) -> Column:
     plain = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " ")
     return F.trim(F.when(line.rlike(r"\p{L}"), F.regexp_replace(plain, r"\p{Nd}", "0")).otherwise(plain))
 
 
-class Form(NamedTuple):
-    """How lines are normalised, and from how many characters on they count whatever their words."""
-
-    normalised: Callable[[Column], Column]
-    chars: int
-
-
-#: The query and the pipeline take WHOLE. ASCII is the narrower form that functions take if they are given none.
-ASCII, WHOLE = Form(ascii_form, 1 << 30), Form(whole_form, MIN_CHARS)
-
-
-def _sendable(df: DataFrame) -> DataFrame:
-    """``df`` (staged, small rows), marked for broadcasting if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
-
-
 def _key() -> Column:
     return F.xxhash64("text")
 
 
-def occurrences(docs: DataFrame, form: Form = ASCII) -> DataFrame:
-    """``id, key, line, h1, h2, many, n, sim`` of each line that counts; ``many``: it has MIN_WORDS words. ``h1`` and ``h2`` identify the normalised line by 128 bits."""
-    keyed = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    norm = keyed.select("id", "key", "line", form.normalised(F.col("raw")).alias("norm"))
-    long = (F.length("norm") >= form.chars).alias("long")
-    norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), long, F.split("norm", " ").alias("w"))
-    many = (F.size("w") >= MIN_WORDS).alias("many")
-    # Short lines explode to nothing. A filter would be pushed below and normalise every line a second time.
-    words = norm.select("id", "key", "line", "h1", "h2", many, F.explode(F.when(F.col("long") | (F.size("w") >= MIN_WORDS), F.array_distinct("w"))).alias("w"))
-    words = words.select("id", "key", "line", "h1", "h2", "many", F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftright("h", j).bitwiseAND(F.lit(PICK).cast("long"))).alias(f"s{j}") for j in range(LANE)]
-    sums = words.groupBy("id", "key", "line", "h1", "h2", "many").agg(F.count("*").alias("n"), *lanes)
-    # A counter reaches 2^20 once this is added if it counts over half of the words.
-    add = (F.lit(MOST_WORDS) - F.floor(F.col("n") / 2)).cast("long") * F.lit(PICK).cast("long")
-    sums = sums.select("id", "key", "line", "h1", "h2", "many", "n", F.when(F.col("n") <= MOST_WORDS, add).otherwise(0).alias("add"), *[f"s{j}" for j in range(LANE)])
-    sim = F.lit(0).cast("long")
-    for j in range(LANE):
-        over = F.shiftright(F.col(f"s{j}") + F.col("add"), LANE - 1).bitwiseAND(F.lit(PICK).cast("long"))
-        sim = sim.bitwiseOR(F.shiftleft(over, j))
-    return sums.select("id", "key", "line", "h1", "h2", "many", "n", sim.alias("sim"))
-
-
-def pigeonhole_keys(sim: Column, blocks: int, radius: int) -> Column:
-    """An array with one key for each choice of ``blocks - radius`` blocks."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
+def _levels(n: Column) -> Column:
+    """By which powers of two a line's words are thinned; the first is the line's own class."""
+    top = F.greatest(F.floor(F.log2(n / SAMPLE)), F.lit(0)).cast("int")
+    lower = (top > 0) & (n < OVERLAP * SAMPLE * F.pow(F.lit(2.0), top))
+    return F.when(lower, F.array(top, top - 1)).otherwise(F.array(top))
+
+
+def _block_keys(rows: DataFrame, *kept: str) -> DataFrame:
+    """``keys`` of each row with the blocks' sums ``b0`` ... and ``n``, the number of distinct words."""
+    ring = lambda name, i: F.col(f"{name}{i % BLOCKS}")
+    rows = rows.select(*kept, "n", *[F.coalesce(f"b{i}", F.lit(0)).alias(f"r1_{i}") for i in range(BLOCKS)])
+    widths = [1]
+    while widths[-1] < BLOCKS:
+        w = widths[-1]
+        starts = range(BLOCKS) if 2 * w < BLOCKS else [0]
+        rows = rows.select("*", *[(ring(f"r{w}_", i) + ring(f"r{w}_", i + w)).alias(f"r{2 * w}_{i}") for i in starts])
+        widths.append(2 * w)
+    least = F.when(F.col("n") < FEW, LEAST_FEW).otherwise(LEAST)
+    low = F.lit((1 << COUNT) - 1).cast("long")
     keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        keys.append(F.xxhash64(F.lit(k), sim.bitwiseAND(F.lit(mask).cast("long"))))
-    return F.array(*keys)
-
+    for i in range(BLOCKS):
+        key = F.col(f"r{BLOCKS}_0")
+        for w in reversed(widths[:-1]):
+            key = F.when(ring(f"r{w}_", i).bitwiseAND(low) >= least, ring(f"r{w}_", i)).otherwise(key)
+        keys.append(F.when(F.col("n") < SHORT, key) if i % 2 else key)
+    return rows.select(*kept, F.array_compact(F.array_distinct(F.array(*keys))).alias("keys"))
 
-def block_count(n: int, radius: int) -> int:
-    """Blocks so that a key has at least log2(n) + 8 bits: then few lines share a key by chance, at any number of lines."""
-    return next((m for m in range(radius + 1, 13) if BITS * (m - radius) // m >= log2(max(n, 2)) + 8), 12)
 
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``oid, id, key, line, h1, h2, many, main, keys`` of each line that counts (rows that aren't ``main`` only bring more keys).
 
-def _near(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    ``many``: it has MIN_WORDS words. ``h1`` and ``h2`` identify the normalised line by 128 bits.
+    """
+    keyed = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
+    long = (F.length("norm") >= MIN_CHARS).alias("long")
+    place = ["oid", "id", "key", "line", "h1", "h2"]
+    norm = norm.select("id", "key", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), long, F.split("norm", " ").alias("w"))
+    many = F.size("w") >= MIN_WORDS
+    # The counter column is a barrier too: what is inferred from explode() isn't pushed below it.
+    norm = norm.select(F.monotonically_increasing_id().alias("oid"), *place[1:], many.alias("many"), F.when(F.col("long") | many, F.array_distinct("w")).alias("w"))
+    # Short lines explode to nothing. A filter would be pushed below and normalise every line a second time.
+    levels = F.when(F.col("w").isNotNull(), _levels(F.size("w")))
+    norm = norm.select(*place, "many", "w", F.size("w").alias("n"), F.posexplode(levels).alias("at", "level"))
+    words = norm.select(*place, "many", "n", (F.col("at") == 0).alias("main"), "level", F.explode("w").alias("w"))
+    words = words.select(*place, "many", "n", "main", "level", F.xxhash64("w").alias("h"))
+    # Other words than the sampled ones belong to no block; they leave the row in place.
+    block = F.when(F.shiftright("h", 4).bitwiseAND(F.expr("shiftleft(1L, level) - 1")) == 0, F.col("h").bitwiseAND(F.lit(BLOCKS - 1).cast("long")))
+    value = F.shiftleft(F.shiftrightunsigned("h", 64 - VALUE), COUNT) + 1
+    words = words.select(*place, "many", "n", "main", block.alias("block"), value.alias("value"))
+    sums = [F.sum(F.when(F.col("block") == i, F.col("value"))).alias(f"b{i}") for i in range(BLOCKS)]
+    return _block_keys(words.groupBy(*place, "many", "n", "main").agg(*sums), *place, "many", "main")
+
+
+def simhash(rows: DataFrame, *ids: str) -> DataFrame:
+    """``ids``, ``sim`` and ``chars`` of rows with ``norm``: 62 bits over the distinct words."""
+    words = rows.select(*ids, F.length("norm").alias("chars"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+    words = words.select(*ids, "chars", F.xxhash64(F.lit(2), "w").alias("h"))
+    pick = F.lit(1 | (1 << 31)).cast("long")
+    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pick)).alias(f"s{j}") for j in range(31)]
+    sums = words.groupBy(*ids, "chars").agg(F.count("*").alias("n"), *lanes)
+    sim, one = F.lit(0).cast("long"), F.lit((1 << 31) - 1).cast("long")
+    for j in range(31):
+        low = (2 * F.col(f"s{j}").bitwiseAND(one) > F.col("n")).cast("long")
+        high = (2 * F.shiftrightunsigned(f"s{j}", 31) > F.col("n")).cast("long")
+        sim = sim.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(high, j + 31))
+    return sums.select(*ids, "chars", sim.alias("sim"))
 
 
 def _alignment(a: Column, b: Column) -> Column:
@@ -144,85 +149,93 @@ def _alignment(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), state(F.lit(0), F.lit(0)), step, rest)
 
 
+def _most(a: str, b: str, similarity: float) -> Column:
+    """The greatest distance that lines of so many characters may have."""
+    return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+
+
+def _close(x: str, y: str, radius: int, similarity: float) -> Column:
+    near = F.bit_count(F.col(f"s{x}").bitwiseXOR(F.col(f"s{y}"))) <= radius
+    return near & (F.abs(F.col(f"c{x}") - F.col(f"c{y}")) <= _most(f"c{x}", f"c{y}", similarity))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) that are similar enough, as ``u``, ``v``."""
     a = texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta"))
     b = texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b")
-    longer, apart = F.greatest(F.length("ta"), F.length("tb")), F.abs(F.length("ta") - F.length("tb"))
-    both = both.withColumn("most", F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")).where(apart <= F.col("most"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("ca", F.length("ta")).withColumn("cb", F.length("tb"))
     # The counter column is a barrier: a filter pushed below it would split both texts again for every word.
-    both = both.select("a", "b", "most", "ta", "tb", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.monotonically_increasing_id().alias("barrier"))
+    both = both.select("a", "b", _most("ca", "cb", similarity).alias("most"), "ta", "tb", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.monotonically_increasing_id().alias("barrier"))
     near = F.when(_alignment(F.col("wa"), F.col("wb")) <= F.col("most"), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
     return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def line_texts(lines: DataFrame, wanted: DataFrame, docs: DataFrame, form: Form = ASCII) -> DataFrame:
-    """``lid, norm`` of the lines in ``wanted`` (``lid``), read at their first places."""
-    at = _sendable(staged(wanted, "line-wanted")).join(lines.select("lid", "place"), "lid")
-    spots = at.groupBy(F.col("place.id").alias("id"), F.col("place.key").alias("key")).agg(F.collect_list(F.struct("lid", "place.line")).alias("spots"))
-    spots = _sendable(staged(spots, "line-spots"))
+def line_texts(occ: DataFrame, wanted: DataFrame, docs: DataFrame, work: Stages) -> DataFrame:
+    """``lid, norm`` of the lines in ``wanted`` (``lid``, staged), read at their places."""
+    at = occ.where("main").select(F.col("oid").alias("lid"), "id", "key", "line").join(sendable(wanted, 16), "lid")
+    spots = work.staged(at.groupBy("id", "key").agg(F.collect_list(F.struct("lid", "line")).alias("spots")), "line-spots")
+    spots = sendable(spots, 64, 16 * wanted.count())
     texts = docs.select("doc_id", _key().alias("text_key"), "text").join(spots, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     # The same document may stand there more than once.
     texts = texts.select("spots", F.split("text", "\n", -1).alias("parts"))
     found = texts.select(F.explode(F.transform("spots", lambda s: F.struct(s["lid"].alias("lid"), F.get("parts", s["line"]).alias("raw")))).alias("x"))
-    return found.select("x.lid", form.normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
-
+    return found.select("x.lid", normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
 
-def _linked(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, form: Form) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``; staged) that are similar enough, as ``u``, ``v``, staged."""
-    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    texts = staged(line_texts(lines, ids, docs, form), "line-texts")
-    return staged(_verified(pairs, texts, similarity), "line-links")
 
-
-def line_links(lines: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
-    """Links ``u``, ``v`` that connect the groups of near lines. ``lines``: ``lid, sim, place`` of the distinct lines."""
-    m = block_count(lines.count(), radius)
-    keyed = lines.select("lid", "sim", F.explode(pigeonhole_keys(F.col("sim"), m, radius)).alias("k"))
+def line_links(occ: DataFrame, lines: DataFrame, docs: DataFrame, work: Stages, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``u``, ``v`` (``lid``) that connect the groups of near lines."""
+    repeats = sendable(work.staged(lines.where("c > 1").select("h1", "h2", "lid"), "line-repeats"), 40)
+    again = occ.where("main and many").join(repeats, ["h1", "h2"]).where("oid <> lid").select("oid")
+    again = sendable(work.staged(again, "line-again"), 16)
+    keyed = occ.where("many").select("oid", "keys").join(again, "oid", "left_anti").select(F.col("oid").alias("lid"), F.explode("keys").alias("k"))
     # Most keys have one line: the keys alone are counted first.
-    shared = keyed.select("k").groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", (F.col("c") > 2).alias("crowded"))
-    shared = _sendable(staged(shared, "line-keys"))
-    members = staged(keyed.join(shared, "k"), "line-members")
-    ends = members.groupBy("k", "crowded").agg(F.min(F.struct("lid", "sim")).alias("lo"), F.max(F.struct("lid", "sim")).alias("hi"))
-    pair = [F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("hi.lid").alias("b"), F.col("hi.sim").alias("sb")]
-    two = ends.where("not crowded").select(*pair)
-    crowd = members.where("crowded").select("k", "lid", "sim")
-    leader = _sendable(staged(ends.where("crowded").select("k", "lo"), "line-leaders"))
-    led = staged(crowd.join(leader, "k").where("lid <> lo.lid"), "line-led")
-    star = led.select(F.col("lo.lid").alias("a"), F.col("lo.sim").alias("sa"), F.col("lid").alias("b"), F.col("sim").alias("sb"))
-    pairs = staged(two.union(star).where(_near("sa", "sb", radius)).select("a", "b").distinct(), "line-pairs")
-    first = _linked(pairs, lines, docs, similarity, form)
-    roots = connected_components(first).withColumnRenamed("node", "lid")
-    placed = staged(led.select("k", "lid", "sim").join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")), "line-placed")
+    shared = keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", (F.col("c") > 2).alias("crowded"))
+    shared = sendable(work.staged(shared, "line-keys"), 24)
+    members = work.staged(keyed.join(shared, "k").distinct(), "line-members")
+    wanted = work.staged(members.select("lid").distinct(), "line-wanted")
+    texts = work.staged(line_texts(occ, wanted, docs, work), "line-texts")
+    sims = work.staged(simhash(texts, "lid"), "line-sims")
+    side = lambda x: sims.select(F.col("lid").alias(x), F.col("sim").alias(f"s{x}"), F.col("chars").alias(f"c{x}"))
+    ends = work.staged(members.groupBy("k", "crowded").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a < b"), "line-ends")
+    leader = sendable(work.staged(ends.where("crowded").select("k", "a"), "line-leaders"), 24)
+    led = work.staged(members.where("crowded").select("k", "lid").join(leader, "k").where("lid <> a").select("k", "a", F.col("lid").alias("b")), "line-led")
+    pairs = ends.where("not crowded").select("a", "b").union(led.select("a", "b")).distinct()
+    pairs = work.staged(pairs.join(side("a"), "a").join(side("b"), "b").where(_close("a", "b", radius, similarity)).select("a", "b"), "line-pairs")
+    first = work.staged(_verified(pairs, texts, similarity), "line-links")
+    roots = work.hold(connected_components(first)).withColumnRenamed("node", "lid")
+    placed = work.staged(led.select("k", F.col("b").alias("lid")).join(roots, "lid", "left").select("k", "lid", F.coalesce("root", "lid").alias("root")), "line-placed")
     split = placed.groupBy("k").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("k")
-    open_ = staged(placed.join(split, "k"), "line-open")
-    other = open_.select("k", F.col("lid").alias("b"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
-    mine = open_.select("k", F.col("lid").alias("a"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
-    rest = mine.join(other, (mine.k == other.k) & (F.col("ra") < F.col("rb")) & _near("sa", "sb", radius)).select("a", "b").distinct()
-    rest = staged(rest, "line-rest")
-    return first if rest.isEmpty() else first.union(_linked(rest, lines, docs, similarity, form))
+    open_ = work.staged(placed.join(split, "k"), "line-open")
+    mine = open_.select("k", F.col("lid").alias("a"), F.col("root").alias("ra")).join(side("a"), "a")
+    other = open_.select("k", F.col("lid").alias("b"), F.col("root").alias("rb")).join(side("b"), "b")
+    rest = mine.join(other, "k").where((F.col("ra") < F.col("rb")) & _close("a", "b", radius, similarity))
+    rest = work.staged(rest.select("a", "b").distinct(), "line-rest")
+    return first if rest.isEmpty() else first.union(work.staged(_verified(rest, texts, similarity), "line-links"))
+
+
+def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, key, gone`` (staged): the numbers of the lines to remove from each document that has any."""
+    work = Stages()
+    occ = work.staged(occurrences(docs), "line-occurrences")
+    lines = work.staged(occ.where("main").groupBy("h1", "h2").agg(F.min("oid").alias("lid"), F.count("*").alias("c")), "line-distinct")
+    links = line_links(occ, lines, docs, work, radius, similarity)
+    roots = work.hold(connected_components(links)).withColumnRenamed("node", "lid")
+    known = lines.join(roots, "lid", "left").where("root is not null or c > 1").select("h1", "h2", F.coalesce("root", "lid").alias("root"))
+    known = sendable(work.staged(known, "line-groups"), 40)
+    place = F.struct("id", "key", "line")
+    held = work.staged(occ.where("main").select("id", "key", "line", "h1", "h2").join(known, ["h1", "h2"]).select("id", "key", "line", "root"), "line-held")
+    first = sendable(work.staged(held.groupBy("root").agg(F.min(place).alias("kept")), "line-kept"), 48)
+    gone = held.join(first, "root").where(~place.eqNullSafe(F.col("kept")))
+    out = staged(gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone")), "line-gone")
+    work.drop()
+    return out
 
 
-def repeated_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
-    """``id, key, gone``: the numbers of the lines to remove from each document that has any."""
-    occ = staged(occurrences(docs, form), "line-occurrences")
-    place = F.struct("id", "key", "line")
-    lines = occ.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.min("many").alias("many"), F.min("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))
-    lines = staged(lines.withColumn("lid", F.monotonically_increasing_id()), "line-distinct")
-    links = line_links(lines.where(F.col("many") & (F.col("n") <= MOST_WORDS)), docs, radius, similarity, form)
-    roots = connected_components(links)
-    known = lines.join(roots, F.col("lid") == F.col("node"), "left").where("root is not null or place <> last")
-    known = staged(known.select("h1", "h2", "place", F.coalesce("root", "lid").alias("root")), "line-groups")
-    first = known.groupBy("root").agg(F.min("place").alias("kept"))
-    kept = staged(known.join(first, "root").select("h1", "h2", "kept"), "line-kept")
-    gone = occ.join(_sendable(kept), ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
-    return gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
-
-
-def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, form: Form = ASCII) -> DataFrame:
+def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the repeated lines in ``text``, and ``__gone``, the sorted numbers of those lines (or null)."""
-    gone = staged(repeated_lines(clean_columns(docs, "doc_id", "text"), radius, similarity, form), "line-gone")
-    marks = _sendable(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.array_sort("gone").alias("__gone")))
+    gone = repeated_lines(clean_columns(docs, "doc_id", "text"), radius, similarity)
+    lines = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    marks = sendable(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.array_sort("gone").alias("__gone")), 64, 4 * lines)
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
@@ -231,6 +244,6 @@ def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMI
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(clean_columns(table(spark, sf_dir, "documents"), "doc_id", "text"), form=WHOLE)
+    out = remove_lines(clean_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
     n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     return out.select("doc_id", "text", n.alias("n_removed"), F.col("__gone").alias("removed_lines"))

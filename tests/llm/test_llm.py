@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -534,28 +535,32 @@ def test_text_decoder_holds_back_unfinished_characters():
 # --- 9 ---------------------------------------------------------------------------------------------------------------
 
 
+def normal_line(x):
+    plain = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", x.lower()).strip(" ")
+    return regex.sub(r"\p{Nd}", "0", plain) if regex.search(r"\p{L}", x) else plain
+
+
+def near_lines(a, b, con=duckdb.connect()):
+    """Edit similarity alone."""
+    longer = max(len(a), len(b))
+    if 5 * min(len(a), len(b)) < 4 * longer:
+        return False
+    return con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] <= int(longer * (1 - fuzzy_lines.SIMILARITY) + 1e-9)
+
+
 def lines_by_hand(rows):
-    norm = lambda x: re.sub(r"[\x00-/:-@\[-`{-\x7f]+", " ", x.lower()).strip(" ")
+    """doc_id -> numbers of the lines to remove, where every pair of similar lines is linked."""
     occ = defaultdict(list)
     for i, x in sorted({(i, x) for i, x in rows if x is not None}, key=lambda r: (r[0] is not None, r[0])):
         for k, line in enumerate(x.split("\n")):
-            if len(norm(line).split(" ")) >= fuzzy_lines.MIN_WORDS:
-                occ[norm(line)].append((i, k))
+            n = normal_line(line)
+            if len(n) >= fuzzy_lines.MIN_CHARS or len(n.split(" ")) >= fuzzy_lines.MIN_WORDS:
+                occ[n].append((i, k))
     names = list(occ)
-
-    def sim(n):
-        w = set(n.split(" "))
-        h = np.array([xxhash.xxh64_intdigest(x, 42) for x in w], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
-        return np.packbits(2 * bits > len(w), bitorder="little").view("<u8")[0] & np.uint64((1 << 63) - 1)
-
-    sims = np.array([sim(n) for n in names], np.uint64)
-    con, links = duckdb.connect(), []
-    for i in range(len(names)):
-        for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= fuzzy_lines.RADIUS) + i + 1:
-            longer = max(len(names[i]), len(names[j]))
-            if con.execute("SELECT levenshtein(?, ?)", [names[i], names[j]]).fetchone()[0] <= int(longer * (1 - fuzzy_lines.SIMILARITY) + 1e-9):
-                links.append((i, j))
+    bags = [set(n.split(" ")) for n in names]
+    many = [len(n.split(" ")) >= fuzzy_lines.MIN_WORDS for n in names]
+    # Lines without a third of their words in common aren't measured: all changes of these tests are to whole words.
+    links = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if many[i] and many[j] and 3 * len(bags[i] & bags[j]) >= max(len(bags[i]), len(bags[j])) and near_lines(names[i], names[j])]
     root, gone = groups(links, range(len(names))), defaultdict(set)
     members = defaultdict(list)
     for k, n in enumerate(names):
@@ -567,10 +572,11 @@ def lines_by_hand(rows):
 
 
 def test_fuzzy_lines_equal_brute_force(spark):
+    """The corpus' own near lines, and a crowd of near copies of a few, against edit similarity alone."""
     rows = documents()
     rng = random.Random(9)
     base = [x for _, x in rows if 300 < len(x) < 1500][:6]
-    for k in range(60):  # a crowd of near copies of a few lines
+    for k in range(60):
         words = base[k % 6].split(" ")
         words[rng.randrange(len(words))] = "zz"
         rows.append((5000 + k, " ".join(words)))
@@ -580,6 +586,40 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert all(r.text == "\n".join(x for k, x in enumerate(dict(rows)[r.doc_id].split("\n")) if k not in gone[r.doc_id]) for r in got)
 
 
+@pytest.mark.parametrize("length, changed, least", [(8, 1, 0.8), (16, 2, 0.85), (40, 4, 0.95), (320, 20, 0.95)])
+def test_near_lines_are_found_at_any_length(spark, length, changed, least):
+    """Recall against edit similarity of 0.8: pairs of lines in which words are replaced, far from any other pair."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    rows, n = [], 60
+    for k in range(n):
+        while True:
+            a = [word() for _ in range(length)]
+            b = a.copy()
+            for at in rng.sample(range(length), changed):
+                b[at] = word()
+            if near_lines(" ".join(a), " ".join(b)):
+                break
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = fuzzy_lines.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("__gone is not null").select("doc_id").collect()
+    assert all(r.doc_id % 2 for r in got) and len(got) >= least * n
+
+
+def test_lines_of_a_crowded_key_in_different_groups_are_linked(spark):
+    rng = random.Random(6)
+    common = [f"w{k}" for k in range(24)]
+    rows = []
+    for g in range(12):  # groups of lines that share a passage, so that keys are crowded with different groups
+        own = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(24)]
+        for k in range(4):
+            words = common + own
+            words[24 + rng.randrange(24)] = f"c{k}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    got = fuzzy_lines.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("__gone is null").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 48, 4))
+
+
 def test_fuzzy_lines_odd_rows(spark):
     out = fuzzy_lines.remove_lines(odd(spark))
     rows = out.collect()
@@ -606,10 +646,6 @@ def test_lines_that_differ_in_digits_quotes_or_spaces_are_equal(spark, tmp_path)
     assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, SF).collect() if r.text == "") == [2, 5, 6]
 
 
-def test_pigeonhole_keys_meet_within_the_radius():
-    assert fuzzy_lines.block_count(100, 3) <= fuzzy_lines.block_count(1 << 30, 3) <= 12
-
-
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
