@@ -4,7 +4,7 @@ Lines (parts of a text between line feeds) are normalised: lower case, runs of a
 digits to single spaces, digits to 0 (not where a line has no letters: rows of numbers differ in nothing else). Lines of
 at least MIN_WORDS words or MIN_CHARS characters count. Equal normalised lines are one distinct line; those under
 MIN_WORDS words are linked to no others. Two other distinct lines are linked if they share a block key, their SimHashes
-differ in at most RADIUS of 62 bits and their edit similarity ``1 - distance / longer length`` is at least SIMILARITY.
+differ in at most RADIUS of 62 bits and their edit similarity ``1 - distance / longer length``, in words, is at least SIMILARITY.
 Of every connected group the first occurrence, by (doc_id, text, line number), stays; all others are removed.
 
 Pigeonhole blocks. Blocks of a SimHash's bits can't find lines of such similarity: one changed word in twenty moves some
@@ -23,8 +23,8 @@ Crowded keys: the members of a key are compared with the key's first member alon
 this leaves in different groups are then compared with one another, so no link between groups is lost, while links
 inside a group, which change nothing, are never listed.
 
-Most near lines are settled by an upper bound of their distance, from one walk over their words; where that is over
-the limit the distance itself decides.
+Distances are measured on strings with one character for each word, chosen by hash out of LETTERS. Near lines of over LONG
+words are settled by an upper bound of their distance, from one walk over their words, if that is within the limit.
 
 Nulls: a null text has no lines and stays null; a null doc_id ranks first. Rows that agree in doc_id and text are one
 document. Texts without a line that counts come back as they are. Other columns are kept by ``remove_lines``.
@@ -48,6 +48,9 @@ BLOCKS, LEAST, LEAST_FEW, FEW, SHORT = 16, 4, 3, 12, 24
 SAMPLE, OVERLAP = 128, 1.2
 #: Bits of a word's hash in a block's sum, whose low bits count its words.
 VALUE, COUNT = 45, 9
+#: Characters that stand for words, from the first on (none of them combine or are surrogates).
+FIRST_LETTER, LETTERS = 0x4E00, 20_000
+LONG = 2048
 
 
 def normalised(line: Column) -> Column:
@@ -113,65 +116,66 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return _block_keys(words.groupBy(*place, "many", "n", "main").agg(*sums), *place, "many", "main")
 
 
-def simhash(rows: DataFrame, *ids: str) -> DataFrame:
-    """``ids``, ``sim`` and ``chars`` of rows with ``norm``: 62 bits over the distinct words."""
-    words = rows.select(*ids, F.length("norm").alias("chars"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
-    words = words.select(*ids, "chars", F.xxhash64(F.lit(2), "w").alias("h"))
+def simhash(rows: DataFrame) -> DataFrame:
+    """``lid, sim, n`` of rows with ``lid, norm``: 62 bits over the distinct words, and the number of all words."""
+    words = rows.select("lid", F.split("norm", " ").alias("w")).select("lid", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("w"))
+    words = words.select("lid", "n", F.xxhash64(F.lit(2), "w").alias("h"))
     pick = F.lit(1 | (1 << 31)).cast("long")
     lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pick)).alias(f"s{j}") for j in range(31)]
-    sums = words.groupBy(*ids, "chars").agg(F.count("*").alias("n"), *lanes)
+    sums = words.groupBy("lid", "n").agg(F.count("*").alias("d"), *lanes)
     sim, one = F.lit(0).cast("long"), F.lit((1 << 31) - 1).cast("long")
     for j in range(31):
-        low = (2 * F.col(f"s{j}").bitwiseAND(one) > F.col("n")).cast("long")
-        high = (2 * F.shiftrightunsigned(f"s{j}", 31) > F.col("n")).cast("long")
+        low = (2 * F.col(f"s{j}").bitwiseAND(one) > F.col("d")).cast("long")
+        high = (2 * F.shiftrightunsigned(f"s{j}", 31) > F.col("d")).cast("long")
         sim = sim.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(high, j + 31))
-    return sums.select(*ids, "chars", sim.alias("sim"))
+    return sums.select("lid", "n", sim.alias("sim"))
+
+
+def coded(norm: Column) -> Column:
+    """A line with one character for each of its words, by hash: what distances in words are measured on."""
+    letter = lambda w: F.hex(F.lit(FIRST_LETTER).cast("long") + F.pmod(F.xxhash64(F.lit(3), w), F.lit(LETTERS).cast("long")))
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), letter), "")), "UTF-16BE")
 
 
 def _alignment(a: Column, b: Column) -> Column:
-    """An upper bound of the edit distance of two texts, from their arrays of words: what one walk over ``a`` finds that
-    meets each change with the first of these that puts the words in step again: one word for another, one more, one less."""
-    size = lambda w: F.coalesce(F.length(w), F.lit(0))
+    """An upper bound of the distance of two arrays: what one walk over ``a`` finds that meets each change with the first
+    of these that puts the arrays in step again: one element for another, one more, one less."""
     state = lambda shift, cost: F.struct(shift.cast("int").alias("shift"), cost.cast("long").alias("cost"))
 
     def step(s: Column, i: Column) -> Column:
         j = i + s["shift"]
         x, y, x1, y1 = F.get(a, i), F.get(b, j), F.get(a, i + 1), F.get(b, j + 1)
-        swap = state(s["shift"], s["cost"] + F.greatest(size(x), size(y)) + F.when(y.isNull(), 1).otherwise(0))
-        more = state(s["shift"] + 1, s["cost"] + size(y) + 1)
-        less = state(s["shift"] - 1, s["cost"] + size(x) + 1)
+        swap, more, less = (state(s["shift"] + k, s["cost"] + 1) for k in (0, 1, -1))
         return F.when(x == y, s).when(x1 == y1, swap).when(x == y1, more).when(x1 == y, less).otherwise(swap)
 
-    def rest(s: Column) -> Column:
-        left = F.slice(b, F.size(a) + s["shift"] + 1, F.greatest(F.size(b) - F.size(a) - s["shift"], F.lit(0)))
-        return s["cost"] + F.aggregate(left, F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
-
+    rest = lambda s: s["cost"] + F.greatest(F.size(b) - F.size(a) - s["shift"], F.lit(0))
     return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), state(F.lit(0), F.lit(0)), step, rest)
 
 
 def _most(a: str, b: str, similarity: float) -> Column:
-    """The greatest distance that lines of so many characters may have."""
+    """The greatest distance that lines of so many words may have."""
     return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
 
 
 def _close(x: str, y: str, radius: int, similarity: float) -> Column:
     near = F.bit_count(F.col(f"s{x}").bitwiseXOR(F.col(f"s{y}"))) <= radius
-    return near & (F.abs(F.col(f"c{x}") - F.col(f"c{y}")) <= _most(f"c{x}", f"c{y}", similarity))
+    return near & (F.abs(F.col(f"n{x}") - F.col(f"n{y}")) <= _most(f"n{x}", f"n{y}", similarity))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) that are similar enough, as ``u``, ``v``."""
-    a = texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta"))
-    b = texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("ca", F.length("ta")).withColumn("cb", F.length("tb"))
+    side = lambda x: texts.select(F.col("lid").alias(x), F.col("code").alias(f"t{x}"), F.length("code").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    long = F.greatest("na", "nb") > LONG
+    letters = [F.when(long, F.split(f"t{x}", "")).alias(f"w{x}") for x in "ab"]
     # The counter column is a barrier: a filter pushed below it would split both texts again for every word.
-    both = both.select("a", "b", _most("ca", "cb", similarity).alias("most"), "ta", "tb", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"), F.monotonically_increasing_id().alias("barrier"))
-    near = F.when(_alignment(F.col("wa"), F.col("wb")) <= F.col("most"), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
+    both = both.select("a", "b", long.alias("long"), _most("na", "nb", similarity).alias("most"), "ta", "tb", *letters, F.monotonically_increasing_id().alias("barrier"))
+    near = F.when(F.col("long") & (_alignment(F.col("wa"), F.col("wb")) <= F.col("most")), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
     return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def line_texts(occ: DataFrame, wanted: DataFrame, docs: DataFrame, work: Stages) -> DataFrame:
-    """``lid, norm`` of the lines in ``wanted`` (``lid``, staged), read at their places."""
+    """``lid, norm, code`` of the lines in ``wanted`` (``lid``, staged), read at their places."""
     at = occ.where("main").select(F.col("oid").alias("lid"), "id", "key", "line").join(sendable(wanted, 16), "lid")
     spots = work.staged(at.groupBy("id", "key").agg(F.collect_list(F.struct("lid", "line")).alias("spots")), "line-spots")
     spots = sendable(spots, 64, 16 * wanted.count())
@@ -179,7 +183,7 @@ def line_texts(occ: DataFrame, wanted: DataFrame, docs: DataFrame, work: Stages)
     # The same document may stand there more than once.
     texts = texts.select("spots", F.split("text", "\n", -1).alias("parts"))
     found = texts.select(F.explode(F.transform("spots", lambda s: F.struct(s["lid"].alias("lid"), F.get("parts", s["line"]).alias("raw")))).alias("x"))
-    return found.select("x.lid", normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"])
+    return found.select("x.lid", normalised(F.col("x.raw")).alias("norm")).dropDuplicates(["lid"]).select("lid", "norm", coded(F.col("norm")).alias("code"))
 
 
 def line_links(occ: DataFrame, lines: DataFrame, docs: DataFrame, work: Stages, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -194,8 +198,8 @@ def line_links(occ: DataFrame, lines: DataFrame, docs: DataFrame, work: Stages,
     members = work.staged(keyed.join(shared, "k").distinct(), "line-members")
     wanted = work.staged(members.select("lid").distinct(), "line-wanted")
     texts = work.staged(line_texts(occ, wanted, docs, work), "line-texts")
-    sims = work.staged(simhash(texts, "lid"), "line-sims")
-    side = lambda x: sims.select(F.col("lid").alias(x), F.col("sim").alias(f"s{x}"), F.col("chars").alias(f"c{x}"))
+    sims = work.staged(simhash(texts), "line-sims")
+    side = lambda x: sims.select(F.col("lid").alias(x), F.col("sim").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     ends = work.staged(members.groupBy("k", "crowded").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a < b"), "line-ends")
     leader = sendable(work.staged(ends.where("crowded").select("k", "a"), "line-leaders"), 24)
     led = work.staged(members.where("crowded").select("k", "lid").join(leader, "k").where("lid <> a").select("k", "a", F.col("lid").alias("b")), "line-led")

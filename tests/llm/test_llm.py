@@ -540,12 +540,18 @@ def normal_line(x):
     return regex.sub(r"\p{Nd}", "0", plain) if regex.search(r"\p{L}", x) else plain
 
 
-def near_lines(a, b, con=duckdb.connect()):
-    """Edit similarity alone."""
-    longer = max(len(a), len(b))
-    if 5 * min(len(a), len(b)) < 4 * longer:
+def near_lines(a, b):
+    """Edit similarity in words, alone."""
+    a, b = a.split(" "), b.split(" ")
+    most = int(max(len(a), len(b)) * (1 - fuzzy_lines.SIMILARITY) + 1e-9)
+    if abs(len(a) - len(b)) > most:
         return False
-    return con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] <= int(longer * (1 - fuzzy_lines.SIMILARITY) + 1e-9)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= most
 
 
 def lines_by_hand(rows):
