@@ -5,14 +5,17 @@ pattern, and each piece's byte symbols are merged by rank. Pieces longer than a
 ``lookahead(merges)`` gives the number of symbols right of a token that can still decide it, so the transducer
 merges a window, emits the tokens that end that far from the window's right edge, and goes on from the last one.
 That restart is exact, since no merge crosses a token's end: both sides of it merge as if they stood alone.
-The state is one window, whatever the piece's length. Pieces that came up before are kept in a bounded cache.
+The state is one window, whatever the piece's length, and ids leave in batches as they become stable, so that neither the
+symbols nor the ids of a text are ever held together. Only a run without white space is held as such, in its normal form.
+Pieces that came up before are kept in a bounded cache.
 
 Sufficient lookahead. Whether the merge (u, v) happens at the right end of what is known depends on whether v's
 symbols are all still there. A symbol x that ends v can only be taken away by a merge (x, y) of lower rank, which in
 turn depends on y's symbols. Hence la(u, v) = |v| + max la(x, y) over the merges (x, y) of lower rank with x a suffix
 of v, and the bound is the greatest la, worked out in one pass over the merges in rank order.
 
-Decoding. A vocabulary like this one has no decoder, so the library's ``decode`` joins the tokens by spaces;
+Decoding. Both digests grow batch by batch: that of the ids as they are emitted, that of the text as the decoder turns these
+ids back. A vocabulary like this one has no decoder, so the library's ``decode`` joins the tokens by spaces;
 ``Decoder`` emits those token by token. ``TextDecoder`` turns the tokens' byte symbols back into bytes and these
 into text by an incremental UTF-8 state machine that holds back an unfinished character.
 
@@ -27,6 +30,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -140,7 +144,7 @@ class Merger:
 
 
 class Transducer:
-    """The tokenizer of one JSON file: ``pieces(text)`` gives (ids, tokens, count) of each piece, joined by spaces."""
+    """The tokenizer of one JSON file: ``pieces(text)`` gives batches of (ids, the same in decimal, joined by spaces)."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -152,31 +156,43 @@ class Transducer:
         self.plain = [model["vocab"][s] for s in self.symbols]
         self.last = [model["vocab"][s + self.suffix] for s in self.symbols]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.find = regex.compile(split.replace(r"\s", WHITE)).findall
+        self.find = regex.compile(split.replace(r"\s", WHITE))
         self.white = regex.compile(f"[{WHITE}]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.cache: dict[str, tuple[str, str, int]] = {}
+        self.names = self.merger.tokens | {i: t for t, i in self.special.items()}
+        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def normalise(self, run: str) -> str:
         # Lower case goes character by character, so a capital sigma never becomes a final one.
         run = run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")
         return self.white.sub(" ", run).lower()
 
-    def piece(self, p: str) -> tuple[str, str, int]:
+    def piece(self, p: str) -> tuple[tuple[int, ...], str]:
         b = p.encode()
-        if len(b) > self.merger.window:
-            ids = list(self.merger.stream([*(self.plain[x] for x in b[:-1]), self.last[b[-1]]]))
-        else:
-            ids = self.merger.merge([*(self.plain[x] for x in b[:-1]), self.last[b[-1]]])
-        tokens = self.merger.tokens
-        out = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
+        symbols = [*(self.plain[x] for x in b[:-1]), self.last[b[-1]]]
+        ids = tuple(self.merger.stream(symbols) if len(b) > self.merger.window else self.merger.merge(symbols))
+        out = (ids, " ".join(map(str, ids)))
         if len(p) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[p] = out
         return out
 
+    def long_piece(self, p: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
+        """A piece of any length, a batch of stable ids at a time."""
+
+        def symbols() -> Iterator[int]:
+            for at in range(0, len(p), FEED):
+                b = p[at : at + FEED].encode()
+                ends = at + FEED >= len(p)
+                yield from (self.plain[x] for x in (b[:-1] if ends else b))
+                if ends:
+                    yield self.last[b[-1]]
+
+        for ids in batched(self.merger.stream(symbols()), FEED // 8):
+            yield [(ids, " ".join(map(str, ids)))]
+
     def runs(self, text: str) -> Iterator[str]:
         """The text in steps that end before white space."""
         at = 0
@@ -191,18 +207,26 @@ class Transducer:
             yield text[at:end]
             at = end
 
-    def pieces(self, text: str) -> Iterator[list[tuple[str, str, int]]]:
+    def pieces(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str]]]:
         get, make = self.cache.get, self.piece
         parts = self.cut(text) if "<|" in text else [text]
         for part in parts:
             if part in self.special:
-                yield [(str(self.special[part]), part, 1)]
+                yield [((self.special[part],), str(self.special[part]))]
                 continue
             for run in self.runs(part):
-                yield [get(p) or make(p) for p in self.find(self.normalise(run))]
+                run = self.normalise(run)
+                if len(run) <= 2 * FEED:
+                    yield [get(p) or make(p) for p in self.find.findall(run)]
+                    continue
+                for m in self.find.finditer(run):
+                    if m.end() - m.start() > FEED:
+                        yield from self.long_piece(m.group())
+                    else:
+                        yield [get(m.group()) or make(m.group())]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for group in self.pieces(text) for ids, _, _ in group for i in ids.split()]
+        return [i for group in self.pieces(text) for ids, _ in group for i in ids]
 
 
 class Decoder:
@@ -252,14 +276,15 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def digest(text: str, t: Transducer) -> tuple[int, str, str]:
         n, ids, decoded, joint = 0, hashlib.sha256(), hashlib.sha256(), b""
+        decoder = Decoder(t.names)
         for group in t.pieces(text):
             if not group:
                 continue
-            a, b, c = zip(*group)
-            n += sum(c)
-            # A cached piece holds its tokens beside its ids, so decoding it again gives the same string.
-            ids.update(joint + " ".join(a).encode())
-            decoded.update(joint + " ".join(b).encode())
+            emitted, decimal = zip(*group)
+            emitted = list(chain.from_iterable(emitted))
+            n += len(emitted)
+            ids.update(joint + " ".join(decimal).encode())
+            decoded.update(decoder.feed(emitted).encode())
             joint = b" "
         return n, ids.hexdigest(), decoded.hexdigest()
 
