@@ -12,8 +12,7 @@ Languages are those of COMMON; any other, or null, is judged by the reference of
 on the common words of all languages.
 
 Base rules: fewer than 50 words, or over half of the words in three-word windows that come up twice. Windows are
-compared by sorting 64-bit numbers in the row: a hash above and the position below; neighbours of equal hash are
-confirmed by their words. Texts of over 2^20 windows sort pairs of the whole hash and the position.
+compared by sorting pairs of their 64-bit hash and position in the row; neighbours of equal hash are confirmed by their words.
 
 Nulls: a null text counts as empty: all counts 0, base_failed, not kept. A null doc_id or lang is allowed; repeated
 rows are repeated; other columns are ignored; an empty table gives an empty result.
@@ -73,7 +72,6 @@ def features(docs: DataFrame) -> DataFrame:
     every = sorted({w for v in COMMON.values() for w in v})
     t = t.withColumn("common", F.filter("w", lambda x: x.isin(*every))).withColumn("list", lists[F.col("lang")])
     n = F.size("w")
-    low = (1 << 20) - 1
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     t = t.select(
         "doc_id", "lang", "w", "common", "list",
@@ -84,20 +82,12 @@ def features(docs: DataFrame) -> DataFrame:
         F.array(*[x.cast("double") for x in (F.length("text") - F.length("dense"), F.length("dense") - F.length("plain"), F.length("plain") - F.length("still"), F.length("still") - F.length("letters"), F.length("letters") - F.length(F.regexp_replace("letters", r"\p{Lu}+", "")), F.length(F.regexp_replace("letters", r"\p{Lu}+", "")))]).alias("chars"),
         F.coalesce(hashes, F.array().cast("array<bigint>")).alias("h"),
     )
-    packed = F.when(F.size("h") <= low, F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(F.lit(~low).cast("long")).bitwiseOR(i.cast("long")))))
-    pairs = F.when(F.size("h") > low, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    t = t.withColumn("s", packed).withColumn("p", pairs)
+    t = t.withColumn("s", F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     same_words = lambda a, b: (F.get("w", a) == F.get("w", b)) & (F.get("w", a + 1) == F.get("w", b + 1)) & (F.get("w", a + 2) == F.get("w", b + 2))
-    spot = lambda j: F.get("s", j).bitwiseAND(F.lit(low).cast("long")).cast("int")
-    near = F.filter(
-        F.sequence(F.lit(1), F.size("s") - 1),
-        lambda j: (F.shiftrightunsigned(F.get("s", j).bitwiseXOR(F.get("s", j - 1)), 20) == 0) & same_words(spot(j), spot(j - 1)),
-    )
-    far = F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda j: F.get("p", j)["h"] == F.get("p", j - 1)["h"])
-    t = t.withColumn("near", F.when(F.size("s") >= 2, near)).withColumn("far", F.when(F.size("p") >= 2, far))
-    twice = F.when(F.col("near").isNotNull(), F.concat(F.transform("near", spot), F.transform("near", lambda j: spot(j - 1))))
-    twice = twice.when(F.col("far").isNotNull(), F.concat(F.transform("far", lambda j: F.get("p", j)["i"]), F.transform("far", lambda j: F.get("p", j - 1)["i"])))
-    t = t.withColumn("twice", F.coalesce(twice, F.array().cast("array<int>")))
+    spot = lambda j: F.get("s", j)["i"]
+    near = F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda j: (F.get("s", j)["h"] == F.get("s", j - 1)["h"]) & same_words(spot(j), spot(j - 1)))
+    t = t.withColumn("near", F.when(F.size("s") >= 2, near).otherwise(F.array().cast("array<int>")))
+    t = t.withColumn("twice", F.concat(F.transform("near", spot), F.transform("near", lambda j: spot(j - 1))))
     counts = F.transform("list", lambda x: (F.size("common") - F.size(F.array_remove("common", x))).cast("double"))
     t = t.withColumn("counts", counts)
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
