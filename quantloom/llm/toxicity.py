@@ -1,9 +1,9 @@
 """Toxicity by a learned lexicon, Levenshtein automata over its trie, and context windows around each hit.
 
 Lexicon. In the learning rows, each distinct text counts once for its distinct words and for their stems (prefixes of
-four to six letters). A term enters if its odds of standing in a toxic text are high beyond chance, at least SHARE of
-the best term's; the LEXICON best are looked at, which bounds the model, and those that a better one covers are
-dropped: words with a stem that is in, and stems most of whose texts have one word or longer stem. Half of the learning rows find the terms, the other half calibrates, so a term that
+four to six letters). A term enters if the lower end of its log odds of standing in a toxic text, as a 95 % interval
+has it, is at least LEAST_ODDS, and it stands in LEAST_TEXTS toxic texts and in LEAST_SHARE of them, whatever the size of the
+corpus (rarer ones are mostly words that near copies of one text share); terms that a better one covers are dropped: words with a stem that is in, and stems most of whose texts have one word or longer stem. Half of the learning rows find the terms, the other half calibrates, so a term that
 only happens to stand in toxic texts is seen to fail.
 
 Matching. The terms form a trie. A word is looked up by walking the trie with the word's Levenshtein automaton: a set
@@ -11,9 +11,11 @@ of (position, errors) states, bit-packed, one word of bits for each number of er
 left. Words of at least five letters may be one edit away, of at least nine two. An automaton is only run for words
 that begin or end like a part of a term that k edits cannot all have touched. Results are kept for each distinct word.
 
-Context. Each hit looks at the words around it: quotation marks and verbs of reporting lessen it, words of address
-raise it. A logistic regression over the sums by kind of hit, fitted on at most FIT_ROWS rows of the calibrating half,
-gives the score.
+Context. Each hit looks at the words around it: quotation marks at words' edges (so no contraction's apostrophe) and verbs
+of reporting lessen it, words of address raise it. A logistic regression over the sums by kind of hit gives the score.
+
+Bounds. Terms are learned from a sample of about LEARN_ROWS labelled rows, the regression from one of about FIT_ROWS, both
+chosen by a hash of doc_id; with fewer labelled rows, from all. Nothing else is bounded.
 
 Labels come from ``labels`` rows whose crc32(doc_id as text) mod 5 isn't 0; labels, lang, source and doc_id are no
 inputs of a score. Nulls: a null text counts as empty, which scores what no hit scores. Rows without a doc_id or
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import clean_columns, small_batches, staged, table
 
 STEMS, HELD, CACHE = (4, 5, 6), 500_000, 400_000
-LEXICON, LEAST_TEXTS, LEAST_ODDS, SHARE, COVERED, FIT_ROWS, MOST_SENT = 1000, 4, 0.8, 0.5, 0.8, 20_000, 1 << 20
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, COVERED, LEARN_ROWS, FIT_ROWS = 4, 0.02, 1.5, 0.8, 200_000, 20_000
 WINDOW = 5
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’‹›¡¿…–—"
 QUOTES = set("\"'«»„“”‘’‹›")
@@ -133,6 +135,15 @@ class Trie:
         return got
 
 
+def edge_quotes(word: str) -> tuple[int, int]:
+    """Quotation marks before a word's first and after its last letter or digit."""
+    bare = word.strip(EDGE)
+    if not bare:
+        return sum(c in QUOTES for c in word), 0
+    at = word.index(bare)
+    return sum(c in QUOTES for c in word[:at]), sum(c in QUOTES for c in word[at + len(bare) :])
+
+
 def features(text: str, trie: Trie) -> np.ndarray:
     out = np.zeros(FEATURES)
     words = text.lower().split()
@@ -144,8 +155,9 @@ def features(text: str, trie: Trie) -> np.ndarray:
     for i, (kind, weight) in hits:
         around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
         bare = {w.strip(EDGE) for w in around}
-        before = "".join(words[max(0, i - WINDOW) : i + 1])
-        quote = 0.5 * bool(words[i][:1] in QUOTES or words[i][-1:] in QUOTES or sum(before.count(q) for q in QUOTES) % 2) + 0.3 * bool(bare & REPORTING)
+        opened, closed = edge_quotes(words[i])
+        before = opened + sum(sum(edge_quotes(w)) for w in words[max(0, i - WINDOW) : i])
+        quote = 0.5 * bool(opened or closed or before % 2) + 0.3 * bool(bare & REPORTING)
         near = weight * (1 - quote) * (1.25 if bare & ADDRESS else 1.0)
         sums[kind] += near
         quoted += quote
@@ -159,11 +171,17 @@ def _bucket() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic, bucket`` of the labelled rows that may be learned from, each distinct text once."""
+def _sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """About ``most`` of the rows, chosen by a hash of doc_id, or all if there are no more."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.crc32(F.concat(F.lit(salt), F.col("doc_id").cast("string"))) < int(most / n * (1 << 32)))
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> DataFrame:
+    """``doc_id, text, toxic, bucket`` of the labelled rows that are learned from."""
     rows = clean_columns(labels, "doc_id", "toxic").where("toxic is not null").where(_bucket() != 0)
     rows = staged(rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "toxic-labels")
-    rows = F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+    rows = F.broadcast(_sampled(rows, most, "learn"))
     t = clean_columns(docs, "doc_id", "text").where("text is not null").where(_bucket() != 0).join(rows, "doc_id")
     return t.withColumn("bucket", _bucket())
 
@@ -210,27 +228,29 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """The ``size`` best terms with their weights. ``rows``: ``text, toxic``."""
+def learn_lexicon(rows: DataFrame, least: float = LEAST_ODDS) -> list[tuple[str, bool, float]]:
+    """The terms with their weights. ``rows``: ``text, toxic``."""
     totals = {bool(r.t): r.n for r in rows.groupBy((F.col("toxic") != 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return []
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(t / (totals[True] + 1)) - F.log(c / (totals[False] + 1))
     sure = odds - 1.96 * F.sqrt(1 / t + 1 / c)
-    best = term_counts(rows).where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).withColumn("sure", sure)
-    best = best.where(F.col("sure") >= LEAST_ODDS).orderBy(F.desc("sure"), "term", "stem").limit(size).collect()
-    kept: list = []
+    best = term_counts(rows).where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * totals[True])).withColumn("sure", sure).where(F.col("sure") >= least).collect()
+    stems: set[str] = set()
+    most: dict[str, int] = {}  # by prefix of STEMS letters: texts of the commonest kept term that begins so
+    kept = []
     # Of equals, words come before stems, and longer stems before shorter ones.
     for r in sorted(best, key=lambda r: (-r.sure, r.stem, -len(r.term), r.term)):
-        if r.sure < SHARE * best[0].sure:
-            break
-        if any(k.stem and r.term.startswith(k.term) for k in kept):
-            continue
-        if r.stem and any(k.term.startswith(r.term) and k.toxic >= COVERED * r.toxic for k in kept):
+        if any(r.term[:n] in stems for n in STEMS) or (r.stem and most.get(r.term, 0) >= COVERED * r.toxic):
             continue
-        kept.append(r)
-    return [(r.term, r.stem, float(r.sure)) for r in kept]
+        if r.stem:
+            stems.add(r.term)
+        for n in STEMS:
+            if len(r.term) >= n:
+                most[r.term[:n]] = max(most.get(r.term[:n], 0), r.toxic)
+        kept.append((r.term, r.stem, float(r.sure)))
+    return kept
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +284,7 @@ def _rows_of(column: pa.Array, trie: Trie) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, float]], tuple | None]:
     rows = learning_rows(docs, labels)
     terms = learn_lexicon(rows.where("bucket <= 2"))
-    held = rows.where("bucket > 2").select("doc_id", "text", "toxic").orderBy(F.crc32(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))), "doc_id").limit(FIT_ROWS)
+    held = _sampled(rows.where("bucket > 2").select("doc_id", "text", "toxic"), FIT_ROWS, "fit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(terms)

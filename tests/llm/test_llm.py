@@ -471,6 +471,25 @@ def test_quotation_weighs_less_than_abuse():
     assert abuse[4] > quote[4] > 0 and quote[5] > abuse[5]
 
 
+def test_contractions_are_no_quotation():
+    trie = toxicity.Trie([("snarkel", False, 5.0)])
+    plain = toxicity.features("you do act like a snarkel", trie)
+    assert (toxicity.features("you don't act like a snarkel", trie) == plain).all()
+    assert (toxicity.features("it\u2019s you, don\u2019t act like a snarkel", trie)[4] == plain[4]) and plain[4] == 6.25
+    assert toxicity.features("they 'act like a snarkel'", trie)[4] < 5 > toxicity.features("he wrote: \u201cthat is a snarkel thing\u201d", trie)[4]
+
+
+def test_toxicity_carries_clashing_columns_and_samples_by_hash(spark):
+    texts = ["a plain river stone", "you snarkel of a person"]
+    rows = [(i, texts[i % 2] + f" n{i}", "en") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2, "clash") for i in range(200)], "doc_id long, quality int, toxic int, text string")
+    out = toxicity.scored(frame(spark, rows), labels)
+    assert out.columns == [*frame(spark, rows).columns, "__score"]
+    assert all((r["__score"] >= 0.5) == bool(r.doc_id % 2) for r in out.collect())
+    some = toxicity.learning_rows(frame(spark, rows), labels, 60).select("doc_id").collect()
+    assert 30 < len(some) < 90
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -525,6 +544,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.round_trip(odd(spark).limit(0)).count() == 0
 
 
+def test_long_runs_leave_in_batches():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    m = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for x in ("".join(rng.choice("etaoin") for _ in range(400_000)), "é" * 150_000 + "!?" * 100_000 + "12ab" * 60_000, "a" * bpe.FEED * 3):
+        want = t.encode(x, add_special_tokens=False).ids
+        groups = list(m.pieces(x))
+        assert [i for g in groups for ids, _ in g for i in ids] == want and max(len(ids) for g in groups for ids, _ in g) <= bpe.FEED
+        d = bpe.Decoder(m.names)
+        assert "".join([d.feed(ids) for g in groups for ids, _ in g]) == t.decode(want, skip_special_tokens=False)
+
+
 def test_text_decoder_holds_back_unfinished_characters():
     m = bpe.transducer(public_tokenizers.path("word_bpe_49k.json"))
     ids = m.encode("naïve 😀 日本 café")
