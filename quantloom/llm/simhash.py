@@ -30,8 +30,8 @@ from .common import clean_columns, small_batches, staged, table
 from .components import connected_components
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
-#: Most values in a leaf of the trie before it is cut STEP bits deeper.
-LEAF, STEP = 1 << 15, 6
+#: Most values in a leaf of the trie before it is cut STEP bits deeper; fewer, down to LEAST_LEAF, where that keeps all tasks busy.
+LEAF, LEAST_LEAF, STEP = 1 << 15, 1 << 10, 6
 #: Node pairs of at most so many value pairs are compared outright; frontiers are at most FRONT node pairs long.
 SMALL, FRONT = 64, 1 << 18
 #: Rows (two longs each) that are sent to every task; more are joined by a shuffle.
@@ -232,9 +232,10 @@ def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> D
     return out.select(label("a").alias("a"), label("b").alias("b"), "used", F.least("da", "db").alias("depth"))
 
 
-def trie_join(fps: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def trie_join(fps: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
     """Links ``u``, ``v`` between the distinct values ``fp`` of which at most ``budget`` bits differ: a spanning forest for each task."""
     n = fps.count()
+    leaf = leaf or min(LEAF, max(LEAST_LEAF, n // (2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     levels = trie_leaves(fps, n, leaf)
     pairs = leaf_pairs(levels, budget)
     values = None
@@ -256,7 +257,7 @@ def trie_join(fps: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFra
     return left.unionByName(right).groupBy("a", "b").applyInArrow(run, "u long, v long")
 
 
-def _grouped(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
+def _grouped(rows: DataFrame, budget: int, leaf: int | None) -> DataFrame:
     """``fp``, the ``root`` of its component and the ``least`` doc_id of its rows."""
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(trie_join(classes.select("fp"), budget, leaf))
@@ -264,7 +265,7 @@ def _grouped(rows: DataFrame, budget: int, leaf: int) -> DataFrame:
     return placed.select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def near_groups(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def near_groups(docs: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (the least doc_id that links reach) of each row."""
     rows = staged(fingerprints(docs).select("doc_id", "fp"), "simhash")
     placed = staged(_grouped(rows, budget, leaf), "simhash-roots")
@@ -273,7 +274,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> Data
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
     """``docs`` without the documents that have an earlier one, by (doc_id, text), in their component.
 
     Rows that agree in doc_id and text are one document. All columns are kept.
