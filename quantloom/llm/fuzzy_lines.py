@@ -241,9 +241,10 @@ def remove_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMI
     lines = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     marks = sendable(gone.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.array_sort("gone").alias("__gone")), 64, 4 * lines)
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & (_key() == F.col("__key")), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    # Cut once, in a column of its own: inside a lambda the text would be cut anew for every line.
+    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__gone")
 
 
