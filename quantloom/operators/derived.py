@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import global_ranks
+
 _c = F.col
 
 # Units of market value by market, and dividend tax by holding in percent.
@@ -79,11 +81,13 @@ def best_cosine(v: Column, phrases: list[list[float]]) -> Column:
     return F.greatest(*out) * 100 if len(out) > 1 else out[0] * 100
 
 
-def appended(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """``new`` below ``old`` with ids that go on from its greatest. The new rows are numbered in one task: a batch to add."""
+def appended(old: DataFrame, new: DataFrame, key: str, group: str, order: list[Column]) -> DataFrame:
+    """``new`` below ``old`` with ids that go on from its greatest, by ``group`` (a number without nulls) and, inside a group, ``order``."""
     last = old.agg(F.coalesce(F.max(key), F.lit(-1)).alias("__last"))
-    numbered = new.withColumn("__k", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(last), F.lit(True))  # one row
-    return old.unionByName(numbered.withColumn(key, (_c("__last") + _c("__k")).cast("long")).drop("__last", "__k").select(*old.columns))
+    placed = global_ranks(new, group)
+    place = _c(f"__{group}_before") + F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    numbered = placed.withColumn("__k", place).join(F.broadcast(last), F.lit(True))  # one row
+    return old.unionByName(numbered.withColumn(key, (_c("__last") + _c("__k")).cast("long")).select(*old.columns))
 
 
 def display_periods(df: DataFrame, key: str, year: str, quarter: str, n: int = 5) -> DataFrame:

@@ -35,15 +35,6 @@ def floor_price(baselines: list[Column]) -> Column:
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs))
 
 
-def percentile_score(x: Column, higher_is_better: bool, nulls_best: bool = True) -> Column:
-    """Average-tie percentile over all rows; missing values score best unless told otherwise. Sorts one column in one task."""
-    ties = F.count("*").over(Window.partitionBy(x))
-    n = F.count("*").over(Window.partitionBy())
-    last = x.asc_nulls_last() if higher_is_better == nulls_best else x.asc_nulls_first()
-    rank = (F.rank().over(Window.orderBy(last)) + (ties - 1) / 2) / n
-    return rank if higher_is_better else 1 - rank
-
-
 def wacc(beta: float, rf: float, premium: float, cap: Column, debt: Column, kd: Column, tax: Column) -> Column:
     ke = rf + beta * premium
     total = cap + F.coalesce(debt, F.lit(0.0))

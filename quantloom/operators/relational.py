@@ -58,3 +58,36 @@ def percentile_floor(x: str, p: float) -> Column:
     """sorted[int(p / 100 * (n - 1))], without interpolation. The group's values are sorted in one array."""
     xs = F.array_sort(F.collect_list(x))
     return F.get(xs, F.floor(F.lit(p / 100) * (F.size(xs) - 1)).cast("int"))
+
+
+#: Slices of the values that running counts are worked out in.
+SLICES = 256
+
+
+def global_ranks(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with, for each numeric column ``x``: ``__x_before`` (rows of lesser value), ``__x_ties`` (rows of its value), and
+    ``__x_nulls`` and ``__rows`` (rows in all). Values are counted first; their running counts are prefix sums of SLICES slices' totals
+    and of the values inside a slice, so no task sees them all. NaN counts as the greatest value."""
+    base = df
+    for x in columns:
+        counts = base.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count("*").alias(f"__{x}_ties"))
+        edges = sorted(set(counts.approxQuantile("__v", [k / SLICES for k in range(1, SLICES)], 1 / (4 * SLICES))))
+        at = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col("__v"))) if edges else F.lit(0)
+        counts = counts.withColumn("__slice", at)
+        totals = counts.groupBy("__slice").agg(F.sum(f"__{x}_ties").alias("__n"))  # SLICES rows at most
+        below = F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+        totals = totals.select("__slice", F.coalesce(below, F.lit(0)).alias("__below"))
+        inside = F.sum(f"__{x}_ties").over(Window.partitionBy("__slice").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
+        before = F.col("__below") + F.coalesce(inside, F.lit(0))
+        ranks = counts.join(F.broadcast(totals), "__slice").select("__v", f"__{x}_ties", before.alias(f"__{x}_before"))
+        df = df.join(ranks, F.col(x) == F.col("__v"), "left").drop("__v")
+    rows = base.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(x).isNull()).alias(f"__{x}_nulls") for x in columns])
+    return df.join(F.broadcast(rows), F.lit(True))  # one row
+
+
+def percentile(df: DataFrame, x: str, nulls_last: bool) -> Column:
+    """Average-tie percentile rank of a column that ``global_ranks`` was given; nulls rank as equals, last or first."""
+    n = F.col(f"__{x}_nulls")
+    first = F.when(F.col(x).isNull(), (F.col("__rows") - n if nulls_last else F.lit(0)) + 1).otherwise(F.col(f"__{x}_before") + (F.lit(0) if nulls_last else n) + 1)
+    ties = F.when(F.col(x).isNull(), n).otherwise(F.col(f"__{x}_ties"))
+    return (first + (ties - 1) / 2) / F.col("__rows")

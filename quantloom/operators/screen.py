@@ -4,7 +4,11 @@ Flat: a list of ``{"field", "operator", "value"}``, all of which must hold; unkn
 conditions on one field the last counts. Comparisons never match null, except ``!=`` and ``not_in``, which do.
 
 Tree: ``{"logic": "AND" | "OR", "children": [...]}`` over leaves ``{"field", "op", "value" | "right_field"}``. A null on
-the left is false for every operator; an unknown field or operator is false; unknown logic means AND.
+the left is no match for any operator; an unknown field or operator is false, and so is a cross without a right field or a
+``between`` without two values; unknown logic means AND.
+
+Conditions are for filters: where nothing matches because of a null they give null, not false, so that plain comparisons
+reach the scan (``PushedFilters``).
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ def flat(conditions: list[dict], fields: set[str]) -> Column:
             e = c.rlike("(?i)" + str(v))
         else:
             e = _compare(c, op, v)
-        out = out & F.coalesce(e, F.lit(False))
+        out = out & e
     return out
 
 
@@ -62,18 +66,14 @@ def leaf(x: dict, fields: set[str]) -> Column:
     a = F.col(x["field"])
     b = F.col(x["right_field"]) if "right_field" in x else x.get("value")
     if op in ("cross_up", "cross_down"):
-        b = b if isinstance(b, Column) else F.lit(b)
-        was = _before(b) if "right_field" in x else b
-        e = (_before(a) <= was) & (a > b) if op == "cross_up" else (_before(a) >= was) & (a < b)
-    elif op == "between":
-        e = a.between(*b)
-    elif op == "!=":
-        e = a != b
-    elif op in (">", "<", ">=", "<=", "=="):
-        e = _compare(a, op, b)
-    else:
-        return F.lit(False)
-    return F.coalesce(e, F.lit(False))
+        if "right_field" not in x:
+            return F.lit(False)
+        return (_before(a) <= _before(b)) & (a > b) if op == "cross_up" else (_before(a) >= _before(b)) & (a < b)
+    if op == "between":
+        return a.between(*b) if isinstance(b, list | tuple) and len(b) == 2 else F.lit(False)
+    if op == "!=":
+        return a != b
+    return _compare(a, op, b) if op in (">", "<", ">=", "<=", "==") else F.lit(False)
 
 
 def tree(node: dict | None, fields: set[str], foreign: bool | None = None) -> Column:

@@ -63,10 +63,10 @@ def src_yield(spark, sf_dir):
     return t.groupBy(_c("n_regionkey").alias("tenor")).agg(F.round(F.avg("s_acctbal") / 1000, 6).alias("rate"))
 
 
-@query("SELECT l_orderkey AS symbol, l_linenumber AS bar, max(l_extendedprice) AS close FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2")
+@query("SELECT l_orderkey AS symbol, l_linenumber AS bar, max(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2")
 def src_factor_panel(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
-    return rel.latest(t, ["l_orderkey", "l_linenumber"], [F.desc("l_extendedprice")]).select(_c("l_orderkey").alias("symbol"), _c("l_linenumber").alias("bar"), _c("l_extendedprice").alias("close"))
+    t = table(spark, sf_dir, "lineitem").groupBy(_c("l_orderkey").alias("symbol"), _c("l_linenumber").alias("bar"))
+    return t.agg(F.max("l_extendedprice").alias("close"))
 
 
 @query(f"WITH {BARS} SELECT symbol, trade_date::VARCHAR AS trade_date, close FROM bars WHERE close IS NOT NULL AND symbol IN ('Brand#11', 'Brand#25')")
@@ -237,11 +237,11 @@ def nlp_semantic(spark, sf_dir):
     return t.select("vec_id", F.round(dv.best_cosine(_c("embedding"), phrases), 6).alias("s"))
 
 
-@query("SELECT item_id AS id, text FROM benchmark UNION ALL SELECT (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY conv_id, turn), text FROM conversations WHERE conv_id < 5")
+@query("SELECT item_id AS id, text FROM benchmark UNION ALL SELECT (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY conv_id, turn), text FROM conversations")
 def nlp_memory_add(spark, sf_dir):
     old = table(spark, sf_dir, "benchmark").select(_c("item_id").alias("id"), "text")
-    new = table(spark, sf_dir, "conversations").where("conv_id < 5").select("conv_id", "turn", "text")
-    return dv.appended(old, new, "id", [_c("conv_id"), _c("turn")])
+    new = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return dv.appended(old, new, "id", "conv_id", [_c("turn")])
 
 
 @query("SELECT c_mktsegment AS k, round(greatest(0, 1 - abs(avg(c_acctbal) - 4500) / 4500 / 0.1), 6) AS score, CASE WHEN greatest(0, 1 - abs(avg(c_acctbal) - 4500) / 4500 / 0.1) >= 0.8 THEN 'use_primary' WHEN greatest(0, 1 - abs(avg(c_acctbal) - 4500) / 4500 / 0.1) >= 0.6 THEN 'use_with_warning' WHEN greatest(0, 1 - abs(avg(c_acctbal) - 4500) / 4500 / 0.1) >= 0.3 THEN 'check' ELSE 'investigate' END AS action FROM customer GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import fundamentals as fm
+from quantloom.operators import relational as rel
 from quantloom.operators import text as tx
 from quantloom.sources.bars import SNAPSHOT, customer_snapshot, table
 
@@ -59,8 +60,9 @@ def _rank_sql(x: str, nulls: str) -> str:
 
 @query(f"WITH {SNAPSHOT} SELECT code, round(0.6::DOUBLE * {_rank_sql('total_mv', 'LAST')} + 0.4::DOUBLE * (1 - {_rank_sql('pe', 'FIRST')}), 7) AS score FROM snap")
 def t_rank(spark, sf_dir):
-    s = 0.6 * fm.percentile_score(_c("total_mv"), True) + 0.4 * fm.percentile_score(_c("pe"), False)
-    return customer_snapshot(spark, sf_dir).select("code", F.round(s, 7).alias("score"))
+    t = rel.global_ranks(customer_snapshot(spark, sf_dir), "total_mv", "pe")
+    s = 0.6 * rel.percentile(t, "total_mv", nulls_last=True) + 0.4 * (1 - rel.percentile(t, "pe", nulls_last=False))
+    return t.select("code", F.round(s, 7).alias("score"))
 
 
 @query(f"WITH {SNAPSHOT} SELECT code, round(total_mv / (total_mv + greatest(balance, 0)) * 0.08::DOUBLE + greatest(balance, 0) / (total_mv + greatest(balance, 0)) * 0.05::DOUBLE * 0.75::DOUBLE, 8) AS wacc FROM snap WHERE total_mv IS NOT NULL")

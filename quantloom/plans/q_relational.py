@@ -37,10 +37,10 @@ LATEST = "lo AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_
 # --- scans -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' AND user_id <= 50")
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")
 def src_daily(spark, sf_dir):
     t = table(spark, sf_dir, "events")
-    return t.where((_c("ts") >= F.lit("2024-01-05").cast("timestamp")) & (_c("ts") < F.lit("2024-01-08").cast("timestamp")) & (_c("user_id") <= 50)).select("event_id", "user_id", "event_type", "value")
+    return t.where((_c("ts") >= F.lit("2024-01-05").cast("timestamp")) & (_c("ts") < F.lit("2024-01-08").cast("timestamp"))).select("event_id", "user_id", "event_type", "value")
 
 
 @query(f"WITH {BARS} SELECT symbol, trade_date, volume / 100 AS volume, amount / 1000 AS amount FROM bars")
@@ -230,8 +230,8 @@ def flt_history(spark, sf_dir):
 @query(f"WITH {SNAPSHOT} SELECT code, CASE WHEN pe IS NULL THEN 'observation' ELSE 'main' END AS channel FROM snap WHERE NOT regexp_matches(name, '9$') AND area <> 'CHINA' AND balance >= 0 AND ((pe > 0 AND pe <= 25 AND pb > 0 AND pb <= 8) OR (pe IS NULL AND pb > 0 AND pb <= 8))")
 def flt_tier1(spark, sf_dir):
     t = customer_snapshot(spark, sf_dir).where(~_c("name").rlike("9$") & (_c("area") != "CHINA") & (_c("balance") >= 0) & (_c("pb") > 0) & (_c("pb") <= 8))
-    main = t.where((_c("pe") > 0) & (_c("pe") <= 25)).select("code", F.lit("main").alias("channel"))
-    return main.unionByName(t.where(_c("pe").isNull()).select("code", F.lit("observation").alias("channel")))
+    t = t.where(_c("pe").isNull() | ((_c("pe") > 0) & (_c("pe") <= 25)))
+    return t.select("code", F.when(_c("pe").isNull(), "observation").otherwise("main").alias("channel"))
 
 
 @query(f"WITH {LATEST} SELECT c_custkey AS code FROM customer LEFT JOIN lo ON o_custkey = c_custkey WHERE NOT coalesce(o_totalprice > 300000, false) AND NOT coalesce(o_orderpriority = '1-URGENT', false)")
@@ -459,10 +459,11 @@ def agg_today_buys(spark, sf_dir):
     return t.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("bought"))
 
 
-@query("SELECT c_mktsegment AS currency, round(sum(o_totalprice), 2) AS value, round(sum(DISTINCT c_acctbal) , 2) AS cash FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+@query("SELECT c_mktsegment AS currency, round(sum(v), 2) AS value, round(sum(c_acctbal), 2) AS cash FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
 def agg_positions_ccy(spark, sf_dir):
-    t = table(spark, sf_dir, "customer").join(_orders(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    return t.groupBy(_c("c_mktsegment").alias("currency")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.round(F.sum_distinct("c_acctbal"), 2).alias("cash"))
+    held = _orders(spark, sf_dir).groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
+    t = table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"))
+    return t.groupBy(_c("c_mktsegment").alias("currency")).agg(F.round(F.sum("v"), 2).alias("value"), F.round(F.sum("c_acctbal"), 2).alias("cash"))
 
 
 @query("SELECT round(avg(c_acctbal), 6) AS a, round(avg(s_acctbal), 6) AS b, round(abs(avg(c_acctbal) - avg(s_acctbal)) / nullif(abs(avg(c_acctbal)), 0), 6) AS diff FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_acctbal <> 0 AND s_acctbal <> 0")
@@ -565,11 +566,10 @@ def win_annual_topk(spark, sf_dir):
 @query(f"""WITH {SNAPSHOT} SELECT code, (rank() OVER (ORDER BY pe NULLS LAST) + (count(*) OVER (PARTITION BY pe) - 1) / 2.0::DOUBLE) / count(*) OVER () AS up,
     1 - (rank() OVER (ORDER BY pe NULLS FIRST) + (count(*) OVER (PARTITION BY pe) - 1) / 2.0::DOUBLE) / count(*) OVER () AS down FROM snap""")
 def win_pct_rank(spark, sf_dir):
-    """Missing values score best in both directions. The rank is global, as asked for: it sorts one column in one task."""
-    ties = F.count("*").over(Window.partitionBy("pe"))
-    n = F.count("*").over(Window.partitionBy())
-    rank = lambda order: (F.rank().over(Window.orderBy(order)) + (ties - 1) / 2) / n
-    return customer_snapshot(spark, sf_dir).select("code", rank(_c("pe").asc_nulls_last()).alias("up"), (1 - rank(_c("pe").asc_nulls_first())).alias("down"))
+    """Missing values score best in both directions."""
+    t = rel.global_ranks(customer_snapshot(spark, sf_dir), "pe")
+    up = rel.percentile(t, "pe", nulls_last=True)
+    return t.select("code", up.alias("up"), (1 - rel.percentile(t, "pe", nulls_last=False)).alias("down"))
 
 
 @query(f"WITH {BARS}, d AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS dd FROM bars) SELECT symbol, -min(dd) AS drawdown, arg_min(trade_date, (dd, trade_date)) AS trough FROM d GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import folds
 from quantloom.operators import backtest as bt
-from quantloom.operators import panel, quant, screen
+from quantloom.operators import panel, quant, relational, screen
 from quantloom.sources import files
 from quantloom.streaming import snapshots
 
@@ -99,3 +99,32 @@ def test_cached_stage_is_made_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(3)
     assert files.cached(spark, str(tmp_path), "k", make).count() == files.cached(spark, str(tmp_path), "k", make).count() == 3 and len(made) == 1
+
+
+def test_flat_conditions_reach_the_scan(spark):
+    t = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    keep = screen.flat([{"field": "c_acctbal", "operator": "between", "value": [0, 5000]}, {"field": "c_mktsegment", "operator": "in", "value": ["BUILDING", "MACHINERY"]}], set(t.columns))
+    plan = t.where(keep)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "PushedFilters: []" not in plan and "In(" in pushed  # Spark cuts the list off
+
+
+def test_crosses_and_malformed_conditions_are_false(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0)], "symbol string, trade_date int, close double")
+    for x in ({"field": "close", "op": "cross_up", "value": 2.0}, {"field": "close", "op": "between", "value": 3}, {"field": "close", "op": "like", "value": 3}):
+        assert df.where(screen.tree(x, set(df.columns))).count() == 0
+
+
+def test_global_ranks_equal_pandas(spark):
+    import random
+
+    rng = random.Random(3)
+    xs = [None if rng.random() < 0.1 else float(rng.choice([rng.randrange(5), rng.randrange(2000)])) for _ in range(1500)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double")
+    t = relational.global_ranks(df, "x")
+    got = t.select("k", relational.percentile(t, "x", True).alias("last"), relational.percentile(t, "x", False).alias("first")).toPandas().set_index("k").sort_index()
+    s = df.toPandas().set_index("k").x
+    for name, option in (("last", "bottom"), ("first", "top")):
+        want = s.rank(method="average", na_option=option, pct=True)
+        assert ((got[name] - want).abs() < 1e-12).all()
+    assert relational.global_ranks(df.limit(0), "x").count() == 0
