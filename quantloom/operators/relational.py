@@ -61,7 +61,7 @@ def percentile_floor(x: str, p: float) -> Column:
 
 
 #: Slices of the values that running counts are worked out in.
-SLICES = 256
+SLICES = 64
 
 
 def global_ranks(df: DataFrame, *columns: str) -> DataFrame:
@@ -69,9 +69,10 @@ def global_ranks(df: DataFrame, *columns: str) -> DataFrame:
     ``__x_nulls`` and ``__rows`` (rows in all). Values are counted first; their running counts are prefix sums of SLICES slices' totals
     and of the values inside a slice, so no task sees them all. NaN counts as the greatest value."""
     base = df
-    for x in columns:
+    cuts = base.approxQuantile(list(columns), [k / SLICES for k in range(1, SLICES)], 1 / (4 * SLICES))
+    for x, found in zip(columns, cuts):
         counts = base.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count("*").alias(f"__{x}_ties"))
-        edges = sorted(set(counts.approxQuantile("__v", [k / SLICES for k in range(1, SLICES)], 1 / (4 * SLICES))))
+        edges = sorted(set(found))
         at = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e <= F.col("__v"))) if edges else F.lit(0)
         counts = counts.withColumn("__slice", at)
         totals = counts.groupBy("__slice").agg(F.sum(f"__{x}_ties").alias("__n"))  # SLICES rows at most
