@@ -752,6 +752,19 @@ def near_by_hand(rows):
     return sorted(least.values())
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng, rows = np.random.default_rng(7), []
+    for n in (0, 1, 60, 64, 65, 300, 1024, 1025, 5000):
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        for gone, new in ((0, 0), (n // 20, n // 20), (n // 10, 0), (0, n // 4), (n // 2, n // 2)):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(-(1 << 63), (1 << 63) - 1, new)]))
+            rows.append((near_copies.sketch(a).tolist(), near_copies.sketch(b).tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, d long").withColumn("bits", near_copies.bits_apart("a", "b"))
+    got = [(r.bits, r.d) for r in df.collect()]
+    assert all(bits <= d for bits, d in got) and all(bits == 0 for bits, d in got if d == 0)
+    assert sum(bits for bits, _ in got) > sum(d for _, d in got) / 5
+
+
 @pytest.mark.parametrize("common, most", [(1, 1 << 19), (1, 8), (32, 1 << 19)])
 def test_near_dedup_equals_brute_force_jaccard(spark, common, most):
     rng, rows = random.Random(common + most), documents()
