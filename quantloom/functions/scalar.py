@@ -196,3 +196,31 @@ def normal_cdf(x: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+# Formats of a time, patterns of a current price and of a rise in percent, in the order in which they are tried, and
+# what a decision adds to the current price without a percentage (in China and elsewhere).
+TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd"]
+CURRENT_PATTERNS = [
+    r"当前价[格位]?[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"现价[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"股价[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+    r"价格[：:]?\s*[¥\$]?(\d+(?:\.\d+)?)",
+]
+RISE_PATTERNS = [r"上涨\s*(\d+(?:\.\d+)?)%", r"涨幅\s*(\d+(?:\.\d+)?)%", r"增长\s*(\d+(?:\.\d+)?)%", r"(\d+(?:\.\d+)?)%\s*的?上涨"]
+DEFAULT_MOVE = {"buy": (1.15, 1.12), "sell": (0.95, 0.92), "hold": (1.0, 1.0)}
+
+
+def parsed_time(x: Column, otherwise: Column) -> Column:
+    """A time by the first format that fits the whole text; ``otherwise`` if none does, null for null."""
+    return F.when(x.isNotNull(), F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in TIME_FORMATS], otherwise))
+
+
+def guessed_price(x: Column, decision: Column, china: bool = True) -> Column:
+    """A target from the text's current price (null without) and its rise in percent, or else by the decision's usual move."""
+    first = lambda patterns: F.coalesce(*[F.regexp_extract(x, p, 1).try_cast("double") for p in patterns])
+    now, rise = first(CURRENT_PATTERNS), first(RISE_PATTERNS) / 100
+    now, rise = F.when(now != 0, now), F.when(rise != 0, rise)
+    usual = F.coalesce(*[F.when(decision == k, F.lit(v[0 if china else 1])) for k, v in DEFAULT_MOVE.items()])
+    told = F.when(decision == "buy", now * (1 + rise)).when(decision == "sell", now * (1 - rise))
+    return F.when(decision == "hold", now).otherwise(F.round(F.coalesce(told, now * usual), 2))

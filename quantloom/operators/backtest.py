@@ -149,3 +149,39 @@ def momentum_hedge(bars: DataFrame, top: int = 5) -> DataFrame:
     t = t.withColumn("rank", rank).where(F.col("rank") <= top)
     n = F.count("*").over(Window.partitionBy("trade_date"))
     return t.select("trade_date", "symbol", "rank", (F.lit(0.5) / n).alias("weight"))
+
+
+def ledger(orders: DataFrame, key: str, order: list[str], cash: int) -> DataFrame:
+    """``key, cash, held, cost, pnl, filled, refused``: accounts after their orders, each of which is filled or refused in turn.
+
+    ``orders``: ``buy``, ``qty``, ``price`` in 1/10000 and ``fee`` in 1/10^7 of a cent, all whole numbers; ``cash`` is in cents. A
+    buy needs the cash for its notional and fee and moves the mean cost (rounded to 1/10000); what is left is rounded to cents. A
+    sale needs the quantity and realises the difference to the mean cost in cents. An account's orders meet in one row, since each
+    depends on the one before.
+    """
+    unit = 10_000_000
+    item = F.struct(*order, "buy", "qty", "price", "fee")
+    t = orders.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    zero = F.struct(*[F.lit(v).cast("long").alias(k) for k, v in {"cash": cash * unit, "held": 0, "cost": 0, "pnl": 0, "filled": 0, "refused": 0}.items()])
+    down = lambda x, n: ((x - F.pmod(x, F.lit(n))) / n).cast("long")
+    nearest = lambda x, n: down(2 * x + n, 2 * n)
+
+    def step(s: Column, x: Column) -> Column:
+        worth = x["price"] * x["qty"] * (unit // 100)
+        bought, sold = x["buy"] & (s["cash"] >= worth + x["fee"]), ~x["buy"] & (s["held"] >= x["qty"])
+        after = s["held"] + x["qty"]
+        mixed = s["cost"] * s["held"] + x["price"] * x["qty"]
+        mean = ((2 * mixed + after - F.pmod(2 * mixed + after, 2 * after)) / (2 * after)).cast("long")
+        left = nearest(s["cash"] - worth - x["fee"], unit) * unit
+        held = F.when(bought, after).when(sold, s["held"] - x["qty"]).otherwise(s["held"])
+        return F.struct(
+            F.when(bought, left).when(sold, s["cash"] + worth - x["fee"]).otherwise(s["cash"]).alias("cash"),
+            held.alias("held"),
+            F.when(bought, mean).when(held == 0, F.lit(0).cast("long")).otherwise(s["cost"]).alias("cost"),
+            (s["pnl"] + F.when(sold, nearest((x["price"] - s["cost"]) * x["qty"], 100)).otherwise(F.lit(0).cast("long"))).alias("pnl"),
+            (s["filled"] + F.when(bought | sold, 1).otherwise(0)).alias("filled"),
+            (s["refused"] + F.when(bought | sold, 0).otherwise(1)).alias("refused"),
+        )
+
+    end = F.aggregate("xs", zero, step)
+    return t.select(key, end.alias("s")).select(key, *[F.col(f"s.{c}") for c in ("cash", "held", "cost", "pnl", "filled", "refused")])

@@ -56,11 +56,9 @@ def grid(df: DataFrame, value: object, **axes: list[float]) -> DataFrame:
 
 
 def combined_score(rule: Column, semantic: Column, classifier: Column) -> Column:
-    """0.40, 0.35 and 0.25, over the scores that are there."""
-    parts = [(rule, 0.40), (semantic, 0.35), (classifier, 0.25)]
-    total = sum((F.when(x.isNotNull(), x * w).otherwise(0.0) for x, w in parts), F.lit(0.0))
-    weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))
-    return F.try_divide(total, weight)
+    """0.40, 0.35 and 0.25; a score that isn't there counts as 0."""
+    part = lambda x, w: F.coalesce(x, F.lit(0.0)) * w
+    return part(rule, 0.40) + part(semantic, 0.35) + part(classifier, 0.25)
 
 
 def overall_sentiment(parts: list[tuple[Column, Column]]) -> Column:
@@ -70,6 +68,10 @@ def overall_sentiment(parts: list[tuple[Column, Column]]) -> Column:
     return F.coalesce(F.try_divide(total, F.when(weight > 0, weight)), F.lit(0.0))
 
 
+def sentiment_level(s: Column) -> Column:
+    return F.when(s > 0.3, "very_positive").when(s > 0.1, "positive").when(s > -0.1, "neutral").when(s > -0.3, "negative").otherwise("very_negative")
+
+
 def best_cosine(v: Column, phrases: list[list[float]]) -> Column:
     """The greatest cosine to any phrase, times 100; null for a zero vector."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -86,16 +86,18 @@ def blended(methods: dict[str, tuple[Column, float]]) -> dict[str, Column]:
     return {"value": F.try_divide(add(lambda p: p["v"] * p["w"]), add(lambda p: p["w"])), "cv": cv, "agreement": agreement}
 
 
-def ttm(df: DataFrame, key: str, year: str, quarter: str, value: str) -> DataFrame:
+def ttm(df: DataFrame, key: str, year: str, quarter: str, value: str, positive: bool = False) -> DataFrame:
     """Trailing twelve months from cumulative statements: the latest, or last year's plus the change on its same quarter.
 
-    Null if a piece is missing.
+    Null if a piece is missing. ``positive``: also if a computed value isn't above 0 (a whole year's passes).
     """
     newest = Window.partitionBy(key).orderBy(F.desc(year), F.desc(quarter))
     last = df.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").select(key, year, quarter, _c(value).alias("latest"))
     side = lambda q, name: df.where(q).select(_c(key), (_c(year) + 1).alias(year), *([_c(quarter)] if name == "same" else []), _c(value).alias(name))
     out = last.join(side(F.lit(True), "same"), [key, year, quarter], "left").join(side(_c(quarter) == 4, "annual"), [key, year], "left")
-    return out.select(key, F.when(_c(quarter) == 4, _c("latest")).otherwise(_c("annual") + _c("latest") - _c("same")).alias("ttm"))
+    computed = _c("annual") + _c("latest") - _c("same")
+    computed = F.when(computed > 0, computed) if positive else computed
+    return out.select(key, F.when(_c(quarter) == 4, _c("latest")).otherwise(computed).alias("ttm"))
 
 
 def score_fundamental(roe: Column, margin: Column) -> Column:

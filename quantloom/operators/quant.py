@@ -152,3 +152,44 @@ def option_values(df: DataFrame) -> DataFrame:
     more = "price double, delta double, gamma double, theta double, vega double, rho double, iv double"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.select(*names).mapInPandas(run, f"{fields}, {more}")
+
+
+# The spellings of both kinds of option.
+OPTION_TYPES = {**dict.fromkeys(["call", "calls", "c", "看涨", "认购"], "call"), **dict.fromkeys(["put", "puts", "p", "看跌", "认沽"], "put")}
+
+
+def option_type(x: Column) -> Column:
+    """``call`` or ``put``; any other spelling is an error."""
+    words = F.create_map(*[F.lit(y) for kv in OPTION_TYPES.items() for y in kv])
+    return F.coalesce(words[F.lower(F.trim(x))], F.raise_error(F.concat(F.lit("no option type: "), F.coalesce(x, F.lit("null")))))
+
+
+def drawdown_location(df: DataFrame, key: str, order: str, equity: str) -> DataFrame:
+    """``key, mdd, duration, peak, trough``: the deepest fall (the first of equal ones), in rows from the first highest one to the lowest."""
+    w = Window.partitionBy(key).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = df.where(F.col(equity).isNotNull()).withColumn("__i", F.row_number().over(w)).withColumn("__top", F.max(equity).over(so_far))
+    t = t.withColumn("__new", (F.lag("__top").over(w) < F.col("__top")) | (F.col("__i") == 1))
+    at = lambda x: F.last(F.when(F.col("__new"), F.col(x)), ignorenulls=True).over(so_far)
+    row = F.struct((F.col(equity) / F.col("__top") - 1).alias("d"), F.col("__i").alias("i"), (F.col("__i") - at("__i")).alias("n"), at(order).alias("peak"), F.col(order).alias("trough"))
+    t = t.select(key, row.alias("r")).groupBy(key).agg(F.min("r").alias("r"))
+    return t.select(key, (-F.col("r.d")).alias("mdd"), F.col("r.n").alias("duration"), F.col("r.peak").alias("peak"), F.col("r.trough").alias("trough"))
+
+
+def irr(flows: DataFrame, key: str, order: str, amount: str, steps: int = 200) -> DataFrame:
+    """``key, rate``: the rate by period at which equally spaced flows are worth nothing, by bisection between -0.9999 and 10^6;
+    null without a change of sign. A key's flows meet in one row."""
+    t = flows.where(F.col(amount).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(amount).alias("a")))).alias("xs"))
+    t = t.select(key, F.col("xs.a").alias("xs"))
+    worth = lambda r: F.aggregate(F.reverse("xs"), F.lit(0.0), lambda s, x: s / (1 + r) + x)  # noqa: E731  (Horner's rule from the last flow)
+    low, high = F.lit(-0.9999), F.lit(1e6)
+    up = F.signum(worth(low))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        same = F.signum(worth(mid)) == up
+        return F.struct(F.when(same, mid).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(mid).alias("hi"))
+
+    turns = F.exists("xs", lambda x: x > 0) & F.exists("xs", lambda x: x < 0) & (up != F.signum(worth(high)))
+    both = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.alias("lo"), high.alias("hi")), step)
+    return t.select(key, F.when(turns, (both["lo"] + both["hi"]) / 2).alias("rate"))

@@ -27,25 +27,6 @@ def query(sql: str | None):
     return add
 
 
-def _statement(columns: dict[str, str]):
-    """A statement of a company: an order's lines summed under mapped names."""
-
-    def run(spark, sf_dir):
-        t = table(spark, sf_dir, "lineitem").withColumnsRenamed(columns)
-        names = list(columns.values())
-        return t.groupBy(_c("l_orderkey").alias("code")).agg(*[F.round(F.sum(n), 6).alias(n) for n in names])
-
-    sql = "SELECT l_orderkey AS code, " + ", ".join(f"round(sum({k}), 6) AS {v}" for k, v in columns.items()) + " FROM lineitem GROUP BY 1"
-    return run, sql
-
-
-for _name, _columns in {
-    "src_income": {"l_extendedprice": "revenue", "l_tax": "tax"}, "src_balancesheet": {"l_quantity": "assets", "l_discount": "debt"}, "src_cashflow": {"l_extendedprice": "ocf", "l_quantity": "capex"},
-    "src_fina_indicator": {"l_discount": "roe", "l_tax": "margin"}, "src_dividend": {"l_discount": "per_ten"}, "src_pledge": {"l_tax": "pledged"},
-}.items():
-    QUERIES[_name], ORACLES[_name] = _statement(_columns)
-
-
 @query(f"WITH {TYPE_BARS} SELECT symbol, (trade_date + ((5 - isodow(trade_date) + 7) % 7)::INTEGER)::VARCHAR AS week, arg_max(close, trade_date) AS close FROM tbars GROUP BY 1, 2")
 def src_weekly(spark, sf_dir):
     t = daily_type_bars(spark, sf_dir).withColumn("week", F.next_day(F.date_sub("trade_date", 1), "FRI"))
@@ -218,18 +199,6 @@ def f_score_growth(spark, sf_dir):
     return customer_snapshot(spark, sf_dir).select("code", s.alias("s"))
 
 
-@query("SELECT doc_id, round((0.4 * (doc_id % 100) + CASE WHEN doc_id % 3 = 0 THEN 0.35 * (doc_id % 50) ELSE 0 END + 0.25 * (doc_id % 20))::DOUBLE / (0.65 + CASE WHEN doc_id % 3 = 0 THEN 0.35 ELSE 0 END)::DOUBLE, 6) AS score FROM documents")
-def nlp_combined(spark, sf_dir):
-    d = _c("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(dv.combined_score(d % 100, F.when(d % 3 == 0, d % 50), d % 20), 6).alias("score"))
-
-
-@query("SELECT source, round(coalesce((avg(doc_id % 3 - 1) * 2 + avg(doc_id % 5 - 2) * 1) / 3, 0), 6) AS s FROM documents GROUP BY 1")
-def nlp_overall_sentiment(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg(_c("doc_id") % 3 - 1).alias("a"), F.avg(_c("doc_id") % 5 - 2).alias("b"))
-    return t.select("source", F.round(dv.overall_sentiment([(_c("a"), F.lit(2.0)), (_c("b"), F.lit(1.0))]), 6).alias("s"))
-
-
 @query("WITH q AS (SELECT embedding AS e, vec_id AS k FROM embeddings WHERE vec_id IN (0, 1)) SELECT vec_id, round(max(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(e::DOUBLE[], e::DOUBLE[]))) * 100, 6) AS s FROM embeddings, q GROUP BY 1")
 def nlp_semantic(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings")

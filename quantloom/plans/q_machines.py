@@ -94,17 +94,6 @@ def mom_one(spark, sf_dir):
     return t.groupBy("symbol").agg(F.round(F.max_by("m", "trade_date") * 100, 6).alias("m"))
 
 
-@query("""WITH f AS (SELECT o_custkey AS code, sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS held, round(sum(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice ELSE 0 END), 2) AS bought, count(*) FILTER (o_orderstatus <> 'F') AS n FROM orders GROUP BY 1)
-    SELECT code, held::BIGINT AS held, bought / nullif(n, 0) AS cost FROM f""")
-def paper_order(spark, sf_dir):
-    """Positions and mean cost out of the ledger of orders."""
-    buy = _c("o_orderstatus") != "F"
-    t = table(spark, sf_dir, "orders").groupBy(_c("o_custkey").alias("code")).agg(
-        F.sum(F.when(buy, 1).otherwise(-1)).alias("held"), F.round(F.sum(F.when(buy, _c("o_totalprice")).otherwise(0.0)), 2).alias("bought"), F.count_if(buy).alias("n")
-    )
-    return t.select("code", "held", F.try_divide(_c("bought"), _c("n")).alias("cost"))
-
-
 # The batch forms of the streams: the same plans over a bounded table (tests run them as streams too).
 
 

@@ -161,11 +161,6 @@ def f_ttm_a(spark, sf_dir):
     return fm.ttm(cum, "code", "yr", "q", "v").select("code", F.round("ttm", 2).alias("ttm"))
 
 
-@query(f"SELECT code, CASE WHEN ttm > 0 THEN ttm END AS ttm FROM ({_TTM})")
-def f_ttm_b(spark, sf_dir):
-    return f_ttm_a(spark, sf_dir).select("code", F.when(_c("ttm") > 0, _c("ttm")).alias("ttm"))
-
-
 @query(f"WITH {SNAPSHOT} SELECT code, least(5 + CASE WHEN pe > 15 THEN 1.5 WHEN pe > 10 THEN 1.0 WHEN pe > 5 THEN 0.5 ELSE 0 END + CASE WHEN pb > 20 THEN 1.0 WHEN pb > 10 THEN 0.5 ELSE 0 END, 10)::DOUBLE AS s FROM snap")
 def f_score_fund(spark, sf_dir):
     return customer_snapshot(spark, sf_dir).select("code", fm.score_fundamental(_c("pe"), _c("pb")).alias("s"))

@@ -459,13 +459,6 @@ def agg_today_buys(spark, sf_dir):
     return t.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("bought"))
 
 
-@query("SELECT c_mktsegment AS currency, round(sum(v), 2) AS value, round(sum(c_acctbal), 2) AS cash FROM customer JOIN (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
-def agg_positions_ccy(spark, sf_dir):
-    held = _orders(spark, sf_dir).groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
-    t = table(spark, sf_dir, "customer").join(held, F.col("o_custkey") == F.col("c_custkey"))
-    return t.groupBy(_c("c_mktsegment").alias("currency")).agg(F.round(F.sum("v"), 2).alias("value"), F.round(F.sum("c_acctbal"), 2).alias("cash"))
-
-
 @query("SELECT round(avg(c_acctbal), 6) AS a, round(avg(s_acctbal), 6) AS b, round(abs(avg(c_acctbal) - avg(s_acctbal)) / nullif(abs(avg(c_acctbal)), 0), 6) AS diff FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_acctbal <> 0 AND s_acctbal <> 0")
 def agg_consistency(spark, sf_dir):
     t = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("c_custkey")).where("c_acctbal <> 0 and s_acctbal <> 0")

@@ -120,11 +120,6 @@ def fn_trading_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", sc.trading_status(_c("ts")).alias("status"))
 
 
-@query("SELECT conv_id, turn, CASE lower(trim(role)) WHEN 'user' THEN 'hold' ELSE 'hold' END AS action FROM conversations")
-def fn_action_map(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sc.action(_c("role")).alias("action"))
-
-
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 < 2 THEN floor(o_totalprice)::DOUBLE END AS price FROM orders")
 def fn_price_extract(spark, sf_dir):
     k, p = _c("o_orderkey"), F.floor("o_totalprice").cast("string")
