@@ -30,8 +30,9 @@ from .common import clean_columns, small_batches, staged, table
 from .components import connected_components
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
-#: Most values in a leaf of the trie before it is cut STEP bits deeper; fewer, down to LEAST_LEAF, where that keeps all tasks busy.
-LEAF, LEAST_LEAF, STEP = 1 << 15, 1 << 10, 6
+#: Most values in a leaf of the trie before it is cut deeper, by STEP bits at most; where there are few values, a LEAVES-th of them, but
+#: not under LEAST_LEAF. LEAVES leaves have eight times as many pairs, and more leaves would only mean more copies of each value.
+LEAF, LEAST_LEAF, LEAVES, STEP = 1 << 15, 1 << 12, 32, 6
 #: Node pairs of at most so many value pairs are compared outright; frontiers are at most FRONT node pairs long.
 SMALL, FRONT = 64, 1 << 18
 #: Rows (two longs each) that are sent to every task; more are joined by a shuffle.
@@ -185,16 +186,18 @@ def trie_leaves(fps: DataFrame, n: int, leaf: int = LEAF, step: int = STEP) -> l
     levels, active = [], fps
     while True:
         counts = active.groupBy(_prefix(depth).alias("prefix")).agg(F.count("*").alias("n"))
-        crowded = counts.where(F.col("n") > leaf) if depth < 64 else counts.limit(0)
-        if depth == 64 or crowded.isEmpty():
-            levels.append((depth, counts.withColumn("cut", F.lit(False)), active))
+        counts = staged(counts.withColumn("cut", (F.col("n") > leaf) & F.lit(depth < 64)), "trie-counts")
+        most = counts.where("cut").agg(F.max("n")).first()[0]
+        if most is None:
+            levels.append((depth, counts, active))
             return levels
-        counts = staged(counts.withColumn("cut", F.col("n") > leaf), "trie-counts")
         marked = active.withColumn("prefix", _prefix(depth)).join(counts.select("prefix", "cut"), "prefix")
         marked = staged(marked, "trie-values")
         levels.append((depth, counts, marked.where("not cut").select("fp")))
         active = marked.where("cut").select("fp")
-        depth = min(64, depth + step)
+        # As deep as the most crowded prefix needs if its values spread evenly: a value is copied more often the deeper its leaf lies.
+        # Prefixes that stay crowded are cut by one bit more each time, so that there are few levels.
+        depth = min(64, depth + min(step, max(len(levels), int(np.ceil(np.log2(most / leaf))))))
 
 
 def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> DataFrame:
@@ -235,7 +238,7 @@ def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> D
 def trie_join(fps: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
     """Links ``u``, ``v`` between the distinct values ``fp`` of which at most ``budget`` bits differ: a spanning forest for each task."""
     n = fps.count()
-    leaf = leaf or min(LEAF, max(LEAST_LEAF, n // (2 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    leaf = leaf or min(LEAF, max(LEAST_LEAF, n // LEAVES))
     levels = trie_leaves(fps, n, leaf)
     pairs = leaf_pairs(levels, budget)
     values = None
