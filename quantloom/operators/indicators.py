@@ -30,21 +30,24 @@ def a_ema(df: DataFrame, n: int = 12) -> DataFrame:
     return folds.scan(df, ["close"], ["ema"], lambda close: {"ema": folds.rounded(folds.ema_seeded(close, n))})
 
 
-def a_wma(df: DataFrame, n: int = 5) -> DataFrame:
+def _wma(n: int) -> Column:
     parts = [(n - k) * (F.lag("close", k).over(w.by_symbol()) if k else _c("close")) for k in range(n)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return _out(df, wma=w.js_round(total / F.lit(n * (n + 1) / 2)))
+    return w.js_round(total / F.lit(n * (n + 1) / 2))
+
+
+def a_wma(df: DataFrame, n: int = 5) -> DataFrame:
+    return _out(df, wma=_wma(n))
 
 
 def a_ma(df: DataFrame, periods: tuple[int, ...] = (5, 10, 20), kind: str = "sma") -> DataFrame:
-    make = {"sma": a_sma, "ema": a_ema, "wma": a_wma}[kind]
-    out = None
-    for n in periods:
-        t = make(df, n).withColumnRenamed(kind, f"ma{n}")
-        out = t if out is None else out.join(t, KEYS)
-    return out
+    """A mean for each period, all over one sort of the bars."""
+    if kind == "ema":
+        return folds.scan(df, ["close"], [f"ma{n}" for n in periods], lambda close: {f"ma{n}": folds.rounded(folds.ema_seeded(close, n)) for n in periods})
+    make = {"sma": lambda n: w.js_round(w.mean(_c("close"), n)), "wma": _wma}[kind]
+    return _out(df, **{f"ma{n}": make(n) for n in periods})
 
 
 def a_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -55,8 +58,8 @@ def a_boll(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """The band's variance is taken about the rounded middle, over n."""
     x = _c("close")
     df = df.withColumn("mid", w.js_round(w.mean(x, n)))
-    variance = (w.total(x * x, n) - 2 * _c("mid") * w.total(x, n) + n * _c("mid") * _c("mid")) / n
-    df = df.withColumn("sd", F.sqrt(F.greatest(variance, F.lit(0.0))))
+    # Summed about the middle: sums of squares less products would cancel for high prices with a small spread.
+    df = df.withColumn("__xs", F.collect_list(x).over(w.last(n))).withColumn("sd", F.sqrt(F.aggregate("__xs", F.lit(0.0), lambda s, v: s + (v - _c("mid")) * (v - _c("mid"))) / n))
     upper, lower = _c("mid") + k * _c("sd"), _c("mid") - k * _c("sd")
     return _out(df, mid=_c("mid"), upper=w.js_round(upper), lower=w.js_round(lower), bandwidth=w.js_round(F.try_divide(2 * k * _c("sd"), _c("mid")) * 100))
 
