@@ -91,13 +91,15 @@ def ttm(df: DataFrame, key: str, year: str, quarter: str, value: str, positive:
 
     Null if a piece is missing. ``positive``: also if a computed value isn't above 0 (a whole year's passes).
     """
-    newest = Window.partitionBy(key).orderBy(F.desc(year), F.desc(quarter))
-    last = df.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").select(key, year, quarter, _c(value).alias("latest"))
-    side = lambda q, name: df.where(q).select(_c(key), (_c(year) + 1).alias(year), *([_c(quarter)] if name == "same" else []), _c(value).alias(name))
-    out = last.join(side(F.lit(True), "same"), [key, year, quarter], "left").join(side(_c(quarter) == 4, "annual"), [key, year], "left")
-    computed = _c("annual") + _c("latest") - _c("same")
+    top = F.max(F.struct(_c(year).alias("y"), _c(quarter).alias("q"))).over(Window.partitionBy(key))
+    t = df.withColumn("__top", top)
+    at = lambda back, q: F.max(F.when((_c(year) == _c("__top.y") - back) & (_c(quarter) == q), _c(value)))
+    q = _c("__top.q")
+    # The window has dealt the rows by key already: no further shuffle.
+    t = t.groupBy(key).agg(F.max(q).alias("__q"), at(0, q).alias("__latest"), at(1, q).alias("__same"), at(1, F.lit(4)).alias("__annual"))
+    computed = _c("__annual") + _c("__latest") - _c("__same")
     computed = F.when(computed > 0, computed) if positive else computed
-    return out.select(key, F.when(_c(quarter) == 4, _c("latest")).otherwise(computed).alias("ttm"))
+    return t.select(key, F.when(_c("__q") == 4, _c("__latest")).otherwise(computed).alias("ttm"))
 
 
 def score_fundamental(roe: Column, margin: Column) -> Column:
