@@ -9,6 +9,7 @@ from .epsilon_grid import op5_epsilon_grid
 from .fuzzy_lines import op9_fuzzy_lines
 from .packing import op6_concat_cut
 from .simhash import op10_simhash_trie
+from .spelling import op11_symmetric_delete
 from .substring import op4_sentence_spans
 from .toxicity import op7_lexicon_automata
 from .warc import op2_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_streaming_bpe": op8_streaming_bpe,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_symmetric_delete": op11_symmetric_delete,
 }
 
 ORACLES = {
@@ -51,4 +53,37 @@ ORACLES = {
                c.component_id, e.vec_id = c.component_id AS kept
         FROM embeddings e JOIN (SELECT u, min(w) AS component_id FROM reach GROUP BY u) c ON c.u = e.vec_id
     """,
+    # The checksum byte by byte over its table of 256 values; near words by the edit distance of all pairs, letters first
+    # mapped to one byte each, since the function counts bytes.
+    "op11_symmetric_delete": """
+        WITH RECURSIVE crc AS (
+            SELECT list(c ORDER BY i) AS t FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) r(i))),
+        letters AS (
+            SELECT (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(192, 256) r(i)) AS many,
+                   (SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(33, 97) r(i)) AS one),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+                lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM runs, crc),
+        words AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        plain AS (SELECT word, n, length(word) AS size, translate(word, many, one) AS p FROM words, letters),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM plain a JOIN plain b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word
+            WHERE levenshtein(a.p, b.p) = 1),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS root FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word
+        JOIN formed e ON e.word = k.root AND e.form IS NULL
+    """,
 }
