@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ball_kmeans import op13_ball_kmeans
 from .bpe import op8_streaming_bpe
 from .ctw import op1_ctw
 from .divergence import op3_divergence
@@ -14,6 +15,30 @@ from .substring import op4_sentence_spans
 from .toxicity import op7_lexicon_automata
 from .warc import op2_warc
 
+
+def _kmeans_sql(rounds: int) -> str:
+    """Lloyd's rounds, every vector against every centroid, one pair of expressions a round."""
+    parts = [
+        """v AS MATERIALIZED (
+            SELECT vec_id, row_number() OVER () AS rn, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('3:', vec_id)), v) - 1 AS c, v AS m FROM v QUALIFY c < 8)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (
+            SELECT rn, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+                SELECT rn, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r}) GROUP BY rn)""")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.c, coalesce(f.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS m FROM (
+                    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i)
+                GROUP BY c) f ON f.c = c{r}.c)""")
+    return "WITH " + ", ".join(parts) + f"""
+        SELECT v.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+               (sum(a.d) OVER ())::BIGINT AS inertia, sha256(list_aggregate(m, 'string_agg', ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (rn) JOIN c{rounds} c ON c.c = a.c"""
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_warc": op2_warc,
@@ -26,6 +51,7 @@ QUERIES = {
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash_trie": op10_simhash_trie,
     "op11_symmetric_delete": op11_symmetric_delete,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 ORACLES = {
@@ -86,4 +112,5 @@ ORACLES = {
         SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word
         JOIN formed e ON e.word = k.root AND e.form IS NULL
     """,
+    "op13_ball_kmeans": _kmeans_sql(10),
 }
