@@ -8,6 +8,7 @@ from .ctw import op1_ctw
 from .divergence import op3_divergence
 from .epsilon_grid import op5_epsilon_grid
 from .fuzzy_lines import op9_fuzzy_lines
+from .licenses import CONTAINMENT, PHRASES, TEMPLATES, op12_license_join
 from .packing import op6_concat_cut
 from .simhash import op10_simhash_trie
 from .spelling import op11_symmetric_delete
@@ -39,6 +40,38 @@ def _kmeans_sql(rounds: int) -> str:
         FROM a{rounds} a JOIN v USING (rn) JOIN c{rounds} c ON c.c = a.c"""
 
 
+def _license_sql() -> str:
+    """Every block's tokens against every template's, counted without any filter."""
+    values = lambda rows: ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(rows))
+    pairs = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+    return f"""
+        WITH w AS MATERIALIZED (
+            SELECT row_number() OVER () AS rn, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+            FROM documents),
+        t AS (SELECT t.*, string_split(text, ' ') AS tw FROM (VALUES {values(TEMPLATES)}) t(template, text, label)),
+        tt AS (
+            SELECT template, label, list_distinct({pairs.format('tw')}) AS tokens, (2 ** ceil(log2(len(tw) - 1)))::INT AS class FROM t),
+        tx AS (SELECT template, label, class, len(tokens) AS size, ceil({CONTAINMENT} * len(tokens) - 1e-9) AS need, unnest(tokens) AS token FROM tt),
+        spots AS MATERIALIZED (
+            SELECT rn, i - 1 AS pos, token FROM (SELECT rn, unnest({pairs.format('words')}) AS token, unnest(range(1, len(words))) AS i FROM w)
+            WHERE token IN (SELECT token FROM tx)),
+        hits AS (
+            SELECT rn, template, label, count(DISTINCT token) / any_value(size) AS c FROM (
+                SELECT rn, template, label, size, need, token, unnest([pos // class, pos // class - 1]) AS block FROM spots JOIN tx USING (token))
+            GROUP BY rn, template, label, block HAVING count(DISTINCT token) >= any_value(need)),
+        own AS (SELECT rn, list(DISTINCT label) AS labels, max(c) AS best FROM hits GROUP BY rn),
+        p AS (SELECT p.*, string_split(phrase, ' ') AS pw FROM (VALUES {values(PHRASES)}) p(k, phrase, label)),
+        places AS (SELECT rn, label, i - 1 AS start FROM (SELECT rn, words, unnest(range(1, len(words) + 1)) AS i FROM w) x, p WHERE words[i] = pw[1] AND words[i : i + len(pw) - 1] = pw),
+        base AS (SELECT rn, count(*) AS n, min(start) AS a, max(start) AS b, list(DISTINCT label) AS labels FROM places GROUP BY rn)
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+               array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+               (CASE WHEN n > 0 THEN 1 ELSE coalesce(best, 0) END)::DOUBLE AS score
+        FROM w LEFT JOIN base USING (rn) LEFT JOIN own USING (rn)
+    """
+
+
 QUERIES = {
     "op1_ctw": op1_ctw,
     "op2_warc": op2_warc,
@@ -51,6 +84,7 @@ QUERIES = {
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_simhash_trie": op10_simhash_trie,
     "op11_symmetric_delete": op11_symmetric_delete,
+    "op12_license_join": op12_license_join,
     "op13_ball_kmeans": op13_ball_kmeans,
 }
 
@@ -113,4 +147,5 @@ ORACLES = {
         JOIN formed e ON e.word = k.root AND e.form IS NULL
     """,
     "op13_ball_kmeans": _kmeans_sql(10),
+    "op12_license_join": _license_sql(),
 }
