@@ -33,11 +33,6 @@ def src_weekly(spark, sf_dir):
     return t.groupBy("symbol", _c("week").cast("string").alias("week")).agg(F.max_by("close", "trade_date").alias("close"))
 
 
-@query("SELECT code, opinion FROM (SELECT c_custkey AS code, '' AS opinion FROM customer WHERE false)")
-def src_audit(spark, sf_dir):
-    return spark.createDataFrame([], "code long, opinion string")
-
-
 @query("SELECT n_regionkey AS tenor, round(avg(s_acctbal) / 1000, 6) AS rate FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def src_yield(spark, sf_dir):
     t = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), _c("n_nationkey") == _c("s_nationkey"))
@@ -55,32 +50,6 @@ def src_backtest(spark, sf_dir):
     return weekly_brand_bars(spark, sf_dir).where(_c("symbol").isin("Brand#11", "Brand#25") & _c("close").isNotNull()).select("symbol", _c("trade_date").cast("string").alias("trade_date"), _c("close").try_cast("double").alias("close"))
 
 
-@query("SELECT user_id, max(ts) AS ts, max(value) AS value FROM events GROUP BY 1")
-def snk_quotes(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max("value").alias("value"))
-
-
-@query(f"WITH {SNAPSHOT} SELECT c.c_custkey AS code, c_name AS name, snap.total_mv / 10000 AS total_mv FROM customer c LEFT JOIN snap ON snap.code = c.c_custkey")
-def snk_basics(spark, sf_dir):
-    snap = customer_snapshot(spark, sf_dir).select("code", "total_mv")
-    t = table(spark, sf_dir, "customer").join(snap, _c("code") == _c("c_custkey"), "left")
-    return t.select(_c("c_custkey").alias("code"), _c("c_name").alias("name"), (_c("total_mv") / 10000).alias("total_mv"))
-
-
-_SOURCES = "WITH u AS (SELECT doc_id, source, n_chars, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS nw FROM documents) SELECT source, lang, max(n_chars) AS n_chars FROM (SELECT source, lang, n_chars FROM documents) GROUP BY 1, 2"
-
-
-@query(_SOURCES)
-def snk_upsert_news(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", "doc_id")
-    return rel.upsert(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1"), ["source", "lang"], "n_chars").select("source", "lang", "n_chars")
-
-
-@query("SELECT to_json({'event_id': event_id, 'user_id': user_id})::VARCHAR AS row FROM events")
-def snk_export(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("row"))
-
-
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def flt_financial(spark, sf_dir):
     t = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
@@ -115,11 +84,6 @@ def m_mktcap(spark, sf_dir):
     return customer_snapshot(spark, sf_dir).select("code", dv.market_cap(_c("total_mv"), market).alias("cap"))
 
 
-@query("SELECT * FROM (VALUES ('CN', 'over_1y', 0.0::DOUBLE), ('CN', '1m_1y', 10.0::DOUBLE), ('CN', 'under_1m', 20.0::DOUBLE), ('HK', 'connect', 20.0::DOUBLE), ('US', 'treaty', 10.0::DOUBLE)) t(market, holding, tax)")
-def m_tax(spark, sf_dir):
-    return spark.createDataFrame(dv.DIVIDEND_TAX, "market string, holding string, tax double")
-
-
 @query(f"WITH {_YEAR} SELECT code, yr, CASE WHEN rev > 0 THEN round(n * 1000 / rev * 100, 6) END AS payout FROM ann")
 def m_payout(spark, sf_dir):
     return _years(spark, sf_dir).select("code", "yr", F.round(dv.payout(_c("n") * 1000, _c("rev")), 6).alias("payout"))

@@ -93,26 +93,6 @@ def src_chip_klines(spark, sf_dir):
     return weekly_brand_bars(spark, sf_dir).select("symbol", "trade_date", F.round(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(10.0)), 6).alias("turnover"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def snk_import(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)")
-def snk_retention(spark, sf_dir):
-    t = _orders(spark, sf_dir)
-    newest = t.agg(F.max("o_orderdate").alias("newest"))
-    return t.join(F.broadcast(newest), F.col("o_orderdate") >= F.col("newest") - F.expr("interval 365 days")).select("o_orderkey", "o_totalprice")
-
-
-@query("""WITH u AS (SELECT o_custkey AS code, o_totalprice AS v, o_orderdate AS d, 0 AS nw, o_orderkey FROM orders WHERE o_orderkey % 2 = 0
-    UNION ALL SELECT o_custkey, o_totalprice, o_orderdate, 1, o_orderkey FROM orders WHERE o_orderkey % 2 = 1)
-    SELECT code, max(d) AS d FROM u GROUP BY code""")
-def snk_upsert_hist(spark, sf_dir):
-    t = _orders(spark, sf_dir).select(_c("o_custkey").alias("code"), _c("o_orderdate").alias("d"), "o_orderkey")
-    return rel.upsert(t.where("o_orderkey % 2 = 0"), t.where("o_orderkey % 2 = 1"), ["code"], "d").select("code", "d")
-
-
 # --- predicates ------------------------------------------------------------------------------------------------------
 
 FLAT = [
