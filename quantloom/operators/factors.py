@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions import recursions
 from quantloom.functions import windows as w
 from quantloom.operators import panel as p
 
@@ -81,13 +82,13 @@ factor("ROC_10")(_momentum(10))
 
 @factor("RSI_14")
 def rsi_14(df: DataFrame) -> DataFrame:
-    """Weights (13/14)^age on gains and losses; their sums' share. Older changes than 400 bars weigh under 1e-12."""
+    """Weights (13/14)^age on gains and losses; their sums' share. A missing change counts as none."""
     df = df.withColumn("change", _c() - w.lag(_c(), 1))
-    xs = F.collect_list(F.struct("change")).over(w.last(400))
-    fold = lambda keep: F.aggregate(xs, F.lit(0.0), lambda a, x: a * F.lit(13 / 14) + F.coalesce(keep(x["change"]), F.lit(0.0)))
-    gain, loss = fold(lambda x: F.greatest(x, F.lit(0.0))), fold(lambda x: F.greatest(-x, F.lit(0.0)))
-    enough = F.count("change").over(w.so_far()) >= 14
-    return df.withColumn("gain", gain).withColumn("loss", loss).withColumn("value", F.when(enough, 100 * F.try_divide(_c("gain"), _c("gain") + _c("loss"))))
+    # greatest() skips nulls, so that a missing change gives 0 and still ages the sums.
+    df = df.withColumns({"gain": F.greatest(_c("change"), F.lit(0.0)), "loss": F.greatest(-_c("change"), F.lit(0.0)), "enough": F.count("change").over(w.so_far()) >= 14})
+    keep = 13 / 14
+    df = recursions.scan(df, {f"{x}_sum": recursions.Recursion(x, recursions.decayed(keep), keep, initial=0.0) for x in ("gain", "loss")})
+    return df.withColumn("value", F.when(_c("enough"), 100 * F.try_divide(_c("gain_sum"), _c("gain_sum") + _c("loss_sum"))))
 
 
 @factor("ALPHA_001")
