@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import backtest as bt
 from quantloom.sources.bars import BARS, table, weekly_brand_bars
+from quantloom.sources.shared import scratch
+from quantloom.streaming import snapshots, stateful
 
 from .q_panel import S, full_sql, n_rows
 
@@ -123,3 +125,38 @@ def stream_sessions(spark, sf_dir):
 def stream_snapshot(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "ts")
+
+
+# Streams that run as such, over the whole table, into a Parquet sink that is read back.
+
+
+_HISTORY = "SELECT min(ts) + (max(ts) - min(ts)) / 2 AS cut, max(ts) AS newest FROM events"
+
+
+@query(f"""WITH c AS ({_HISTORY}), s AS (
+        SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1)
+    SELECT user_id, epoch_us(ts) AS at, value, CASE WHEN ts < cut THEN 'history' ELSE 'quote' END AS source, ts + INTERVAL 1 DAY < newest AS stale
+    FROM s, c WHERE ts >= cut OR ts + INTERVAL 1 DAY < newest""")
+def stream_bootstrap(spark, sf_dir):
+    """The first half of the time is history, the second the stream. A key that the stream never names shows up once it is stale."""
+    t = table(spark, sf_dir, "events")
+    lo, hi = t.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cut = (lo or 0) + ((hi or 0) - (lo or 0)) // 2
+    quotes = snapshots.read_events(spark, sf_dir).where(at >= cut)
+    changes = stateful.bootstrapped_snapshot(quotes, t.where(at < cut), "user_id", "ts", "event_id", "value")
+    rows = stateful.run_to_table(changes, scratch(spark, "bootstrap"))
+    last = rows.groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("at", "value", "source"), F.struct("at", "id")).alias("r"), F.max(F.when(F.col("kind") == "stale", F.col("at"))).alias("s"))
+    return last.select("user_id", "r.at", "r.value", "r.source", F.coalesce(F.col("s") == F.col("r.at"), F.lit(False)).alias("stale"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type = 'click' AS take FROM events WHERE event_type IN ('click', 'purchase')),
+    n AS (SELECT *, lead(ts) OVER w AS nxt, count(*) FILTER (NOT take) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS acks FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    x AS (SELECT * FROM n WHERE take AND ts + INTERVAL 2 HOUR < coalesce(nxt, (SELECT max(ts) FROM events)))
+    SELECT user_id, epoch_us(ts + INTERVAL 2 HOUR) AS at, row_number() OVER (PARTITION BY user_id, acks ORDER BY ts, event_id) AS tries FROM x""")
+def stream_requeue(spark, sf_dir):
+    """A click takes the user's task, a purchase acknowledges it; what is held for over two hours goes back."""
+    action = F.when(F.col("event_type") == "click", "take").when(F.col("event_type") == "purchase", "ack").otherwise("other")
+    events = snapshots.read_events(spark, sf_dir).withColumn("action", action)
+    rows = stateful.run_to_table(stateful.requeued(events, "user_id", "ts", "event_id", "action", "2 hours"), scratch(spark, "requeue"))
+    return rows.select(F.col("task").alias("user_id"), "at", "tries")
