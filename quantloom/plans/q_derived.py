@@ -111,17 +111,6 @@ def m_decline(spark, sf_dir):
     return t.select("code", "k", "m", "value")
 
 
-@query(f"WITH {SNAPSHOT}, a AS (SELECT unnest([0.3::DOUBLE, 0.5::DOUBLE]) AS m), b AS (SELECT unnest([1.0::DOUBLE, 1.2::DOUBLE]) AS q) SELECT code, m, q, balance * m / nullif(total_mv * q, 0) * 100 AS value FROM snap, a, b")
-def m_grid(spark, sf_dir):
-    t = dv.grid(customer_snapshot(spark, sf_dir).select("code", "balance", "total_mv"), lambda m, q: F.try_divide(_c("balance") * m, _c("total_mv") * q) * 100, m=[0.3, 0.5], q=[1.0, 1.2])
-    return t.select("code", "m", "q", "value")
-
-
-@query(f"WITH {_YEAR} SELECT code, count(*) AS years, round(stddev_pop(rev) / nullif(avg(rev), 0), 6) AS cv, round(median(rev), 4) AS med FROM ann GROUP BY 1")
-def m_surplus(spark, sf_dir):
-    return _years(spark, sf_dir).groupBy("code").agg(F.count("*").alias("years"), F.round(F.try_divide(F.stddev_pop("rev"), F.avg("rev")), 6).alias("cv"), F.round(F.median("rev"), 4).alias("med"))
-
-
 @query(f"WITH {BARS}, c AS (SELECT symbol, arg_max(close, trade_date) AS cur, list_sort(list(close)) AS xs, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, cur, xs[1 + floor(0.25::DOUBLE * (n - 1))::INTEGER] AS p25, xs[1 + floor(0.75::DOUBLE * (n - 1))::INTEGER] AS p75 FROM c")
 def m_pricepct(spark, sf_dir):
     t = weekly_brand_bars(spark, sf_dir).groupBy("symbol")
