@@ -6,6 +6,7 @@ Signals and benchmarks are windows; only the account, whose orders depend on its
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from quantloom.functions import folds
 from quantloom.functions import windows as w
 
 _c = F.col
-COMMISSION, LEAST_FEE, STAMP, LOT, LIMIT = 0.00025, 5.0, 0.0005, 100, 0.10
+COMMISSION, LEAST_FEE, STAMP, LOT, LIMIT, LIMIT_EPS = 0.00025, 5.0, 0.0005, 100, 0.10, 1e-6
 OUT = "symbol string, final double, total_return double, annual_return double, mdd double, sharpe double, n_trades long, win_rate double, benchmark double"
 
 
@@ -44,59 +45,91 @@ def fee(amount: float, sell: bool) -> float:
     return max(amount * COMMISSION, LEAST_FEE) + (amount * STAMP if sell else 0.0)
 
 
-def account(opens: np.ndarray, closes: np.ndarray, signals: np.ndarray, capital: float) -> tuple[np.ndarray, list[float]]:
-    """Equity at each close and the profit of each round trip.
+Strategy = Callable[[pd.DataFrame, int, dict], str]
 
-    A signal is filled at the next open, if that lies within LIMIT of the last close (else it is dropped), buying all
-    whole lots that cash and fees allow and selling all; never on the day of the purchase. The last bar closes all.
+
+def account(opens: np.ndarray, closes: np.ndarray, signals: np.ndarray | Callable[[int], int], capital: float, at_first_open: bool = False) -> tuple[np.ndarray, list[float]]:
+    """Equity at each close (in cents) and the profit of each round trip.
+
+    A signal is filled at the next open: a purchase unless that lies LIMIT above the last close, with all whole lots that
+    cash and fees allow; a sale of all unless it lies LIMIT below. Otherwise it is dropped. Signals to buy while holding or to sell
+    while not are none. ``at_first_open`` buys at the first open without a signal. The last close sells what wasn't bought that day.
     """
-    cash, held, cost, bought = capital, 0, 0.0, -1
+    signal = signals if callable(signals) else lambda i: signals[i]
+    cash, held, cost, bought, pending = capital, 0, 0.0, -1, 0
     equity, profits = np.zeros(len(closes)), []
+
+    def buy(i: int, price: float) -> None:
+        nonlocal cash, held, cost, bought
+        lots = int(cash // (price * LOT)) if price > 0 else 0
+        while lots and lots * LOT * price + fee(lots * LOT * price, False) > cash + 1e-9:
+            lots -= 1
+        if lots:
+            held, bought = lots * LOT, i
+            cost = held * price + fee(held * price, False)
+            cash -= cost
+
+    def sell(price: float) -> None:
+        nonlocal cash, held
+        got = held * price - fee(held * price, True)
+        cash += got
+        profits.append(got - cost)
+        held = 0
+
     for i in range(len(closes)):
-        s = signals[i - 1] if i else 0
-        if s and abs(opens[i] / closes[i - 1] - 1) < LIMIT:
-            if s > 0 and not held:
-                lots = int(cash // (opens[i] * LOT))
-                while lots and lots * LOT * opens[i] + fee(lots * LOT * opens[i], False) > cash:
-                    lots -= 1
-                if lots:
-                    held, bought = lots * LOT, i
-                    cost = held * opens[i] + fee(held * opens[i], False)
-                    cash -= cost
-            elif s < 0 and held and i > bought:
-                got = held * opens[i] - fee(held * opens[i], True)
-                cash += got
-                profits.append(got - cost)
-                held = 0
-        if i == len(closes) - 1 and held:
-            got = held * closes[i] - fee(held * closes[i], True)
-            cash += got
-            profits.append(got - cost)
-            held = 0
-        equity[i] = cash + held * closes[i]
+        if pending:
+            change = opens[i] / closes[i - 1] - 1 if closes[i - 1] > 0 else 0.0
+            if pending > 0 and not held and change < LIMIT - LIMIT_EPS:
+                buy(i, opens[i])
+            elif pending < 0 and held and i > bought and change > LIMIT_EPS - LIMIT:
+                sell(opens[i])
+        if at_first_open and i == 0:
+            buy(0, opens[0])
+        s = signal(i)
+        pending = 1 if s > 0 and not held else -1 if s < 0 and held else 0
+        equity[i] = round(cash + held * closes[i], 2)
+    if held and bought != len(closes) - 1:
+        sell(closes[-1])
+        equity[-1] = round(cash, 2)
     return equity, profits
 
 
-def run_backtest(bars: DataFrame, strategy: str, capital: float = 1_000_000.0, periods: int = 244, **params: int) -> DataFrame:
-    """A row of results for each symbol of ``symbol, trade_date, open, close``."""
+def run_backtest(bars: DataFrame, strategy: str | Strategy, capital: float = 1_000_000.0, periods: int = 244, **params: int) -> DataFrame:
+    """A row of results for each symbol of ``symbol, trade_date, open, close``.
+
+    ``strategy`` is a name, or a function of a symbol's bars so far and to come, the place of the current one and a dict
+    that is its own for the symbol, which returns buy, sell or hold at that bar's close; it must not look ahead. One that
+    fails holds. Such a function gets all columns of ``bars``, oldest first.
+    """
+    own = callable(strategy)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("trade_date")
+        t = t.sort_values("trade_date", ignore_index=True)
         o, c = t["open"].to_numpy(float), t["close"].to_numpy(float)
-        equity, profits = account(o, c, t["signal"].to_numpy(), capital)
+        state: dict = {"symbol": t["symbol"].iloc[0]}
+
+        def asked(i: int) -> int:
+            try:
+                return {"buy": 1, "sell": -1}.get(strategy(t, i, state), 0)
+            except Exception:  # noqa: BLE001 - the user's code; a bar that it can't judge is held
+                return 0
+
+        equity, profits = account(o, c, asked if own else t["signal"].to_numpy(), capital, at_first_open=strategy == "buy_hold")
         r = equity[1:] / equity[:-1] - 1
         peak = np.maximum.accumulate(equity)
         total = equity[-1] / capital - 1
         sd = r.std(ddof=1) if len(r) > 1 else 0.0
         row = {
-            "symbol": t["symbol"].iloc[0], "final": equity[-1], "total_return": total, "annual_return": (1 + total) ** (periods / len(c)) - 1 if total > -1 else None,
+            "symbol": t["symbol"].iloc[0], "final": equity[-1], "total_return": total, "annual_return": (1 + total) ** (periods / len(c)) - 1 if total > -1 and len(c) > 1 else None,
             "mdd": float(((peak - equity) / peak).max()), "sharpe": float(r.mean() / sd * math.sqrt(periods)) if sd > 1e-12 else None, "n_trades": len(profits),
             "win_rate": sum(p > 0 for p in profits) / len(profits) if profits else None, "benchmark": c[-1] / c[0] - 1,
         }
         return pd.DataFrame([row])
 
-    t = with_signals(bars.where("close is not null").dropDuplicates(["symbol", "trade_date"]), strategy, **params)
-    return t.select("symbol", "trade_date", "open", "close", "signal").groupBy("symbol").applyInPandas(run, OUT)
+    t = bars.where("close is not null").dropDuplicates(["symbol", "trade_date"])
+    if not own:
+        t = with_signals(t, strategy, **params).select("symbol", "trade_date", "open", "close", "signal")
+    return t.groupBy("symbol").applyInPandas(run, OUT)
 
 
 def buy_hold(bars: DataFrame) -> DataFrame:
@@ -143,14 +176,59 @@ def momentum(n: int) -> Column:
 
 
 def momentum_hedge(bars: DataFrame, top: int = 5) -> DataFrame:
-    """For each date the ``top`` symbols by five-bar momentum among those that rose over 20 bars; half the weight is theirs."""
-    t = bars.withColumns({"m20": momentum(20), "m5": momentum(5)}).where("m20 > 0 and m5 is not null")
+    """For each date the ``top`` symbols by their change over five bars among those that rose over 20 bars; half the weight is theirs."""
+    t = bars.withColumns({"m20": momentum(20), "m5": momentum(6)}).where("m20 > 0 and m5 is not null")
     rank = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc("m5"), "symbol"))
     t = t.withColumn("rank", rank).where(F.col("rank") <= top)
     n = F.count("*").over(Window.partitionBy("trade_date"))
     return t.select("trade_date", "symbol", "rank", (F.lit(0.5) / n).alias("weight"))
 
 
+def momentum_report(prices: DataFrame, benchmark: str, inverse: str, top: int = 5, lookback: int = 20, step: int = 5) -> DataFrame:
+    """The hedged momentum portfolio at every rebalance: one row each, from ``symbol, trade_date, close``.
+
+    The benchmark's dates are the calendar; its last date and every ``step`` th before it are rebalances. ``pool_size``
+    counts symbols with two prices or more in the last ``lookback`` dates, ``top`` lists (by comma) the best by their change over
+    ``step`` dates among those that rose over the lookback, both rounded to a tenth of a percent, ties by symbol. ``added, removed,
+    kept``: against the rebalance before. ``strategy_w``: half the mean change of ``top``, half the inverse fund's.
+    ``bench_w, inverse_w``: change over ``step`` - 1 dates, 0 where a price lacks. Prices that are null or 0 don't count.
+
+    A price takes part in the few rebalances whose lookback holds it, so it is sent to these: one shuffle by symbol and
+    rebalance, whatever the number of dates. Rebalances are few; one row each meets the next by a window.
+    """
+    t = prices.where("close is not null and close <> 0").select("symbol", "trade_date", "close")
+    # One row for each date of the calendar; dates, not prices, are numbered in one place.
+    days = t.where(_c("symbol") == benchmark).select("trade_date").distinct()
+    days = days.withColumn("i", F.row_number().over(Window.orderBy("trade_date")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    t = t.join(days, "trade_date")
+    # The rebalances at or after date i and before i + lookback.
+    first = (_c("n") - 1) - F.floor((_c("n") - 1 - _c("i")) / step) * step
+    t = t.withColumn("r", F.explode(F.sequence(first, F.least(_c("n") - 1, _c("i") + lookback - 1), F.lit(step)))).where(_c("r").between(_c("i"), _c("i") + lookback - 1))
+    at = lambda back: F.max(F.when(_c("i") == F.greatest(_c("r") - back, F.lit(0)), _c("close")))
+    change = lambda a, b: F.round((a / b - 1) * 100, 1)
+    s = t.groupBy("symbol", "r").agg(
+        F.count("*").alias("k"), change(F.max_by("close", "i"), F.min_by("close", "i")).alias("m"), change(at(0), at(step)).alias("m_step"), change(at(0), at(step - 1)).alias("w"),
+        F.max(F.when(_c("i") == _c("r"), _c("trade_date"))).alias("d"), F.max(F.when(_c("i") == F.greatest(_c("r") - step, F.lit(0)), _c("trade_date"))).alias("d0"),
+    )
+    funds = _c("symbol").isin(benchmark, inverse)
+    rank = F.row_number().over(Window.partitionBy("r").orderBy(F.desc_nulls_last(F.when(~funds & (_c("k") > 1) & (_c("m") > 0), _c("m_step"))), "symbol"))
+    s = s.withColumns({"ok": ~funds & (_c("k") > 1) & (_c("m") > 0) & _c("m_step").isNotNull(), "rank": rank})
+    held = (_c("rank") <= top) & _c("ok")
+    names = F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("rank", "symbol")))), lambda x: x["symbol"])
+    of = lambda name, x: F.max(F.when(_c("symbol") == name, _c(x)))
+    r = s.groupBy("r").agg(
+        of(benchmark, "d").alias("date"), of(benchmark, "d0").alias("week_start"), F.count_if(~funds & (_c("k") > 1)).alias("pool_size"), names.alias("top"),
+        F.coalesce(F.avg(F.when(held, _c("m_step"))), F.lit(0.0)).alias("gain"), F.coalesce(of(benchmark, "w"), F.lit(0.0)).alias("bench_w"), F.coalesce(of(inverse, "w"), F.lit(0.0)).alias("inverse_w"),
+    )
+    before = F.coalesce(F.lag("top").over(Window.orderBy("r")), F.array().cast("array<string>"))
+    r = r.withColumn("before", before)
+    joined = lambda xs: F.array_join(xs, ",")
+    return r.select(
+        "date", "week_start", "pool_size", joined("top").alias("top"), joined(F.array_except("top", "before")).alias("added"), joined(F.array_sort(F.array_except("before", "top"))).alias("removed"),
+        joined(F.array_intersect("top", "before")).alias("kept"), F.round(_c("gain") * 0.5 + _c("inverse_w") * 0.5, 1).alias("strategy_w"), "bench_w", "inverse_w",
+    )
+
+
 def ledger(orders: DataFrame, key: str, order: list[str], cash: int) -> DataFrame:
     """``key, cash, held, cost, pnl, filled, refused``: accounts after their orders, each of which is filled or refused in turn.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import sql
 from quantloom.operators import backtest as bt
 from quantloom.sources.bars import BARS, table, weekly_brand_bars
 from quantloom.sources.shared import scratch
@@ -82,7 +83,15 @@ def chip_summary(spark, sf_dir):
     return t.select("symbol", F.round("profit_ratio", 6).alias("profit_ratio"), F.round("mean_cost", 5).alias("mean_cost"))
 
 
-_M = f"{BARS}, m AS (SELECT symbol, trade_date, close / lag(close, 19) OVER ({S}) - 1 AS m20, close / lag(close, 4) OVER ({S}) - 1 AS m5 FROM bars)"
+@query(f"WITH {_CHIP} SELECT symbol, bucket::INTEGER AS bucket, round(price, 6) AS price, round(mass, 8) AS mass FROM chip")
+def chip_sql(spark, sf_dir):
+    """The distribution as a table function in SQL text."""
+    sql.register(spark)
+    bars = weekly_brand_bars(spark, sf_dir).withColumn("turnover", _c("volume") / 1000)
+    return spark.sql("SELECT symbol, bucket, round(price, 6) AS price, round(mass, 8) AS mass FROM chip_histogram(TABLE({bars}), buckets => 150)", bars=bars)
+
+
+_M = f"{BARS}, m AS (SELECT symbol, trade_date, close / lag(close, 19) OVER ({S}) - 1 AS m20, close / lag(close, 5) OVER ({S}) - 1 AS m5 FROM bars)"
 
 
 @query(f"WITH {_M}, r AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY m5 DESC, symbol) AS rank FROM m WHERE m20 > 0 AND m5 IS NOT NULL) SELECT trade_date, symbol, rank, 0.5::DOUBLE / count(*) OVER (PARTITION BY trade_date) AS weight FROM r WHERE rank <= 5")
@@ -96,6 +105,25 @@ def mom_one(spark, sf_dir):
     return t.groupBy("symbol").agg(F.round(F.max_by("m", "trade_date") * 100, 6).alias("m"))
 
 
+_REPORT = f"""WITH {BARS}, p AS (SELECT symbol, trade_date, close FROM bars WHERE close <> 0), d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM p WHERE symbol = 'Brand#25'),
+    rb AS (SELECT i AS r, greatest(i - 5, 0) AS r5, greatest(i - 4, 0) AS r4 FROM d WHERE (n - 1 - i) % 5 = 0), x AS (SELECT p.*, i FROM p JOIN d USING (trade_date)),
+    m AS (SELECT symbol, r, count(*) AS k, round((arg_max(close, i) / arg_min(close, i) - 1) * 100, 1) AS m, round((max(close) FILTER (i = r) / max(close) FILTER (i = r5) - 1) * 100, 1) AS m5,
+        coalesce(round((max(close) FILTER (i = r) / max(close) FILTER (i = r4) - 1) * 100, 1), 0) AS w FROM rb JOIN x ON i <= r AND i > r - 20 GROUP BY 1, 2),
+    q AS (SELECT * FROM m WHERE symbol NOT IN ('Brand#25', 'Brand#24') AND k > 1),
+    t AS (SELECT * FROM q WHERE m > 0 AND m5 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY m5 DESC, symbol) <= 5),
+    a AS (SELECT rb.r, rb.r5, coalesce(g.top, []) AS top, coalesce(g.gain, 0) AS gain FROM rb LEFT JOIN (SELECT r, list(symbol ORDER BY m5 DESC, symbol) AS top, avg(m5) AS gain FROM t GROUP BY 1) g USING (r)),
+    b AS (SELECT *, coalesce(lag(top) OVER (ORDER BY r), []) AS bf FROM a)
+    SELECT d.trade_date::VARCHAR AS date, s.trade_date::VARCHAR AS week_start, (SELECT count(*) FROM q WHERE q.r = b.r) AS pool_size, array_to_string(top, ',') AS top, array_to_string(list_filter(top, lambda x: NOT list_contains(bf, x)), ',') AS added,
+        array_to_string(list_sort(list_filter(bf, lambda x: NOT list_contains(top, x))), ',') AS removed, array_to_string(list_filter(top, lambda x: list_contains(bf, x)), ',') AS kept,
+        round(gain * 0.5::DOUBLE + iv.w * 0.5::DOUBLE, 1) AS strategy_w, bn.w AS bench_w, iv.w AS inverse_w
+    FROM b JOIN d ON d.i = b.r JOIN d s ON s.i = b.r5 JOIN m bn ON bn.r = b.r AND bn.symbol = 'Brand#25' JOIN m iv ON iv.r = b.r AND iv.symbol = 'Brand#24'"""
+
+
+@query(_REPORT)
+def mom_report(spark, sf_dir):
+    return bt.momentum_report(weekly_brand_bars(spark, sf_dir), "Brand#25", "Brand#24")
+
+
 # The batch forms of the streams: the same plans over a bounded table (tests run them as streams too).
 
 

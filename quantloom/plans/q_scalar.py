@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalar as sc
+from quantloom.functions import sql
 from quantloom.operators import quant
 from quantloom.sources.bars import BARS, table, weekly_brand_bars
 
@@ -245,3 +246,21 @@ def q_options(spark, sf_dir):
     """Price, greeks and implied volatility for each part as an option on its retail price."""
     t = table(spark, sf_dir, "part").select("p_partkey", _c("p_retailprice").alias("s"), (_c("p_retailprice") * 1.05).alias("k"), (_c("p_size") / 50).alias("t"), F.lit(0.05).alias("r"), F.lit(0.2).alias("v"), (_c("p_partkey") % 2 == 0).alias("call"))
     return quant.option_values(t)
+
+
+@query(f"""WITH {_RET}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL),
+    c AS (SELECT symbol, -avg(ret) AS cvar FROM k WHERE k <= ceil(0.1::DOUBLE * n - 1e-9::DOUBLE) GROUP BY 1), d AS (SELECT symbol, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS dd FROM bars)
+    SELECT symbol, round((avg(ret) - 0.02::DOUBLE / 244) / stddev_samp(ret) * sqrt(244), 7) AS sharpe, round(avg(ret) / sqrt(avg(pow(least(ret, 0), 2))) * sqrt(244), 7) AS sortino, round(any_value(cvar), 7) AS cvar,
+        round((SELECT max(dd) FROM d WHERE d.symbol = k.symbol), 7) AS mdd, round(pow(product(1 + ret), 52.0::DOUBLE / count(*)) - 1, 7) AS ann_return FROM k JOIN c USING (symbol) GROUP BY 1""")
+def q_sql(spark, sf_dir):
+    """Measures called from SQL text, with parameters by place and by name."""
+    sql.register(spark)
+    return spark.sql("""SELECT symbol, round(q_sharpe(r, 0.02D), 7) AS sharpe, round(q_sortino(r), 7) AS sortino, round(q_cvar(r, 0.9D), 7) AS cvar, round(q_mdd(e), 7) AS mdd, round(q_ann_return(r, 52D), 7) AS ann_return
+        FROM (SELECT symbol, transform(array_sort(collect_list(struct(trade_date, close))), x -> x.close) AS e, collect_list(ret) AS r FROM {returns} GROUP BY symbol)""", returns=_returns(spark, sf_dir))
+
+
+@query(f"WITH {_RET}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL) SELECT symbol, 'cvar' AS measure, round(-avg(ret), 7) AS value FROM k WHERE k <= ceil(0.1::DOUBLE * n - 1e-9::DOUBLE) GROUP BY 1")
+def q_sql_dispatch(spark, sf_dir):
+    """A measure by its name, for each row of a query."""
+    sql.register(spark)
+    return spark.sql("""SELECT symbol, q.measure, round(q.value, 7) AS value FROM (SELECT symbol, collect_list(ret) AS r FROM {returns} GROUP BY symbol), LATERAL quant('cvar', r, confidence => 0.9D) q""", returns=_returns(spark, sf_dir))
