@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources.shared import staged
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order`` (a total order makes it unique). Plans a group limit before the shuffle."""
@@ -54,21 +56,39 @@ def set_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
-def percentile_floor(x: str, p: float) -> Column:
-    """sorted[int(p / 100 * (n - 1))], without interpolation. The group's values are sorted in one array."""
-    xs = F.array_sort(F.collect_list(x))
-    return F.get(xs, F.floor(F.lit(p / 100) * (F.size(xs) - 1)).cast("int"))
-
-
 #: Slices of the values that running counts are worked out in.
 SLICES = 64
 
 
+def order_statistics(df: DataFrame, key: str, x: str, percents: dict[str, float]) -> DataFrame:
+    """``key`` and, by name, sorted[int(p / 100 * (n - 1))] of the key's values that aren't null, without interpolation.
+
+    Equal values are counted first. A sketch of each key gives cuts for SLICES slices of its values; sums of the slices
+    (SLICES rows a key) tell in which slice each wanted place lies, and only these slices' counts are added up, each on its
+    own. So no task or array holds a key's values, however many rows the key has. Keys without a value and the null key give no row.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(x).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = staged(counts, "order-counts")
+    # The cuts only steer the slices' sizes.
+    cuts = counts.groupBy("__k").agg(F.percentile_approx("__v", [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts"), F.sum("__n").alias("__all"))
+    counts = counts.join(cuts, "__k").withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= F.col("__v")))).drop("__cuts")
+    totals = counts.groupBy("__k", "__slice").agg(F.sum("__n").alias("__in"), F.first("__all").alias("__all"))
+    below = F.sum("__in").over(Window.partitionBy("__k").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.withColumn("__below", F.coalesce(below, F.lit(0)))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.lit(p / 100) * (F.col("__all") - 1)).alias("at")) for name, p in percents.items()])
+    wanted = totals.withColumn("__w", F.explode(places)).where((F.col("__w.at") >= F.col("__below")) & (F.col("__w.at") < F.col("__below") + F.col("__in")))
+    wanted = wanted.groupBy("__k", "__slice").agg(F.collect_list(F.struct("__w.name", (F.col("__w.at") - F.col("__below")).alias("at"))).alias("__w"))
+    up_to = F.sum("__n").over(Window.partitionBy("__k", "__slice").orderBy("__v"))
+    inside = counts.join(wanted, ["__k", "__slice"]).withColumn("__up", up_to)
+    found = inside.select("__k", "__v", "__n", "__up", F.explode("__w").alias("w")).where((F.col("w.at") < F.col("__up")) & (F.col("w.at") >= F.col("__up") - F.col("__n")))
+    return found.groupBy(F.col("__k").alias(key)).agg(*[F.max(F.when(F.col("w.name") == name, F.col("__v"))).alias(name) for name in percents])
+
+
 def global_ranks(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` with, for each numeric column ``x``: ``__x_before`` (rows of lesser value), ``__x_ties`` (rows of its value), and
     ``__x_nulls`` and ``__rows`` (rows in all). Values are counted first; their running counts are prefix sums of SLICES slices' totals
     and of the values inside a slice, so no task sees them all. NaN counts as the greatest value."""
-    base = df
+    base = df = staged(df, "ranked")
     cuts = base.approxQuantile(list(columns), [k / SLICES for k in range(1, SLICES)], 1 / (4 * SLICES))
     for x, found in zip(columns, cuts):
         counts = base.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count("*").alias(f"__{x}_ties"))

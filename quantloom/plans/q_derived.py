@@ -113,8 +113,9 @@ def m_decline(spark, sf_dir):
 
 @query(f"WITH {BARS}, c AS (SELECT symbol, arg_max(close, trade_date) AS cur, list_sort(list(close)) AS xs, count(*) AS n FROM bars GROUP BY 1) SELECT symbol, cur, xs[1 + floor(0.25::DOUBLE * (n - 1))::INTEGER] AS p25, xs[1 + floor(0.75::DOUBLE * (n - 1))::INTEGER] AS p75 FROM c")
 def m_pricepct(spark, sf_dir):
-    t = weekly_brand_bars(spark, sf_dir).groupBy("symbol")
-    return t.agg(F.max_by("close", "trade_date").alias("cur"), rel.percentile_floor("close", 25).alias("p25"), rel.percentile_floor("close", 75).alias("p75"))
+    t = weekly_brand_bars(spark, sf_dir).select("symbol", "trade_date", "close")
+    now = t.groupBy("symbol").agg(F.max_by("close", "trade_date").alias("cur"))
+    return now.join(rel.order_statistics(t, "symbol", "close", {"p25": 25, "p75": 75}), "symbol")
 
 
 @query(f"WITH {SNAPSHOT} SELECT code, CASE WHEN coalesce(pe BETWEEN 16 AND 1000, false) THEN pe ELSE pb END AS pe FROM snap")

@@ -496,7 +496,7 @@ def agg_pctl_linear(spark, sf_dir):
 
 @query("SELECT p_brand, list_sort(list(p_retailprice))[1 + floor(0.3::DOUBLE * (count(*) - 1))::INTEGER] AS p30 FROM part GROUP BY 1")
 def agg_pctl_floor(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(rel.percentile_floor("p_retailprice", 30).alias("p30"))
+    return rel.order_statistics(table(spark, sf_dir, "part").select("p_brand", "p_retailprice"), "p_brand", "p_retailprice", {"p30": 30})
 
 
 @query(f"WITH {BARS}, c AS (SELECT symbol, arg_max(close, trade_date) AS cur FROM bars GROUP BY 1) SELECT symbol, round(100.0::DOUBLE * count(*) FILTER (close < cur) / count(*), 6) AS pct FROM bars JOIN c USING (symbol) GROUP BY 1")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +61,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for what several steps read: it isn't computed again."""
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
