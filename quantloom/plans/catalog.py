@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ["q_panel", "q_factors", "q_indicators", "q_relational", "q_scalar", "q_models", "q_machines", "q_derived", "q_screener", "q_records", "q_sinks", "q_surplus", "q_valuation"]
+MODULES = ["q_panel", "q_factors", "q_indicators", "q_relational", "q_scalar", "q_models", "q_machines", "q_derived", "q_screener", "q_records", "q_sinks", "q_surplus", "q_valuation", "q_reports"]
 FLAGSHIP = "join_screen_view"
 
 def _dated(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -99,12 +99,6 @@ def m_outflow(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", dv.outflow(_c("l_extendedprice"), _c("l_discount"), _c("l_quantity"), _c("l_tax"), F.lit(1.0)).alias("w"))
 
 
-@query(f"WITH {SNAPSHOT}, e AS (SELECT code, CASE WHEN balance > 0 THEN (total_mv + coalesce(pe, 0) - coalesce(pb, 0)) / balance END AS ev FROM snap) SELECT code, round(ev, 6) AS ev, CASE WHEN ev < 0 THEN 'below_floor' WHEN ev < 30 THEN 'near' WHEN ev < 80 THEN 'fair' WHEN ev < 150 THEN 'high' ELSE 'extreme' END AS band FROM e")
-def m_ev(spark, sf_dir):
-    ev = dv.ev_to_ebitda(_c("total_mv"), _c("pe"), _c("pb"), _c("balance"))
-    return customer_snapshot(spark, sf_dir).select("code", F.round(ev, 6).alias("ev"), dv.premium_band(ev).alias("band"))
-
-
 @query(f"WITH {SNAPSHOT}, a AS (SELECT unnest([1.0::DOUBLE, 0.9::DOUBLE, 0.81::DOUBLE, 0.729::DOUBLE]) AS k), b AS (SELECT unnest([0.9::DOUBLE, 0.8::DOUBLE, 0.7::DOUBLE]) AS m) SELECT code, k, m, balance * k * m AS value FROM snap, a, b")
 def m_decline(spark, sf_dir):
     t = dv.grid(customer_snapshot(spark, sf_dir).select("code", "balance"), lambda k, m: _c("balance") * k * m, k=[1.0, 0.9, 0.81, 0.729], m=[0.9, 0.8, 0.7])
@@ -135,18 +129,6 @@ def f_cashflow(spark, sf_dir):
     return t.select("code", "yr", dv.owner_cash(_c("rev"), _c("n") * 1000).alias("fcf"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) <= 10")
-def f_holders(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").distinct()
-    return rel.top_per_key(t, ["l_orderkey"], [F.desc("l_quantity"), F.asc("l_partkey")], 10)
-
-
-@query(f"WITH {BARS} SELECT symbol, max(high) AS hi, min(low) AS lo, arg_max(close, trade_date) / max(high) - 1 AS off_high FROM bars GROUP BY 1")
-def f_range10y(spark, sf_dir):
-    t = weekly_brand_bars(spark, sf_dir).groupBy("symbol")
-    return t.agg(F.max("high").alias("hi"), F.min("low").alias("lo"), (F.try_divide(F.max_by("close", "trade_date"), F.max("high")) - 1).alias("off_high"))
-
-
 @query(f"WITH {SNAPSHOT} SELECT code, 6 + CASE WHEN contains(industry, 'MACH') THEN 1.5 WHEN contains(industry, 'BUILD') THEN -0.5 ELSE 0 END::DOUBLE AS s FROM snap")
 def f_score_growth(spark, sf_dir):
     s = 6 + F.when(_c("industry").contains("MACH"), 1.5).when(_c("industry").contains("BUILD"), -0.5).otherwise(0.0)

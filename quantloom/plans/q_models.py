@@ -215,20 +215,6 @@ def m_cashrev(spark, sf_dir):
     return t.select("code", "yr", (_c("rev") - F.coalesce(F.when(_c("r0").isNotNull(), F.greatest(F.lit(0.0), _c("rev") - _c("r0"))), F.lit(0.0))).alias("cash"))
 
 
-@query(f"WITH {_YEAR}, x AS (SELECT *, dense_rank() OVER (PARTITION BY code ORDER BY yr DESC) AS r FROM fin) SELECT code, yr, q, rev FROM x WHERE r <= 5")
-def f_dividends(spark, sf_dir):
-    r = F.dense_rank().over(Window.partitionBy("code").orderBy(F.desc("yr")))
-    return _quarters(spark, sf_dir).withColumn("r", r).where("r <= 5").select("code", "yr", "q", "rev")
-
-
-@query("WITH m AS (SELECT max(o_orderdate)::DATE AS d FROM orders) SELECT o_custkey AS code, max(o_totalprice) AS hi, min(o_totalprice) AS lo, round(avg(o_totalprice), 4) AS mean FROM orders, m WHERE o_orderdate > d - 365 GROUP BY 1")
-def f_range52(spark, sf_dir):
-    t = table(spark, sf_dir, "orders")
-    newest = t.agg(F.max("o_orderdate").cast("date").alias("d"))
-    t = t.join(F.broadcast(newest), _c("o_orderdate") > F.date_sub("d", 365))  # one row
-    return t.groupBy(_c("o_custkey").alias("code")).agg(F.max("o_totalprice").alias("hi"), F.min("o_totalprice").alias("lo"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-
-
 @query("SELECT o_custkey AS code, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def f_audit3(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
