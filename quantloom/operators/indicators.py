@@ -3,8 +3,8 @@
 An indicator adds what it needs to a ``Build``: columns in layers, where a layer may look at those before it through windows, and recursions
 in two scans. Names say what a column holds, so equal needs of several indicators meet in one column. A build then runs
 as a whole: all windows share one sort by symbol and date, all recursions one scan (those that look at others, such as a
-signal line, a second one), and the plan has one shuffle whatever the number of indicators. DMI and SAR, whose
-states aren't affine, are folds over a symbol's bars in Arrow.
+signal line, a second one), and the plan has one shuffle whatever the number of indicators. SAR, whose state
+isn't affine, is a fold over a symbol's bars in Arrow.
 """
 
 from __future__ import annotations
@@ -201,8 +201,25 @@ def _kc(b: Build, n: int = 20, m: int = 10, k: float = 2.0) -> Outputs:
     return {"mid": mid, "upper": mid + k * atr, "lower": mid - k * atr}
 
 
-def a_dmi(df: DataFrame, n: int = 14, m: int = 14) -> DataFrame:
-    return folds.scan(df, ["high", "low", "close"], ["pdi", "mdi", "adx", "adxr"], lambda high, low, close: folds.dmi(high, low, close, n, m))
+def _dmi(b: Build, n: int = 14, m: int = 14) -> Outputs:
+    """Directional movement: Wilder sums, DX, its mean ADX (seeded with a mean of m) and ADXR against m bars before."""
+    rise, fall = _c("high") - w.lag(_c("high"), 1), w.lag(_c("low"), 1) - _c("low")
+    moves = {
+        "up": b.column(0, "__up", F.when((rise > fall) & (rise > 0), rise).otherwise(0.0)),
+        "down": b.column(0, "__down", F.when((fall > rise) & (fall > 0), fall).otherwise(0.0)),
+        "range": _true_range(b),
+    }
+
+    def total(x: str) -> Column:
+        """The sum of bars 2 to n + 1, then of each bar and what is left of the sum."""
+        seed = b.column(2, f"{x}_sum{n}_seed", F.when(F.row_number().over(w.by_symbol()) == n + 1, w.total(_c(x), n)))
+        return b.recursion(FIRST_SCAN, f"{x}_sum{n}", Recursion(x, lambda s, v: s - s / n + v, 1 - 1 / n, seed))
+
+    sums = {k: total(x) for k, x in moves.items()}
+    pdi, mdi = (F.when(sums["range"] > 0, 100 * sums[k] / sums["range"]) for k in ("up", "down"))
+    dx = b.column(4, f"__dx{n}", F.when(pdi + mdi > 0, 100 * F.abs(pdi - mdi) / (pdi + mdi)).when(pdi.isNotNull(), 0.0))
+    adx = b.seeded(dx, m, "wilder", SECOND_SCAN)
+    return {"pdi": pdi, "mdi": mdi, "adx": adx, "adxr": (adx + F.lag(adx, m).over(w.by_symbol())) / 2}
 
 
 def a_sar(df: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
@@ -211,11 +228,11 @@ def a_sar(df: DataFrame, start: float = 0.02, step: float = 0.02, most: float =
 
 BUILT: dict[str, Callable[..., Outputs]] = {
     "sma": _sma, "ema": _ema, "wma": _wma, "ma": _ma, "macd": _macd, "boll": _boll, "kdj": _kdj, "rsi": _rsi, "wr": _wr, "bias": _bias,
-    "cci": _cci, "atr": _atr, "obv": _obv, "roc": _roc, "kc": _kc,
+    "cci": _cci, "atr": _atr, "obv": _obv, "roc": _roc, "kc": _kc, "dmi": _dmi,
 }
-FOLDED: dict[str, Callable[..., DataFrame]] = {"dmi": a_dmi, "sar": a_sar}
+FOLDED: dict[str, Callable[..., DataFrame]] = {"sar": a_sar}
 a_sma, a_ema, a_wma, a_ma, a_macd, a_boll, a_kdj, a_rsi = map(_alone, (_sma, _ema, _wma, _ma, _macd, _boll, _kdj, _rsi))
-a_wr, a_bias, a_cci, a_atr, a_obv, a_roc, a_kc = map(_alone, (_wr, _bias, _cci, _atr, _obv, _roc, _kc))
+a_wr, a_bias, a_cci, a_atr, a_obv, a_roc, a_kc, a_dmi = map(_alone, (_wr, _bias, _cci, _atr, _obv, _roc, _kc, _dmi))
 INDICATORS: dict[str, Callable[..., DataFrame]] = {**{k: _alone(f) for k, f in BUILT.items()}, **FOLDED}
 ALIASES = {"fastPeriod": "fast", "slowPeriod": "slow", "signalPeriod": "signal", "period": "n", "type": "kind"}
 

@@ -96,6 +96,27 @@ _mid = f", mid AS (SELECT *, {_r(windowed('avg', 'close', 20))} AS mid FROM num)
 _cci = f", cm AS (SELECT *, {windowed('avg', 'tp', 14)} AS m, list(tp) OVER {n_rows(14)} AS xs FROM num), cd AS (SELECT *, list_sum(list_transform(xs, lambda q: abs(q - m))) / 14 AS md FROM cm)"
 _flow = f", fl AS (SELECT *, tp - lag(tp) OVER ({S}) AS change FROM num), fu AS (SELECT *, CASE WHEN change > 0 THEN tp * volume WHEN change IS NOT NULL THEN 0 END AS up, CASE WHEN change < 0 THEN tp * volume WHEN change IS NOT NULL THEN 0 END AS down FROM fl)"
 
+def _sum_cte(name: str, x: str) -> str:
+    """Sum of rows 2 to 15, then less a fourteenth of itself plus the row's value."""
+    return f""", {name} AS (SELECT symbol, rn, (SELECT sum(d.{x}) FROM dm d WHERE d.symbol = s.symbol AND d.rn BETWEEN 2 AND 15)::DOUBLE AS e FROM dm s WHERE rn = 15
+        UNION ALL SELECT s.symbol, s.rn, p.e - p.e / 14 + s.{x} FROM {name} p JOIN dm s ON s.symbol = p.symbol AND s.rn = p.rn + 1)"""
+
+
+_MOVES = f", dm AS (SELECT *, CASE WHEN high - h1 > l1 - low AND high - h1 > 0 THEN high - h1 ELSE 0 END AS up, CASE WHEN l1 - low > high - h1 AND l1 - low > 0 THEN l1 - low ELSE 0 END AS down FROM (SELECT *, lag(high) OVER ({S}) AS h1, lag(low) OVER ({S}) AS l1 FROM tr))"
+DMI = TR + _MOVES + _sum_cte("su", "up") + _sum_cte("sd", "down") + _sum_cte("st", "tr")
+DMI += """, di AS (SELECT symbol, rn, CASE WHEN st.e > 0 THEN 100 * su.e / st.e END AS pdi, CASE WHEN st.e > 0 THEN 100 * sd.e / st.e END AS mdi FROM su JOIN sd USING (symbol, rn) JOIN st USING (symbol, rn)),
+    dx AS (SELECT *, CASE WHEN pdi + mdi > 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) WHEN pdi IS NOT NULL THEN 0 END AS dx FROM di), dxm AS (SELECT *, avg(dx) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS m FROM dx)"""
+DMI += smooth_cte("ax", "dxm", "dx", 14, 28, "m") + ", out AS (SELECT num.symbol, num.trade_date, pdi, mdi, ax.e AS adx, (ax.e + lag(ax.e, 14) OVER (PARTITION BY num.symbol ORDER BY num.rn)) / 2 AS adxr FROM num LEFT JOIN dx USING (symbol, rn) LEFT JOIN ax USING (symbol, rn))"
+
+#: The state is (long, stop, extreme, factor); q is the stop before it may turn.
+SAR = f""", sb AS (SELECT *, lag(high) OVER ({S}) AS h1, lag(low) OVER ({S}) AS l1, lag(high, 2) OVER ({S}) AS h2, lag(low, 2) OVER ({S}) AS l2 FROM num),
+    sr AS (SELECT symbol, rn, high >= h1 AS up, CASE WHEN high >= h1 THEN l1 ELSE h1 END::DOUBLE AS stop, CASE WHEN high >= h1 THEN high ELSE low END::DOUBLE AS top, 0.02::DOUBLE AS f FROM sb WHERE rn = 2
+        UNION ALL SELECT symbol, rn, up <> turned, CASE WHEN turned THEN top ELSE q END, CASE WHEN turned AND up THEN low WHEN turned THEN high WHEN up THEN greatest(top, high) ELSE least(top, low) END,
+            CASE WHEN turned THEN 0.02::DOUBLE WHEN (up AND high > top) OR (NOT up AND low < top) THEN least(0.2::DOUBLE, f + 0.02::DOUBLE) ELSE f END
+        FROM (SELECT *, CASE WHEN up THEN low < q ELSE high > q END AS turned FROM (
+            SELECT s.symbol, s.rn, s.high, s.low, p.up, p.top, p.f, CASE WHEN p.up THEN least(p.stop + p.f * (p.top - p.stop), l1, l2) ELSE greatest(p.stop + p.f * (p.top - p.stop), h1, h2) END AS q
+            FROM sr p JOIN sb s ON s.symbol = p.symbol AND s.rn = p.rn + 1)))"""
+
 _ALL = {
     **{f"ma{n}": f"avg(close) OVER {n_rows(n)}" for n in (5, 10, 20, 60)}, "macd_dif": "d", "macd_dea": "h.e", "macd": "2 * (d - h.e)",
     "boll_mid": f"avg(close) OVER {n_rows(20)}", "boll_upper": f"avg(close) OVER {n_rows(20)} + 2 * stddev_samp(close) OVER {n_rows(20)}",
@@ -143,6 +164,8 @@ ORACLES = {
     "ind_atr": _sql({"tr": _r("tr"), "atr": _r("e")}, "out", ATR),
     "ind_obv": _sql({"obv": _obv}),
     "ind_roc": _sql({"roc": "roc", "signal": windowed("avg", "roc", 6)}, "r", f", r AS (SELECT *, (close - lag(close, 12) OVER ({S})) / lag(close, 12) OVER ({S}) * 100 AS roc FROM num)"),
+    "ind_dmi": _sql({"pdi": "pdi", "mdi": "mdi", "adx": "adx", "adxr": "adxr"}, "out", DMI),
+    "ind_sar": _sql({"sar": "stop"}, "num LEFT JOIN sr USING (symbol, rn)", SAR),
     "ind_kc": _sql({"mid": _r("f.e"), "upper": f"{_r('f.e')} + 2 * {_r('w.e')}", "lower": f"{_r('f.e')} - 2 * {_r('w.e')}"}, "num LEFT JOIN f USING (symbol, rn) LEFT JOIN w USING (symbol, rn)",
         ema_cte("f", "num", "close", 20) + TR.replace("BETWEEN 13", "BETWEEN 9") + smooth_cte("w", "trm", "tr", 10, 10, "m")),
     "ind_batch": _sql({"sma_sma": _ma(5), "wr_wr6": _wr(6), "wr_wr10": _wr(10), "obv_obv": _obv}),
