@@ -35,6 +35,18 @@ def pad6(x: Column) -> Column:
     return F.when(F.length(x) >= 6, x).otherwise(F.lpad(x, 6, "0"))
 
 
+def bare_code(x: Column) -> Column:
+    """The part before the first point, without an exchange mark; null for empty ones, nan and none."""
+    t = F.trim(x)
+    return F.when((t != "") & ~F.lower(t).isin("nan", "none"), strip_prefix(F.split_part(t, F.lit("."), F.lit(1))))
+
+
+def full_symbol(symbol: Column, market: Column) -> Column:
+    """With the exchange's suffix: mainland codes by their first digit, Hong Kong's with HK, others as they are."""
+    mainland = F.concat(symbol, F.when(symbol.startswith("6"), ".SH").otherwise(".SZ"))
+    return F.when(market == "CN", mainland).when(market == "HK", F.concat(symbol, F.lit(".HK"))).otherwise(symbol)
+
+
 def suffix(code: Column) -> Column:
     out = None
     for pattern, s in SUFFIX_RULES:

@@ -47,6 +47,18 @@ def fn_strip_prefix(spark, sf_dir):
     return _codes(spark, sf_dir).select("k", sc.strip_prefix(_c("code")).alias("bare"))
 
 
+@query(f"WITH {_CODES} SELECT k, regexp_replace(regexp_replace(split_part(trim(code), '.', 1), '(?i)^(sh|sz|bj)[.]?', ''), '(?i)[.]?(sh|sz|bj)$', '') AS code FROM codes WHERE trim(code) <> '' AND lower(trim(code)) NOT IN ('nan', 'none')")
+def fn_norm_code(spark, sf_dir):
+    return _codes(spark, sf_dir).select("k", sc.bare_code(_c("code")).alias("code")).where("code is not null")
+
+
+@query("SELECT c_custkey AS code, CASE WHEN c_mktsegment LIKE 'A%' OR c_mktsegment LIKE 'B%' THEN c_custkey || CASE WHEN starts_with(c_custkey::VARCHAR, '6') THEN '.SH' ELSE '.SZ' END WHEN c_mktsegment LIKE 'F%' THEN c_custkey || '.HK' ELSE c_custkey::VARCHAR END AS symbol FROM customer")
+def prj_full_symbol(spark, sf_dir):
+    first = F.substring("c_mktsegment", 1, 1)
+    market = F.when(first.isin("A", "B"), "CN").when(first == "F", "HK").otherwise("US")
+    return table(spark, sf_dir, "customer").select(_c("c_custkey").alias("code"), sc.full_symbol(_c("c_custkey").cast("string"), market).alias("symbol"))
+
+
 @query(f"WITH {_CODES} SELECT k, nullif(regexp_extract(code, '\\d{{6}}'), '') AS code FROM codes")
 def fn_code6(spark, sf_dir):
     return _codes(spark, sf_dir).select("k", sc.code6(_c("code")).alias("code"))
