@@ -62,17 +62,20 @@ def page_record(page_id: object, url: str | None, payload: bytes, digest: str, r
 
 
 def inflated(source: BinaryIO) -> Iterator[bytes]:
-    """The contents of a gzip file of one or more members, a chunk at a time."""
-    z = zlib.decompressobj(31)
+    """The contents of a gzip file of one or more members, a chunk at a time. A member without its end is an error, wherever its records end."""
+    z, begun = zlib.decompressobj(31), False
     while data := source.read(CHUNK):
         while data:
+            begun = True
             if out := z.decompress(data, CHUNK):
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
     if out := z.flush():
         yield out
+    if begun and not z.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -214,3 +214,24 @@ def test_core_is_compared_with_nothing():
     v = np.array([[1, 0], [49, 0], [50, 0], [51, 0]], np.int64)
     to, d, own = ball_kmeans.nearest(v, np.zeros(4, np.int32), np.array(c), near)
     assert to.tolist() == [0, 0, 0, 1] and d.tolist() == [1, 2401, 2500, 2401] and own.tolist() == [1, 2401, 2500, 2601]
+
+
+# --- archives that end early
+
+
+def test_a_stream_cut_at_a_record_is_an_error():
+    import gzip
+    import io
+    import zlib
+
+    from quantloom.llm import warc
+
+    one = [warc.page_record(k, f"http://x/{k}", b"p" * 500, "0" * 64, None) for k in range(3)]
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    head = z.compress(one[0] + one[1]) + z.flush(zlib.Z_FULL_FLUSH)
+    whole = head + z.compress(one[2]) + z.flush()
+    read = lambda data: len(list(warc.records(warc.inflated(io.BytesIO(data)))))
+    assert read(whole) == 3 and read(b"".join(map(gzip.compress, one))) == 3 and read(b"") == 0
+    for cut in (head, whole[:-1], whole[:-8], gzip.compress(one[0]) + head):
+        with pytest.raises(ValueError):
+            read(cut)
