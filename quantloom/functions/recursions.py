@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as w
@@ -22,12 +22,33 @@ from . import windows as w
 CHUNK = 1024
 
 
+class Term:
+    """An expression as SQL text, put together by arithmetic. Folds of many recursions are one text each, which is parsed at once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @staticmethod
+    def of(x: Term | float | int) -> str:
+        return x.text if isinstance(x, Term) else f"{x!r}D" if isinstance(x, float) else str(x)
+
+    def __add__(self, x): return Term(f"({self.text} + {Term.of(x)})")  # noqa: E704
+    def __radd__(self, x): return Term(f"({Term.of(x)} + {self.text})")  # noqa: E704
+    def __sub__(self, x): return Term(f"({self.text} - {Term.of(x)})")  # noqa: E704
+    def __mul__(self, x): return Term(f"({self.text} * {Term.of(x)})")  # noqa: E704
+    def __rmul__(self, x): return Term(f"({Term.of(x)} * {self.text})")  # noqa: E704
+    def __truediv__(self, x): return Term(f"({self.text} / {Term.of(x)})")  # noqa: E704
+
+
+Step = Callable[[Term, Term], Term]
+
+
 @dataclass(frozen=True)
 class Recursion:
-    """``x``, ``seed``: columns of the bars. ``keep``: the factor of the state in ``step``. ``initial``: the state before the first bar."""
+    """``x``, ``seed``: columns of the bars. ``step``: arithmetic on the state and ``x``. ``keep``: the factor of the state in it. ``initial``: the state before the first bar."""
 
     x: str
-    step: Callable[[Column, Column], Column]
+    step: Step
     keep: float
     seed: str | None = None
     initial: float | None = None
@@ -38,68 +59,58 @@ def scan(df: DataFrame, recursions: dict[str, Recursion], chunk: int = CHUNK) ->
     if not recursions:
         return df
     names, rs = list(recursions), list(recursions.values())
-    double = lambda x: F.lit(x).cast("double")
     rest = [c for c in df.columns if c != "symbol"]
     numbered = df.withColumn("__place", F.row_number().over(w.by_symbol()) - 1)
-    rows = F.array_sort(F.collect_list(F.struct("__place", *[F.col(f"`{c}`") for c in rest])))
+    rows = F.expr("sort_array(collect_list(struct(__place, " + ", ".join(f"`{c}`" for c in rest) + ")))")
     parts = numbered.groupBy("symbol", F.floor(F.col("__place") / chunk).alias("__chunk")).agg(rows.alias("__rows"))
 
-    value = lambda row, name: row[name].cast("double") if name else double(None)
-
-    def whole(acc: Column, row: Column) -> Column:
-        """(p, q, seeded) of each recursion after one more bar."""
-        out = []
-        for k, r in enumerate(rs):
-            p, q, seeded, x = acc[f"p{k}"], acc[f"q{k}"], acc[f"s{k}"], value(row, r.x)
-            moved_p, moved_q = F.when(x.isNull(), p).otherwise(p * r.keep), F.when(x.isNull(), q).otherwise(r.step(q, x))
-            if r.seed is None:
-                out += [moved_p.alias(f"p{k}"), moved_q.alias(f"q{k}"), seeded.alias(f"s{k}")]
-            else:
-                seed = value(row, r.seed)
-                out += [F.when(seed.isNotNull(), 0.0).otherwise(moved_p).alias(f"p{k}"), F.coalesce(seed, moved_q).alias(f"q{k}"), (seeded | seed.isNotNull()).alias(f"s{k}")]
-        return F.struct(*out)
-
-    nothing = F.struct(*[c for k in range(len(rs)) for c in (double(1.0).alias(f"p{k}"), double(0.0).alias(f"q{k}"), F.lit(False).alias(f"s{k}"))])
-    parts = parts.withColumn("__map", F.aggregate("__rows", nothing, whole))
+    value = lambda name: f"CAST(r.`{name}` AS DOUBLE)"
+    struct = lambda fields: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    number = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"{float(v)!r}D"
+    held = lambda r, state, moved: f"CASE WHEN {value(r.x)} IS NULL THEN {state} ELSE {moved} END"
+    stepped = lambda r, state: held(r, state, r.step(Term(state), Term(value(r.x))).text)
+
+    def whole(k: int, r: Recursion) -> dict[str, str]:
+        """p, q and whether a seed came, of a chunk's bars so far."""
+        p, q = held(r, f"acc.p{k}", f"acc.p{k} * {r.keep!r}D"), stepped(r, f"acc.q{k}")
+        if r.seed is None:
+            return {f"p{k}": p, f"q{k}": q, f"s{k}": "false"}
+        seed = value(r.seed)
+        return {f"p{k}": f"CASE WHEN {seed} IS NOT NULL THEN 0D ELSE {p} END", f"q{k}": f"coalesce({seed}, {q})", f"s{k}": f"acc.s{k} OR {seed} IS NOT NULL"}
+
+    each = lambda f: struct({name: v for k, r in enumerate(rs) for name, v in f(k, r).items()})
+    nothing = each(lambda k, r: {f"p{k}": "1D", f"q{k}": "0D", f"s{k}": "false"})
+    parts = parts.withColumn("__map", F.expr(f"aggregate(__rows, {nothing}, (acc, r) -> {each(whole)})"))
     earlier = Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__maps", F.collect_list("__map").over(earlier))
+    # A chunk that seeds the state forgets the one before; otherwise a null state stays null.
+    carried = each(lambda k, r: {f"v{k}": f"CASE WHEN m.s{k} THEN m.q{k} ELSE m.p{k} * acc.v{k} + m.q{k} END"})
+    start = each(lambda k, r: {f"v{k}": number(r.initial)})
+    parts = parts.withColumn("__start", F.expr(f"aggregate(__maps, {start}, (acc, m) -> {carried})"))
 
-    def carried(acc: Column, m: Column) -> Column:
-        # A chunk that seeds the state forgets the one before; otherwise a null state stays null.
-        return F.struct(*[F.when(m[f"s{k}"], m[f"q{k}"]).otherwise(m[f"p{k}"] * acc[f"v{k}"] + m[f"q{k}"]).alias(f"v{k}") for k in range(len(rs))])
-
-    start = F.struct(*[double(r.initial).alias(f"v{k}") for k, r in enumerate(rs)])
-    parts = parts.withColumn("__start", F.aggregate("__maps", start, carried))
-
-    def bar(acc: Column, row: Column) -> Column:
-        new = []
-        for k, r in enumerate(rs):
-            v, x = acc["at"][f"v{k}"], value(row, r.x)
-            moved = F.when(x.isNull(), v).otherwise(r.step(v, x))
-            new.append((moved if r.seed is None else F.coalesce(value(row, r.seed), moved)).alias(f"v{k}"))
-        return F.struct(F.struct(*new).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
-
+    new = each(lambda k, r: {f"v{k}": stepped(r, f"acc.at.v{k}") if r.seed is None else f"coalesce({value(r.seed)}, {stepped(r, f'acc.at.v{k}')})"})
     kind = "array<struct<" + ",".join(f"v{k}:double" for k in range(len(rs))) + ">>"
-    run = F.aggregate("__rows", F.struct(F.col("__start").alias("at"), F.array().cast(kind).alias("all")), bar)
+    run = f"aggregate(__rows, named_struct('at', __start, 'all', CAST(array() AS {kind})), (acc, r) -> named_struct('at', {new}, 'all', concat(acc.all, array(acc.at))))"
     # The fold collects the state before each bar; shifted by one, with the last state behind, it is the state after it.
-    run = parts.select("symbol", "__rows", run.alias("r")).select("symbol", "__rows", F.concat(F.slice("r.all", 2, F.size("__rows")), F.array("r.at")).alias("__states"))
-    flat = run.select("symbol", F.inline(F.arrays_zip("__rows", "__states"))).select("symbol", "__rows", "__states")
-    return flat.select(*["symbol" if c == "symbol" else F.col("__rows")[c].alias(c) for c in df.columns], *[F.col("__states")[f"v{k}"].alias(n) for k, n in enumerate(names)])
+    run = parts.select("symbol", "__rows", F.expr(run).alias("r"))
+    states = run.selectExpr("symbol", "__rows", "concat(slice(r.all, 2, size(__rows)), array(r.at)) AS __states")
+    flat = states.selectExpr("symbol", "inline(arrays_zip(__rows, __states))")
+    return flat.selectExpr(*["symbol" if c == "symbol" else f"__rows.`{c}`" for c in df.columns], *[f"__states.v{k} AS `{n}`" for k, n in enumerate(names)])
 
 
-def blend(n: float) -> Callable[[Column, Column], Column]:
+def blend(n: float) -> Step:
     """Exponential mean of span n: alpha = 2 / (n + 1)."""
     return by_alpha(2 / (n + 1))
 
 
-def by_alpha(alpha: float) -> Callable[[Column, Column], Column]:
-    return lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s
+def by_alpha(alpha: float) -> Step:
+    return lambda s, x: alpha * x + (1 - alpha) * s
 
 
-def wilder(n: int) -> Callable[[Column, Column], Column]:
+def wilder(n: int) -> Step:
     return lambda s, x: (s * (n - 1) + x) / n
 
 
-def decayed(keep: float) -> Callable[[Column, Column], Column]:
+def decayed(keep: float) -> Step:
     """Sum in which each bar weighs ``keep`` times the next one."""
     return lambda s, x: s * keep + x
