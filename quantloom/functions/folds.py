@@ -1,7 +1,8 @@
 """Recursive series: functions from arrays of one symbol, oldest first, to arrays. NaN stands for missing inside them.
 
-``scan`` applies one to every symbol of a panel. A symbol is one group; its size is the number of its bars, which
-time bounds, not the volume of trades that a bar sums up.
+``scan`` applies one to every symbol of a panel, which the parabolic stop needs: its state isn't affine. A symbol is
+one group; its size is the number of its bars, which time bounds, not the volume of trades that a bar sums up. The
+other loops are the plain forms of the native scans (``recursions``), which tests hold against them.
 """
 
 from __future__ import annotations

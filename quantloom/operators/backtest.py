@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions import folds
 from quantloom.functions import windows as w
+from quantloom.operators import indicators
 
 _c = F.col
 COMMISSION, LEAST_FEE, STAMP, LOT, LIMIT, LIMIT_EPS = 0.00025, 5.0, 0.0005, 100, 0.10, 1e-6
@@ -35,9 +35,9 @@ def with_signals(bars: DataFrame, strategy: str, fast: int = 5, slow: int = 20,
         change = F.try_divide(_c("close"), F.lag("close", n).over(w.by_symbol())) - 1
         return bars.withColumn("signal", F.when(change > 0, 1).when(change < 0, -1).otherwise(0))
     if strategy == "rsi_reverse":
-        rsi = folds.scan(bars, ["close"], ["rsi"], lambda close: {"rsi": folds.rsi_wilder(close, 14)})
-        bars = bars.join(rsi, ["symbol", "trade_date"])
-        return bars.withColumn("signal", F.when(_c("rsi") < 30, 1).when(_c("rsi") > 70, -1).otherwise(0)).drop("rsi")
+        b = indicators.Build()
+        rsi = indicators.wilder_rsi(b, 14)
+        return b.run(bars).select(*[_c(f"`{c}`") for c in bars.columns], F.when(rsi < 30, 1).when(rsi > 70, -1).otherwise(0).alias("signal"))
     raise ValueError(f"no strategy {strategy!r}")
 
 

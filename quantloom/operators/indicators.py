@@ -138,14 +138,15 @@ def _changes(b: Build) -> tuple[str, str]:
     return tuple(b.column(0, k, F.when(change.isNotNull(), F.greatest(x, F.lit(0.0)))) for k, x in (("__gain", change), ("__loss", -change)))
 
 
-def _rsi(b: Build, periods: tuple[int, ...] = (6, 12, 24)) -> Outputs:
+def wilder_rsi(b: Build, n: int) -> Column:
     """Seeded with the means of the first n changes. No loss gives 100, no gain 0. A missing change holds both."""
     gain, loss = _changes(b)
-    out = {}
-    for n in periods:
-        g, l = b.seeded(gain, n, "wilder"), b.seeded(loss, n, "wilder")
-        out[f"rsi{n}"] = w.js_round(F.when(l == 0, 100.0).when(g == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(g, l))))
-    return out
+    g, l = b.seeded(gain, n, "wilder"), b.seeded(loss, n, "wilder")
+    return F.when(l == 0, 100.0).when(g == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(g, l)))
+
+
+def _rsi(b: Build, periods: tuple[int, ...] = (6, 12, 24)) -> Outputs:
+    return {f"rsi{n}": w.js_round(wilder_rsi(b, n)) for n in periods}
 
 
 def _wr(b: Build, periods: tuple[int, ...] = (6, 10)) -> Outputs:

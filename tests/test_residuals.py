@@ -96,6 +96,15 @@ def test_backtests_equal_a_plain_account(spark, strategy):
         assert r.mdd == pytest.approx(fall, abs=1e-6)
 
 
+def test_signals_of_the_rsi_equal_its_loop(spark):
+    own = {}
+    for r in bt.with_signals(weekly_brand_bars(spark, SF), "rsi_reverse").select("symbol", "trade_date", "close", "signal").orderBy("symbol", "trade_date").collect():
+        own.setdefault(r.symbol, []).append(r)
+    for rows in own.values():
+        rsi = folds.rsi_wilder(np.array([r.close for r in rows]), 14)
+        assert [r.signal for r in rows] == [1 if x < 30 else -1 if x > 70 else 0 for x in rsi]
+
+
 def test_directional_movement_equals_its_loop(spark):
     bars = weekly_brand_bars(spark, SF)
     got, rows = {}, {}
