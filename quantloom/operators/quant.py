@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,31 +99,55 @@ def _roots(f, n: int, lo: float, hi: float) -> np.ndarray:
     return out
 
 
-def _root(f, lo: float, hi: float) -> float:
-    a, b = f(lo), f(hi)
-    if not (math.isfinite(a) and math.isfinite(b)) or a * b > 0:
-        return float("nan")
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        c = f(mid)
-        if c == 0 or hi - lo < 1e-13 * max(1.0, abs(mid)):
-            return mid
-        lo, hi, a = (mid, hi, c) if a * c > 0 else (lo, mid, a)
-    return (lo + hi) / 2
+#: Flows whose keys are solved together.
+FLOWS = 1 << 18
 
 
 def xirr(flows: DataFrame, key: str, day: str, amount: str) -> DataFrame:
-    """``key, rate``: the yearly rate (days over 365) at which the flows are worth nothing. Same-day flows are summed before."""
-    daily = flows.groupBy(key, F.col(day).alias("day")).agg(F.sum(amount).alias("amount"))
+    """``key, rate``: the yearly rate (days over 365) at which the flows are worth nothing. Same-day flows are summed before.
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("day")
-        days = (pd.to_datetime(t["day"]) - pd.to_datetime(t["day"].iloc[0])).dt.days.to_numpy() / 365.0
-        a = t["amount"].to_numpy(float)
-        rate = _root(lambda r: float((a / (1 + r) ** days).sum()), -0.9999, 1e6) if (a > 0).any() and (a < 0).any() else float("nan")
-        return pd.DataFrame({key: [t[key].iloc[0]], "rate": [None if math.isnan(rate) else rate]})
+    A key's days meet in one row, and the keys of an Arrow batch are solved together.
+    """
+    daily = flows.groupBy(key, F.col(day).cast("timestamp_ntz").alias("day")).agg(F.sum(amount).cast("double").alias("amount"))
+    t = daily.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "amount"))).alias("xs")).select(key, "xs.day", "xs.amount")
+
+    def solved(size: np.ndarray, days: np.ndarray, a: np.ndarray) -> np.ndarray:
+        start = np.cumsum(size) - size
+        up, down = np.maximum.reduceat(np.nan_to_num(a), start), np.minimum.reduceat(np.nan_to_num(a), start)
+
+        def worth(i: np.ndarray, r: np.ndarray) -> np.ndarray:
+            n = size[i]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(start[i] - first, n)
+            return np.add.reduceat(a[at] / np.repeat(1 + r, n) ** days[at], first)
 
-    return daily.groupBy(key).applyInPandas(run, f"{key} {flows.schema[key].dataType.simpleString()}, rate double")
+        turns = np.flatnonzero((up > 0) & (down < 0))
+        out = np.full(len(size), np.nan)
+        out[turns] = _roots(lambda i, r: worth(turns[i], r), len(turns), -0.9999, 1e6) if len(turns) else np.nan
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b.column(1).offsets.to_numpy()).astype(np.int64) + 1
+            # A zero of day zero leads each key's flows, so that sums begin with it.
+            lead = np.cumsum(size) - size
+            flow = np.ones(size.sum(), bool)
+            flow[lead] = False
+            at = np.zeros(len(flow), "datetime64[us]")
+            at[flow] = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            past = at - np.repeat(at[lead + 1], size)
+            days = np.where(np.isnat(past), np.nan, np.floor(past / np.timedelta64(1, "D"))) / 365.0
+            a = np.zeros(len(flow))
+            a[flow] = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            days[lead] = 0.0
+            rate = [np.empty(0)]
+            for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(lead // FLOWS)) + 1):
+                if len(some):
+                    x = slice(lead[some[0]], lead[some[-1]] + size[some[-1]])
+                    rate.append(solved(size[some], days[x], a[x]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(rate), from_pandas=True)], [key, "rate"])
+
+    return t.mapInArrow(run, f"`{key}` {flows.schema[key].dataType.simpleString()}, rate double")
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
