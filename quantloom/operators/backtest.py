@@ -205,7 +205,9 @@ def momentum_report(prices: DataFrame, benchmark: str, inverse: str, top: int =
     first = (_c("n") - 1) - F.floor((_c("n") - 1 - _c("i")) / step) * step
     t = t.withColumn("r", F.explode(F.sequence(first, F.least(_c("n") - 1, _c("i") + lookback - 1), F.lit(step)))).where(_c("r").between(_c("i"), _c("i") + lookback - 1))
     at = lambda back: F.max(F.when(_c("i") == F.greatest(_c("r") - back, F.lit(0)), _c("close")))
-    change = lambda a, b: F.round((a / b - 1) * 100, 1)
+    # Tenths as SQL engines round doubles: round(x, 1) goes by x's decimal digits, and sums that end in a half fall either way.
+    tenths = lambda x: F.round(x * 10) / 10
+    change = lambda a, b: tenths((a / b - 1) * 100)
     s = t.groupBy("symbol", "r").agg(
         F.count("*").alias("k"), change(F.max_by("close", "i"), F.min_by("close", "i")).alias("m"), change(at(0), at(step)).alias("m_step"), change(at(0), at(step - 1)).alias("w"),
         F.max(F.when(_c("i") == _c("r"), _c("trade_date"))).alias("d"), F.max(F.when(_c("i") == F.greatest(_c("r") - step, F.lit(0)), _c("trade_date"))).alias("d0"),
@@ -214,18 +216,21 @@ def momentum_report(prices: DataFrame, benchmark: str, inverse: str, top: int =
     rank = F.row_number().over(Window.partitionBy("r").orderBy(F.desc_nulls_last(F.when(~funds & (_c("k") > 1) & (_c("m") > 0), _c("m_step"))), "symbol"))
     s = s.withColumns({"ok": ~funds & (_c("k") > 1) & (_c("m") > 0) & _c("m_step").isNotNull(), "rank": rank})
     held = (_c("rank") <= top) & _c("ok")
-    names = F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("rank", "symbol")))), lambda x: x["symbol"])
+    picked = F.array_sort(F.collect_list(F.when(held, F.struct("rank", "symbol", "m_step"))))
+    names = F.transform(picked, lambda x: x["symbol"])
+    # Added up by rank, so that the last digit doesn't depend on the order in which rows arrive.
+    gain = F.try_divide(F.aggregate(picked, F.lit(0.0), lambda t, x: t + x["m_step"]), F.size(picked))
     of = lambda name, x: F.max(F.when(_c("symbol") == name, _c(x)))
     r = s.groupBy("r").agg(
         of(benchmark, "d").alias("date"), of(benchmark, "d0").alias("week_start"), F.count_if(~funds & (_c("k") > 1)).alias("pool_size"), names.alias("top"),
-        F.coalesce(F.avg(F.when(held, _c("m_step"))), F.lit(0.0)).alias("gain"), F.coalesce(of(benchmark, "w"), F.lit(0.0)).alias("bench_w"), F.coalesce(of(inverse, "w"), F.lit(0.0)).alias("inverse_w"),
+        F.coalesce(gain, F.lit(0.0)).alias("gain"), F.coalesce(of(benchmark, "w"), F.lit(0.0)).alias("bench_w"), F.coalesce(of(inverse, "w"), F.lit(0.0)).alias("inverse_w"),
     )
     before = F.coalesce(F.lag("top").over(Window.orderBy("r")), F.array().cast("array<string>"))
     r = r.withColumn("before", before)
     joined = lambda xs: F.array_join(xs, ",")
     return r.select(
         "date", "week_start", "pool_size", joined("top").alias("top"), joined(F.array_except("top", "before")).alias("added"), joined(F.array_sort(F.array_except("before", "top"))).alias("removed"),
-        joined(F.array_intersect("top", "before")).alias("kept"), F.round(_c("gain") * 0.5 + _c("inverse_w") * 0.5, 1).alias("strategy_w"), "bench_w", "inverse_w",
+        joined(F.array_intersect("top", "before")).alias("kept"), tenths(_c("gain") * 0.5 + _c("inverse_w") * 0.5).alias("strategy_w"), "bench_w", "inverse_w",
     )
 
 
