@@ -31,7 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) stays."""
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) stays: links by the
+    SimHash trie, each checked by the sets, and the exact rest."""
     return keep_one(docs)
 
 

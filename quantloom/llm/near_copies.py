@@ -1,9 +1,16 @@
-"""Near copies of documents: an exact self-join of their sets of five-word shingles by Jaccard similarity.
+"""Near copies of documents: SimHash and its trie, with an exact self-join of the sets of five-word shingles for the rest.
 
 Words are cut as for the SimHash (A-Z lower-cased, split at white space). A document's set holds the XXH64 hashes of its
 windows of SHINGLE words (of the whole sequence if there are fewer). Two documents are linked if their sets' Jaccard
 similarity is at least 0.8. Of every connected group the first document, by (doc_id, text), stays.
 
+SimHash: each distinct set has a fingerprint of 64 bits, the majority of its hashes. The trie of ``simhash.py`` groups fingerprints
+that are linked within BITS bits. The members of a group meet its first one, and those that are similar enough, by the sets
+themselves, are linked.
+
+The rest: at a similarity of 0.8 fingerprints differ in some ten bits, which no trie can look for among millions. All links
+between the groups made so far are found by a prefix filter, so that the result is the exact one whatever BITS is.
+
 Prefix filter: sets of that similarity share at least 4/5 of either one's n shingles, so under any one order of all
 shingles their first ``n // 5 + 1`` have one in common. No link is lost to it, whichever the order. Rare shingles come
 first here, which keeps chance candidates few: shingles that more than COMMON of every SPARSE-th set (by its hash) hold in the
@@ -32,9 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import Stages, clean_columns, drop_stage, small_batches, staged
 from .components import connected_components
-from .simhash import MOST_SENT, first_of_each, shingle_hashes, text_key
+from .simhash import MOST_SENT, first_of_each, majority, shingle_hashes, text_key, trie_join
 
-SHINGLE = 5
+SHINGLE, BITS = 5, 3
 COMMON, SPARSE, MOST_COMMON = 4, 8, 1 << 19
 
 
@@ -56,7 +63,7 @@ def bits_apart(a: str, b: str) -> Column:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key``, ``cls`` (the identity of the set), ``grams`` (the sorted set) and its ``sketch`` of each row."""
+    """``doc_id``, ``key``, ``cls`` (the identity of the set), ``grams`` (the sorted set), its ``sketch``, fingerprint ``fp`` and size ``n`` of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +73,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
             cls = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             marks = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cls, grams, marks], ["doc_id", "key", "cls", "grams", "sketch"])
+            fp = np.fromiter((majority(np.split(s, range(1 << 16, len(s), 1 << 16))) for s in sets), np.uint64, len(sets)).view(np.int64)
+            cols = [b.column(0), b.column(2), cls, grams, marks, pa.array(fp), pa.array(np.diff(ends).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "cls", "grams", "sketch", "fp", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = clean_columns(docs, "doc_id", "text").withColumn("key", text_key())
-    return cut.mapInArrow(run, f"doc_id {kind}, key long, cls binary, grams array<long>, sketch array<long>")
+    return cut.mapInArrow(run, f"doc_id {kind}, key long, cls binary, grams array<long>, sketch array<long>, fp long, n long")
 
 
 def _common(sets: DataFrame, common: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +161,23 @@ def _linked_in_rounds(pairs: DataFrame, sets: DataFrame, work: Stages) -> DataFr
     return first.union(_linked(work.staged(apart, "near-apart"), sets, work))
 
 
-def jaccard_links(sets: DataFrame, work: Stages, common: int = COMMON, most: int = MOST_COMMON) -> DataFrame:
-    """Links ``u``, ``v`` that connect the groups of similar sets. ``sets``: ``cid, grams, sketch`` of the distinct sets.
-    What it stages goes with ``work``."""
+def simhash_links(sets: DataFrame, work: Stages, bits: int = BITS) -> DataFrame:
+    """Links ``u``, ``v`` (staged) of sets with a similarity of at least 0.8 that the trie of their fingerprints finds: each set
+    is compared with the first of its group. ``sets``: ``cid, grams, sketch, fp, n`` of the distinct sets."""
+    prints = work.staged(sets.select("cid", "fp", "n"), "near-prints")
+    values = work.staged(prints.select("fp").distinct(), "near-values")
+    roots = work.hold(connected_components(trie_join(values, bits)))
+    placed = prints.join(roots, F.col("fp") == F.col("node"), "left").select("cid", "n", F.coalesce("root", "fp").alias("root"))
+    placed = work.staged(placed, "near-grouped")
+    first = placed.groupBy("root").agg(F.min(F.struct("cid", "n")).alias("lo"), F.count("*").alias("c")).where("c > 1").select("root", "lo")
+    met = placed.join(_sendable(work.staged(first, "near-firsts")), "root").where("cid <> lo.cid")
+    pairs = met.select(F.col("lo.cid").alias("a"), F.col("lo.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).where(_alike("na", "nb"))
+    return _linked(work.staged(_sifted(pairs, sets), "near-met"), sets, work)
+
+
+def jaccard_links(sets: DataFrame, known: DataFrame, work: Stages, common: int = COMMON, most: int = MOST_COMMON) -> DataFrame:
+    """Links ``u``, ``v`` that connect the groups of similar sets: those ``known`` and, between their groups, all others that it
+    takes. ``sets``: ``cid, grams, sketch`` of the distinct sets. What it stages goes with ``work``."""
     keyed = staged(prefixes(sets, common, most), "near-prefixes")
     # Most shingles have one set: the shingles alone are counted first.
     shared = keyed.select("g").groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g", (F.col("c") > 2).alias("crowded"))
@@ -170,8 +193,12 @@ def jaccard_links(sets: DataFrame, work: Stages, common: int = COMMON, most: int
     led = crowd.where("cid <> lo.cid").select(F.col("lo.cid").alias("a"), F.col("lo.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
     last = crowd.where("cid <> hi.cid").select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("hi.cid").alias("b"), F.col("hi.n").alias("nb"))
     pairs = two.where(~F.col("crowded")).drop("crowded").union(led).union(last).where(_alike("na", "nb"))
-    pairs = work.staged(_sifted(pairs.distinct(), sets), "near-pairs")
-    first = _linked_in_rounds(pairs, sets, work)
+    group = work.hold(connected_components(known))
+    in_group = lambda x: group.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    pairs = pairs.distinct().join(in_group("a"), "a", "left").join(in_group("b"), "b", "left")
+    pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "na", "b", "nb")
+    pairs = work.staged(_sifted(pairs, sets), "near-pairs")
+    first = known.union(_linked_in_rounds(pairs, sets, work))
     roots = work.hold(connected_components(first)).withColumnRenamed("node", "cid")
     placed = crowd.select("g", "cid", "n").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = work.staged(placed, "near-placed")
@@ -194,8 +221,8 @@ def keep_one(docs: DataFrame, common: int = COMMON, most: int = MOST_COMMON) ->
     classes = work.staged(rows.groupBy("cls").agg(F.min("rid").alias("cid")), "near-classes")
     ids = work.staged(rows.select("doc_id", "key", "rid", "cls").join(classes, "cls").select("doc_id", "key", "rid", "cid"), "near-ids")
     again = _sendable(work.staged(ids.where("rid <> cid").select("rid"), "near-again"))
-    sets = rows.select("rid", "grams", "sketch").join(again, "rid", "left_anti").withColumnRenamed("rid", "cid")
-    roots = work.hold(connected_components(jaccard_links(sets, work, common, most)))
+    sets = rows.select("rid", "grams", "sketch", "fp", "n").join(again, "rid", "left_anti").withColumnRenamed("rid", "cid")
+    roots = work.hold(connected_components(jaccard_links(sets, simhash_links(sets, work), work, common, most)))
     rooted = ids.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "cid").alias("root"))
     rooted = staged(rooted, "near-rows")
     work.drop()

@@ -17,7 +17,7 @@ component's ids are null. Repeated rows give repeated rows. Other columns are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -62,8 +62,13 @@ def _hashed(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(_hashed(text, shingle))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the 64-bit hashes, which come in parts of a bounded size."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in _hashed(text, shingle):
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
         n += len(hashes)
