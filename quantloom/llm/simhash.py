@@ -4,12 +4,14 @@ Fingerprint: the text with A-Z lower-cased is cut into words; each window of thr
 there are fewer), joined by spaces, is hashed by XXH64 with seed 42, repeats included. Bit i is set if it is set in
 over half of the hashes. A text without words has fingerprint zero.
 
-Join: the distinct fingerprints form a binary trie. Its top levels are cut into leaves of a bounded number of values
-(a crowded prefix is cut deeper, as far as its 64 bits go); pairs of leaves whose prefixes differ in at most
-``budget`` bits are made by descending both sides together, and each pair of leaves is one group. Inside a group the
-descent goes on in numpy over whole frontiers of node pairs: the differing bits add up, and a pair of nodes is
-dropped as soon as they exceed the budget. A task returns a spanning forest of its links, so that a dense group of
-near copies gives as many rows as it has values and not as many as it has pairs.
+Join: of ``budget`` + 1 blocks of bits, two fingerprints that differ in at most ``budget`` bits have one in common. The distinct
+fingerprints form a binary trie for each block, with that block's bits in front, in which linked values lie under one
+prefix: a value is in as many leaves as there are blocks, however many values and leaves there are. The tops of the tries are
+cut into leaves of a bounded number of values (a crowded prefix is cut deeper; one that is crowded by values with the whole
+block in common is turned again, by blocks of its other bits), and each leaf is one group. Inside a group the descent goes
+on in numpy over whole frontiers of node pairs: the differing bits add up, and a pair of nodes is dropped as soon as they
+exceed the budget, or lie in the block. A task returns a spanning forest of its links, so that a dense group of near copies gives
+as many rows as it has values and not as many as it has pairs.
 
 Nulls: a null text counts as empty. A null doc_id is kept and never becomes a component's id unless all of the
 component's ids are null. Repeated rows give repeated rows. Other columns are ignored.
@@ -18,7 +20,6 @@ component's ids are null. Repeated rows give repeated rows. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .common import clean_columns, small_batches, staged, table
 from .components import connected_components
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
-#: Most values in a leaf of the trie before it is cut deeper, by STEP bits at most; where there are few values, a LEAVES-th of them, but
-#: not under LEAST_LEAF. LEAVES leaves have eight times as many pairs, and more leaves would only mean more copies of each value.
+#: Most values in a leaf of a trie before it is cut deeper, by STEP bits at most; where there are few values, a LEAVES-th of them, but
+#: not under LEAST_LEAF.
 LEAF, LEAST_LEAF, LEAVES, STEP = 1 << 15, 1 << 12, 32, 6
 #: Node pairs of at most so many value pairs are compared outright; frontiers are at most FRONT node pairs long.
 SMALL, FRONT = 64, 1 << 18
@@ -117,15 +118,15 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[lab[other]]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, depth: int, used: int, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two sorted arrays of distinct values, or within one (``same``), as a spanning forest.
+def trie_links(a: np.ndarray, depth: int, block: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within a sorted array of distinct values, as a spanning forest.
 
-    ``depth``: how many leading bits either array shares; ``used``: in how many of these the arrays differ.
+    ``depth``: how many leading bits all values share; ``block``: in how many two values must agree to be looked at.
     """
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     held = 0
-    front = [(depth, np.array([[0, len(a), 0, len(b), used, int(same)]], np.int64))]
+    front = [(depth, np.array([[0, len(a), 0, len(a), 0, 1]], np.int64))]
 
     def fold() -> None:
         nonlocal held
@@ -152,10 +153,10 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, used: int, budget: int,
                 k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 wide = t[row, 3] - t[row, 2]
                 i, j = t[row, 0] + k // wide, t[row, 2] + k % wide
-                near = (_popcount(a[i] ^ b[j]) <= budget) & ~((t[row, 5] == 1) & (i >= j))
+                near = (_popcount(a[i] ^ a[j]) <= budget) & ~((t[row, 5] == 1) & (i >= j))
                 if near.any():
                     us.append(a[i[near]])
-                    vs.append(b[j[near]])
+                    vs.append(a[j[near]])
                     held += int(near.sum())
                 if held > 1 << 21:
                     fold()
@@ -165,7 +166,7 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, used: int, budget: int,
         bit = np.uint64(1) << np.uint64(63 - d)
         low = ~((bit << np.uint64(1)) - np.uint64(1)) if d else np.uint64(0)
         am = np.clip(np.searchsorted(a, (a[f[:, 0]] & low) | bit), f[:, 0], f[:, 1])
-        bm = np.clip(np.searchsorted(b, (b[f[:, 2]] & low) | bit), f[:, 2], f[:, 3])
+        bm = np.clip(np.searchsorted(a, (a[f[:, 2]] & low) | bit), f[:, 2], f[:, 3])
         one, alike = f[:, 4], f[:, 5]
         lo_a, hi_a, lo_b, hi_b = f[:, 0], f[:, 1], f[:, 2], f[:, 3]
         zero = np.zeros_like(one)
@@ -175,94 +176,68 @@ def trie_links(a: np.ndarray, b: np.ndarray, depth: int, used: int, budget: int,
             np.column_stack([lo_a, am, bm, hi_b, one + 1, zero]),
             np.column_stack([am, hi_a, lo_b, bm, one + 1, zero])[alike == 0],
         ]
-        nxt = np.concatenate(kids)
+        nxt = np.concatenate(kids[:2] if d < block else kids)
         front.append((d + 1, nxt[(nxt[:, 0] < nxt[:, 1]) & (nxt[:, 2] < nxt[:, 3]) & (nxt[:, 4] <= budget)]))
     fold()
     return (us[0], vs[0]) if us else (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 
-def _prefix(depth: int) -> F.Column:
-    return F.shiftrightunsigned("fp", 64 - depth)
+def _turned(rows: DataFrame, shared: int, budget: int) -> DataFrame:
+    """``rows`` (``fp, turned, path``), each ``budget`` + 1 times: behind the ``shared`` leading bits, another block comes first."""
+    rest = 64 - shared
+    mask = F.lit((1 << rest) - 1 if shared else -1).cast("long")
+    low, high = F.col("turned").bitwiseAND(mask), F.col("turned").bitwiseAND(F.bitwise_not(mask))
 
+    def turn(k: int) -> F.Column:
+        by = k * (rest // (budget + 1))
+        bits = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, rest - by)).bitwiseAND(mask) if by else low
+        return F.struct(high.bitwiseOR(bits).alias("turned"), F.concat("path", F.lit(f"{k}.")).alias("path"))
 
-def trie_leaves(fps: DataFrame, n: int, leaf: int = LEAF, step: int = STEP) -> list[tuple[int, DataFrame, DataFrame]]:
-    """The trie's levels: (depth, counts of its prefixes, the values whose leaf lies there)."""
-    depth = max(1, int(np.ceil(np.log2(max(2, n) / leaf))))
-    levels, active = [], fps
+    return rows.select("fp", F.explode(F.array(*[turn(k) for k in range(budget + 1)])).alias("t")).select("fp", "t.turned", "t.path")
+
+
+def trie_leaves(fps: DataFrame, n: int, budget: int, leaf: int = LEAF, step: int = STEP) -> DataFrame:
+    """``fp, turned, path, prefix, depth, block``: the values of each leaf (``path, depth, prefix``), which share ``depth`` bits of
+    ``turned``, and of these and more the ``block`` bits that count there."""
+    active = _turned(fps.select("fp", F.col("fp").alias("turned"), F.lit("").alias("path")), 0, budget)
+    block = 64 // (budget + 1)
+    depth = min(block, max(1, int(np.ceil(np.log2(2 * max(1, n) / leaf)))))
+    out, rounds = None, 0
     while True:
-        counts = active.groupBy(_prefix(depth).alias("prefix")).agg(F.count("*").alias("n"))
-        counts = staged(counts.withColumn("cut", (F.col("n") > leaf) & F.lit(depth < 64)), "trie-counts")
+        at = active.withColumn("prefix", F.shiftrightunsigned("turned", 64 - depth))
+        counts = at.groupBy("path", "prefix").agg(F.count("*").alias("n")).select("path", "prefix", "n", (F.col("n") > leaf).alias("cut"))
+        counts = staged(counts, "trie-counts")
         most = counts.where("cut").agg(F.max("n")).first()[0]
-        if most is None:
-            levels.append((depth, counts, active))
-            return levels
-        marked = active.withColumn("prefix", _prefix(depth)).join(counts.select("prefix", "cut"), "prefix")
-        marked = staged(marked, "trie-values")
-        levels.append((depth, counts, marked.where("not cut").select("fp")))
-        active = marked.where("cut").select("fp")
-        # As deep as the most crowded prefix needs if its values spread evenly: a value is copied more often the deeper its leaf lies.
-        # Prefixes that stay crowded are cut by one bit more each time, so that there are few levels.
-        depth = min(64, depth + min(step, max(len(levels), int(np.ceil(np.log2(most / leaf))))))
-
-
-def leaf_pairs(levels: list[tuple[int, DataFrame, DataFrame]], budget: int) -> DataFrame:
-    """Pairs of leaves ``a`` <= ``b`` (as ``depth:prefix``) whose prefixes differ in at most ``budget`` bits, and how many differ."""
-    name = lambda d, p: F.concat(F.lit(f"{d:02d}:"), F.hex(p))
-    d0, top, _ = levels[0]
-    masks = [sum(1 << i for i in bits) for k in range(min(budget, d0) + 1) for bits in combinations(range(d0), k)]
-    node = lambda t, x: t.select(F.col("prefix").alias(f"p{x}"), F.col("cut").alias(f"cut{x}"))
-    pairs = node(top, "a").withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
-    pairs = pairs.withColumn("pb", F.col("pa").bitwiseXOR(F.col("mask"))).where("pa <= pb").join(node(top, "b"), "pb")
-    pairs = pairs.select("pa", "cuta", F.lit(d0).alias("da"), "pb", "cutb", F.lit(d0).alias("db"), F.bit_count("mask").alias("used"))
-    done = []
-    for k in range(1, len(levels)):
-        d, nodes, _ = levels[k]
-        up = d - levels[k - 1][0]
-        pairs = staged(pairs, "trie-pairs")  # each level reads the one before several times
-        done.append(pairs.where("not cuta and not cutb"))
-        open_ = pairs.where("cuta or cutb")
-        for x in "ab":
-            kids = node(nodes, x).withColumn("up", F.shiftrightunsigned(f"p{x}", up))
-            cut = open_.where(f"cut{x}").withColumnRenamed(f"p{x}", "up").drop(f"cut{x}", f"d{x}")
-            cut = cut.join(kids, "up").drop("up").withColumn(f"d{x}", F.lit(d))
-            open_ = cut.unionByName(open_.where(f"not cut{x}"))
-        less = F.least("da", "db")
-        cut_to = lambda x: F.expr(f"shiftrightunsigned(p{x}, d{x} - least(da, db))")
-        used = F.when(less == d, F.bit_count(cut_to("a").bitwiseXOR(cut_to("b")))).otherwise(F.col("used"))
-        open_ = open_.withColumn("used", used).where(F.col("used") <= budget)
-        # A pair of two nodes of this level is met from either side.
-        pairs = open_.where("da <> db or pa <= pb").dropDuplicates(["pa", "da", "pb", "db"])
-    done.append(pairs)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    label = lambda x: F.concat(F.lpad(F.col(f"d{x}").cast("string"), 2, "0"), F.lit(":"), F.hex(f"p{x}"))
-    return out.select(label("a").alias("a"), label("b").alias("b"), "used", F.least("da", "db").alias("depth"))
+        last = most is None or depth == block and 64 - depth <= budget  # distinct values that differ in so few bits are few
+        marked = at if last else staged(at.join(counts.select("path", "prefix", "cut"), ["path", "prefix"]), "trie-values")
+        done = marked if last else marked.where("not cut").select(*at.columns)
+        done = done.select("*", F.lit(depth).alias("depth"), F.lit(block).alias("block"))
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        active, rounds = marked.where("cut").select("fp", "turned", "path"), rounds + 1
+        if depth == block:
+            active = _turned(active, depth, budget)
+            block += (64 - depth) // (budget + 1)
+        # As deep as the most crowded prefix needs if its values spread evenly; by more each time, so that there are few rounds.
+        depth = min(block, depth + min(step, max(rounds, int(np.ceil(np.log2(most / leaf))))))
 
 
 def trie_join(fps: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
-    """Links ``u``, ``v`` between the distinct values ``fp`` of which at most ``budget`` bits differ: a spanning forest for each task."""
+    """Links ``u``, ``v`` between the distinct values ``fp`` of which at most ``budget`` bits differ: a spanning forest for each leaf."""
     n = fps.count()
-    leaf = leaf or min(LEAF, max(LEAST_LEAF, n // LEAVES))
-    levels = trie_leaves(fps, n, leaf)
-    pairs = leaf_pairs(levels, budget)
-    values = None
-    for d, _, at in levels:
-        x = at.select("fp", F.concat(F.lit(f"{d:02d}:"), F.hex(_prefix(d))).alias("leaf"))
-        values = x if values is None else values.unionByName(x)
-    left = values.join(pairs, values.leaf == pairs.a).select("a", "b", "used", "depth", "fp", F.lit(0).alias("side"))
-    right = values.join(pairs.where("a <> b"), F.col("leaf") == F.col("b")).select("a", "b", "used", "depth", "fp", F.lit(1).alias("side"))
+    leaves = trie_leaves(fps, n, budget, leaf or min(LEAF, max(LEAST_LEAF, n // LEAVES)))
 
     def run(t: pa.Table) -> pa.Table:
-        fp = t.column("fp").to_numpy().astype(np.int64, copy=False).view(np.uint64)
-        side = t.column("side").to_numpy()
-        a, b = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
-        used, depth = t.column("used")[0].as_py(), t.column("depth")[0].as_py()
-        u, v = trie_links(a, a if same else b, depth, used, budget, same) if len(a) and (same or len(b)) else (fp[:0], fp[:0])
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    return left.unionByName(right).groupBy("a", "b").applyInArrow(run, "u long, v long")
+        fp, turned = (t.column(x).to_numpy().astype(np.int64, copy=False) for x in ("fp", "turned"))
+        turned = turned.view(np.uint64)
+        order = np.argsort(turned)
+        fp, turned = fp[order], turned[order]
+        links = trie_links(turned, t.column("depth")[0].as_py(), t.column("block")[0].as_py(), budget)
+        u, v = (fp[np.searchsorted(turned, x)] for x in links)
+        return pa.table({"u": u, "v": v})
+
+    return leaves.groupBy("path", "depth", "prefix").applyInArrow(run, "u long, v long")
 
 
 def _grouped(rows: DataFrame, budget: int, leaf: int | None) -> DataFrame:
