@@ -51,11 +51,14 @@ VALUE, COUNT = 45, 9
 #: Characters that stand for words, from the first on (none of them combine or are surrogates).
 FIRST_LETTER, LETTERS = 0x4E00, 20_000
 LONG = 2048
+#: Words of the pieces in which lines are compared first.
+PIECE = 32
 
 
 def normalised(line: Column) -> Column:
     plain = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.trim(F.when(line.rlike(r"\p{L}"), F.regexp_replace(plain, r"\p{Nd}", "0")).otherwise(plain))
+    # Most lines have no digits: looking for one is cheaper than writing the line anew.
+    return F.trim(F.when(plain.rlike(r"\p{Nd}") & line.rlike(r"\p{L}"), F.regexp_replace(plain, r"\p{Nd}", "0")).otherwise(plain))
 
 
 def _key() -> Column:
@@ -95,7 +98,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     ``many``: it has MIN_WORDS words. ``h1`` and ``h2`` identify the normalised line by 128 bits.
     """
-    keyed = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    # Dealt by document, so that the words of a line add up where they are.
+    dealt = docs.select(F.col("doc_id").alias("id"), _key().alias("key"), "text").repartition("id", "key")
+    keyed = dealt.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     norm = keyed.select("id", "key", "line", normalised(F.col("raw")).alias("norm"))
     long = (F.length("norm") >= MIN_CHARS).alias("long")
     place = ["oid", "id", "key", "line", "h1", "h2"]
@@ -152,6 +157,15 @@ def _alignment(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), state(F.lit(0), F.lit(0)), step, rest)
 
 
+def _by_pieces(a: str, b: str, most: str) -> Column:
+    """An upper bound of the distance of two texts: the sum over pieces at equal places, as far as it stays within ``most``. A word more
+    or less costs two in each later piece, so that near lines are known by it; a walk over whole texts takes the square of their length."""
+    piece = lambda x, k: F.substring(F.col(x), k * PIECE + 1, F.lit(PIECE))
+    apart = lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y))
+    last = F.floor(F.greatest(F.length(a), F.length(b)) / PIECE).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), last), F.lit(0), lambda t, k: F.when(t > F.col(most), t).otherwise(t + apart(piece(a, k), piece(b, k))))
+
+
 def _most(a: str, b: str, similarity: float) -> Column:
     """The greatest distance that lines of so many words may have."""
     return F.floor(F.greatest(a, b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
@@ -171,7 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     # The counter column is a barrier: a filter pushed below it would split both texts again for every word.
     both = both.select("a", "b", long.alias("long"), _most("na", "nb", similarity).alias("most"), "ta", "tb", *letters, F.monotonically_increasing_id().alias("barrier"))
     near = F.when(F.col("long") & (_alignment(F.col("wa"), F.col("wb")) <= F.col("most")), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
-    return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.where((_by_pieces("ta", "tb", "most") <= F.col("most")) | near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def line_texts(occ: DataFrame, wanted: DataFrame, docs: DataFrame, work: Stages) -> DataFrame:
