@@ -51,6 +51,8 @@ VALUE, COUNT = 45, 9
 #: Characters that stand for words, from the first on (none of them combine or are surrogates).
 FIRST_LETTER, LETTERS = 0x4E00, 20_000
 LONG = 2048
+#: Bits of a lane in which bits of the hashes of a line's words are counted, if they are few enough for it.
+NARROW = 9
 #: Words of the pieces in which lines are compared first.
 PIECE = 32
 
@@ -121,19 +123,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return _block_keys(words.groupBy(*place, "many", "n", "main").agg(*sums), *place, "many", "main")
 
 
+def _majorities(words: DataFrame, width: int) -> DataFrame:
+    """``lid, sim, n`` of ``words`` (``lid, n, h``): each sum counts bits of the hashes in lanes of ``width`` bits, the highest of which stays free."""
+    pick = F.lit(sum(1 << k for k in range(0, 64 - width, width))).cast("long")
+    sums = words.groupBy("lid", "n").agg(F.count("*").alias("d"), *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pick)).alias(f"s{j}") for j in range(width)])
+    # The free bit of a lane is set by this if its count is over half.
+    more = pick * (F.lit(1 << (width - 1)).cast("long") - F.shiftright("d", 1) - 1)
+    sim = F.lit(0).cast("long")
+    for j in range(width):
+        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{j}") + more, width - 1).bitwiseAND(pick), j))
+    return sums.select("lid", "n", sim.bitwiseAND(F.lit((1 << 62) - 1).cast("long")).alias("sim"))
+
+
 def simhash(rows: DataFrame) -> DataFrame:
     """``lid, sim, n`` of rows with ``lid, norm``: 62 bits over the distinct words, and the number of all words."""
-    words = rows.select("lid", F.split("norm", " ").alias("w")).select("lid", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("w"))
-    words = words.select("lid", "n", F.xxhash64(F.lit(2), "w").alias("h"))
-    pick = F.lit(1 | (1 << 31)).cast("long")
-    lanes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pick)).alias(f"s{j}") for j in range(31)]
-    sums = words.groupBy("lid", "n").agg(F.count("*").alias("d"), *lanes)
-    sim, one = F.lit(0).cast("long"), F.lit((1 << 31) - 1).cast("long")
-    for j in range(31):
-        low = (2 * F.col(f"s{j}").bitwiseAND(one) > F.col("d")).cast("long")
-        high = (2 * F.shiftrightunsigned(f"s{j}", 31) > F.col("d")).cast("long")
-        sim = sim.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(high, j + 31))
-    return sums.select("lid", "n", sim.alias("sim"))
+    words = rows.select("lid", F.split("norm", " ").alias("w")).select("lid", F.size("w").alias("n"), F.array_distinct(F.transform("w", lambda w: F.xxhash64(F.lit(2), w))).alias("w"))
+    hashes = lambda x: x.select("lid", "n", F.explode("w").alias("h"))
+    few = F.size("w") < 1 << (NARROW - 1)
+    out = _majorities(hashes(words.where(few)), NARROW).union(_majorities(hashes(words.where(~few)), 31))
+    return out.select("lid", "n", "sim")
 
 
 def coded(norm: Column) -> Column:
@@ -185,6 +193,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     # The counter column is a barrier: a filter pushed below it would split both texts again for every word.
     both = both.select("a", "b", long.alias("long"), _most("na", "nb", similarity).alias("most"), "ta", "tb", *letters, F.monotonically_increasing_id().alias("barrier"))
     near = F.when(F.col("long") & (_alignment(F.col("wa"), F.col("wb")) <= F.col("most")), True).otherwise(F.expr("levenshtein(ta, tb, most) >= 0"))
+    # Each word that one line alone has costs one at least.
+    alone = lambda x, y: F.size(F.array_except(F.split(x, ""), F.split(y, "")))
+    both = both.where((alone("ta", "tb") <= F.col("most")) & (alone("tb", "ta") <= F.col("most")))
     return both.where((_by_pieces("ta", "tb", "most") <= F.col("most")) | near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
